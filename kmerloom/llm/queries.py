@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 from .html_text import extract_main_text
+from .licenses import scan_licenses, scan_licenses_sql
+from .sharding import feistel_shards, feistel_shards_sql
 from .token_frames import encode_to_files
 
 
@@ -20,9 +22,17 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": scan_licenses_sql(), "op8_feistel_shards": feistel_shards_sql()}
