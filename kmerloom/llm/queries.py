@@ -11,6 +11,7 @@ from .base import table
 from .html_text import extract_main_text
 from .licenses import scan_licenses, scan_licenses_sql
 from .sharding import feistel_shards, feistel_shards_sql
+from .simhash import near_duplicates
 from .token_frames import encode_to_files
 
 
@@ -30,6 +31,10 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
