@@ -43,34 +43,74 @@ FILE_TEXT_BYTES = 32 << 20
 #: Words that a worker remembers the ids of; beyond it starts anew. Longer words are not remembered.
 MEMO_WORDS, MEMO_CHARS = 500_000, 48
 
+#: ASCII punctuation but the apostrophe, with which contractions begin.
+PUNCTUATION = rb""" !"#$%&()*+,-./:;<=>?@[\]^_`{|}~""".strip()
+
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of texts as bytes, by the tokenizers library.
 
-    The tokenizer drops white space and none of its tokens spans any, so a text's ids are those of its parts
-    between spaces and line feeds, one after another; each distinct part is encoded once.
+    The tokenizer drops white space, none of its tokens spans any, and it lowers letters first. So a text's ids
+    are those of its lower-case parts between spaces and line feeds, one after another, and each distinct part is
+    encoded once. A part that ends in punctuation after a letter is two such parts. New parts of letters alone
+    are encoded as one text; each ends with its first id that has the mark of a word's end. Parts with ``<|``
+    may hold special tokens, which are told apart by case, so their texts are left as they are.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.memo = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), {"": b""}
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {b"": b""}
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encode_new(self, parts: set[bytes], memo: dict[bytes, bytes]) -> None:
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        for part in parts:
+            core = part.rstrip(PUNCTUATION)
+            if core and len(core) < len(part) and b"<|" not in part and 97 <= core[-1] <= 122:
+                split[part] = core, part[len(core) :]
+        wanted = (parts - split.keys()).union(*split.values()).difference(memo) if split else parts
+        plain, rest = [], []
+        for part in wanted:
+            word = part.decode()
+            (plain if word.isalpha() else rest).append((part, word))
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join([w for _, w in plain]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain) and (not len(ends) or ends[-1] == len(ids)):
+                raw, at = ids.tobytes(), 0
+                for (part, _), end in zip(plain, (ends * 4).tolist(), strict=True):
+                    memo[part] = raw[at:end]
+                    at = end
+            else:
+                rest += plain
+        for (part, _), ids in zip(rest, self._one_by_one([w for _, w in rest]), strict=True):
+            memo[part] = ids
+        for part, (core, tail) in split.items():
+            memo[part] = memo[core] + memo[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo = self.memo
-        new = list(set().union(*split).difference(memo))
-        once = {}
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            (memo if len(word) <= MEMO_CHARS else once)[word] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([once[w] if w in once else memo[w] for w in words]) + self.end for words in split]
-        return [b"".join(map(memo.__getitem__, words)) + self.end for words in split]
+            self.memo = {b"": b""}
+        split = [(t.encode() if "<|" in t else t.encode().lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        found = [list(map(self.memo.get, words)) for words in split]
+        late = [k for k, ids in enumerate(found) if None in ids]
+        if late:
+            self._encode_new({w for k in late for w, ids in zip(split[k], found[k], strict=True) if ids is None}, self.memo)
+            for k in late:
+                found[k] = list(map(self.memo.__getitem__, split[k]))
+            for word in [w for k in late for w in split[k] if len(w) > MEMO_CHARS]:
+                self.memo.pop(word, None)
+        return [b"".join(ids) + self.end for ids in found]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
