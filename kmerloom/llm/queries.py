@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
+from . import language
 from .html_text import extract_main_text
 from .licenses import scan_licenses, scan_licenses_sql
+from .quality import classify
 from .sharding import feistel_shards, feistel_shards_sql
 from .simhash import near_duplicates
 from .token_frames import encode_to_files
@@ -19,10 +21,19 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(documents)).drop("row_")
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
