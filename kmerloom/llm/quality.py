@@ -27,8 +27,8 @@ from .base import fold, held_out, nonempty, prepare, texts_of, written
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "word_spread", "upper", "digits", "spaces", "line_feeds", "sentence_marks", "commas", "quotes", "exclaims", "pipes_slashes", "symbols", "controls", "beyond_ascii",
-    "shouted_words", "words_with_symbols", "one_letter_words", "long_words", "distinct_words", "top_word", "repeated_lines", "mean_line", "short_lines", "alphabet_entropy", "brackets", "markup")
-FEATURES, GAMMA, RIDGE, SEED, BINS = 256, 0.02, 1.0, 17, 1024
+    "shouted_words", "words_with_symbols", "one_letter_words", "long_words", "distinct_words", "top_word", "repeated_lines", "mean_line", "short_lines", "alphabet_entropy", "brackets", "markup", "echoed_words")
+FEATURES, GAMMA, RIDGE, SEED, BINS = 384, 0.005, 0.3, 17, 1024
 
 # Classes of ASCII bytes.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "spaces": b" \t", "line_feeds": b"\n\r", "sentence_marks": b".?", "commas": b",;:", "quotes": b"\"'`", "exclaims": b"!", "pipes_slashes": b"|/\\", "symbols": b"#$%&*+=@^_~", "brackets": b"()[]{}", "markup": b"<>"}
@@ -58,10 +58,13 @@ def statistics(text: str) -> list[float]:
     shouted = sum(c for w, c in seen.items() if len(w) > 1 and w.isupper())
     marked = raw.translate(_BLANKED).split()
     with_symbols = sum(b"\x00" in w for w in marked)
+    echoed = sum(map(bytes.__eq__, words, words[1:]))
+    # Square roots of shares: a few marks tell more than the same number on top of many.
+    share = {k: v ** 0.5 for k, v in share.items()}
     return [
         np.log1p(n), np.log1p(len(words)), float(lengths.mean()), float(lengths.std()), share["upper"], share["digits"], share["spaces"], share["line_feeds"], share["sentence_marks"], share["commas"], share["quotes"], share["exclaims"],
-        share["pipes_slashes"], share["symbols"], control, float(counts[128:].sum()) / n, shouted / m, with_symbols / m, float((lengths == 1).sum()) / m, float((lengths > 20).sum()) / m, len(seen) / m ** 0.8, max(seen.values(), default=0) / m,
-        1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))), sum(len(x) < 30 for x in lines) / max(1, len(lines)), float(-(p * np.log(p)).sum()), share["brackets"], share["markup"]]
+        share["pipes_slashes"], share["symbols"], control, float(counts[128:].sum()) / n, (shouted / m) ** 0.5, (with_symbols / m) ** 0.5, float((lengths == 1).sum()) / m, float((lengths > 20).sum()) / m, len(seen) / m ** 0.8, max(seen.values(), default=0) / m,
+        1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))), sum(len(x) < 30 for x in lines) / max(1, len(lines)), float(-(p * np.log(p)).sum()), share["brackets"], share["markup"], (echoed / m) ** 0.5]
 
 
 def document_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
