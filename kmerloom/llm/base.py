@@ -78,3 +78,18 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
+
+
+def filtered(df: DataFrame, mask, column: str) -> DataFrame:
+    """The rows of ``df``, with all columns, for which ``mask(column's values)`` holds. Row by row: no shuffle.
+
+    ``mask`` gets the values of an Arrow batch as a list and returns a list of booleans.
+    """
+    prepare(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            yield b.filter(pa.array(mask(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

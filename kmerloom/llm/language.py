@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, held_out, nonempty, prepare
+from .base import filtered, fold, held_out, nonempty, prepare
 
 ORDERS = (2, 3, 4)
 PER_LANGUAGE, LANDMARKS, LANGUAGES, RIDGE = 300, 24, 400, 0.05
@@ -188,3 +188,15 @@ def identify(documents: DataFrame, model: LanguageModel | None, doc_id: str = "d
     rows = documents.select(F.monotonically_increasing_id().alias("row_"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, f"row_ long, doc_id {kind}, lang_pred string, score double")
     return out.select("row_", "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def known_rows(documents: DataFrame, model: LanguageModel | None, least_score: float, text: str = "text") -> DataFrame:
+    """The rows of documents in a learned language, with all their columns; without a model, all."""
+    if model is None:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: list[str | None]) -> list[bool]:
+        return [lang != UNDETERMINED and score >= least_score for lang, score in zip(*shared.value.predict(texts), strict=True)]
+
+    return filtered(documents, known, text)

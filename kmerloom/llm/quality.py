@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, held_out, nonempty, prepare, texts_of, written
+from .base import filtered, fold, held_out, nonempty, prepare, texts_of, written
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "word_spread", "upper", "digits", "spaces", "line_feeds", "sentence_marks", "commas", "quotes", "exclaims", "pipes_slashes", "symbols", "controls", "beyond_ascii",
@@ -199,3 +199,12 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", do
 
     scored = rows.mapInArrow(run, f"row_ long, doc_id {kind}, score double")
     return scored.select("row_", "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_rows(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of documents that are predicted to be good, with all their columns. Texts are not shuffled."""
+    learnable = documents.where(F.coalesce(fold(doc_id) != 1, F.lit(False)))
+    model = fit(document_statistics(learnable, doc_id, text), labels, label)
+    if model is None:
+        return documents
+    return filtered(documents, lambda texts: model.score(np.array([statistics(t or "") for t in texts])) >= 0.5, text)
