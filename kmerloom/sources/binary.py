@@ -77,7 +77,10 @@ def bgzf_blocks(content: bytes) -> Iterator[tuple[int, int, bytes]]:
             raise ValueError(f"no BGZF block at {at}")
         size = struct.unpack("<H", head[16:18])[0] + 1
         body, tail = content[at + 18 : at + size - 8], content[at + size - 8 : at + size]
-        data = zlib.decompress(body, -15)
+        try:
+            data = zlib.decompress(body, -15)
+        except zlib.error as e:
+            raise ValueError(f"the block at {at} is damaged or cut short") from e
         if len(tail) < 8 or struct.unpack("<II", tail) != (zlib.crc32(data), len(data)):
             raise ValueError(f"the block at {at} is damaged")
         yield at, out, data

@@ -86,13 +86,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, header, seq, qual) of FASTQ files, a file a row before it is cut: for files that fit a task."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return fastq_records(texts)
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, header, seq, qual) of files in either format, told by the first letter: '@' or '>'. qual is null for FASTA."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     first = F.substring(F.regexp_replace("text", r"\A[\r\n]+", ""), 1, 1)
     known = texts.withColumn("kind_", F.when(first.isin("@", ">", ""), first).otherwise(F.raise_error(F.lit("neither FASTA nor FASTQ"))))
     fastq = fastq_records(known.where("kind_ = '@'").select("file", "text"))

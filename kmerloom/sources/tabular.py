@@ -29,7 +29,7 @@ def metadata_rows(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return metadata_rows(spark.read.option("wholetext", True).text(path), "value")
+    return metadata_rows(spark.read.text(path, wholetext=True), "value")
 
 
 def read_corpus_list(spark: SparkSession, path: str) -> DataFrame:
