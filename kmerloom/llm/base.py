@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import new_path, remove, shared_dir, table, written
+
+__all__ = ["BATCH_ROWS", "filtered", "fold", "free_name", "held_out", "new_path", "nonempty", "prepare", "remove", "shared_dir", "table", "texts_of", "written"]
+
 #: Rows of an Arrow batch. Texts can be long, so batches are kept small; a parameter, not a limit on what is processed.
 BATCH_ROWS = 256
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep Arrow batches small."""
     env = spark.sparkContext.environment
@@ -29,39 +27,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only a local session may go without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kmerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kmerloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete a table that ``written`` made, once nothing needs it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/kmerloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3; 1 is held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
@@ -80,6 +45,14 @@ def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filtered(df: DataFrame, mask, column: str) -> DataFrame:
     """The rows of ``df``, with all columns, for which ``mask(column's values)`` holds. Row by row: no shuffle.
 

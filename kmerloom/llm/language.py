@@ -51,8 +51,8 @@ def letters_only(text: str) -> str:
 
 
 def ngram_hashes(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """Hashes of all n-grams of a prepared text (with repeats), each order apart."""
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), "<u4").astype("u8")
+    """Hashes of all n-grams of a text (with repeats), each order apart."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8")
     out = []
     for n in orders:
         if len(codes) < n:
@@ -66,7 +66,8 @@ def ngram_hashes(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
 
 
 def distinct_ngrams(text: str) -> np.ndarray:
-    return np.unique(ngram_hashes(text))
+    """The n-grams of a prepared text with a space at either end."""
+    return np.unique(ngram_hashes(f" {text} "))
 
 
 @dataclass
@@ -86,9 +87,10 @@ class LanguageModel:
         for i, text in enumerate(texts):
             seen: set[int] | None = None
             count = 0
-            for at in range(0, max(1, len(text)), STRETCH):
+            text = f" {text} "
+            for at in range(0, len(text), STRETCH):
                 # stretches overlap so that no n-gram is lost between them
-                h = ngram_hashes(text[max(0, at - max(ORDERS)) : at + STRETCH])
+                h = ngram_hashes(text[max(0, at - max(ORDERS) + 1) : at + STRETCH])
                 column = self.slots[(h * _MULTIPLIER) >> shift]
                 hit = column >= 0
                 column, h2 = column[hit], h[hit]

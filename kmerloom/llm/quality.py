@@ -6,8 +6,8 @@ from normal equations summed by partition, and its scores are turned into probab
 over a histogram of scores. All three passes sum over all labelled rows; the driver gets moments, one Gram
 matrix and one histogram, whose sizes do not depend on the data.
 
-Rows are dealt by crc32 of the id, modulo 3: remainder 0 fits the ridge, remainder 2 the calibration, and 1 is
-held out. Labels, lang, source and ids are never inputs of a score.
+Rows are dealt by crc32 of the id, modulo 3: remainder 1 is held out, and 0 and 2 are the two halves of the training
+rows. The ridge is fitted on both; the calibration sees each half with the scores of a ridge fitted on the other. Labels, lang, source and ids are never inputs of a score.
 
 Defined results: null and empty texts have all-zero statistics and get their score like any other. Without
 training labels every score is 0.5. Several labels of one id all count. Other columns are not read.
@@ -157,27 +157,29 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", features: in
     rng = np.random.default_rng(seed)
     m = QualityModel(mean, scale, rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), -0.5, 1.5, np.zeros(BINS))
     k = features + 1
-    ridge_rows, calibration_rows = train.where("fold_ = 0"), train.where("fold_ = 2")
+    fit_rows = train.select("x", "y_", (F.col("fold_") == 2).cast("int").alias("half"))
 
     def normal(b: pa.RecordBatch) -> np.ndarray:
-        f, y = m.features(_matrix(b.column(0))), b.column(1).to_numpy()
-        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
+        f, y, half = m.features(_matrix(b.column(0))), b.column(1).to_numpy(), b.column(2).to_numpy()
+        return np.concatenate([x for h in (0, 1) for g, z in [(f[half == h], y[half == h])] for x in ((g.T @ g).ravel(), g.T @ z)])
 
-    sums = _summed(ridge_rows.select("x", "y_"), normal, k * k + k)
-    if not sums.any():  # few labels: all of them serve for both
-        ridge_rows = calibration_rows
-        sums = _summed(ridge_rows.select("x", "y_"), normal, k * k + k)
+    sums = _summed(fit_rows, normal, 2 * (k * k + k)).reshape(2, -1)
     penalty = np.full(k, ridge)
     penalty[-1] = 1e-6
-    m.weights = np.linalg.solve(sums[: k * k].reshape(k, k) + np.diag(penalty), sums[k * k :])
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(total[: k * k].reshape(k, k) + np.diag(penalty), total[k * k :])
+
+    m.weights = solved(sums.sum(0))
+    # each half's rows get the scores of the other half's fit; a half without rows leaves the whole fit to both
+    other = [solved(sums[1 - h]) if sums[1 - h].any() else m.weights for h in (0, 1)]
 
     def histogram(b: pa.RecordBatch) -> np.ndarray:
-        at = m.bins(m.raw(_matrix(b.column(0))))
+        f, half = m.features(_matrix(b.column(0))), b.column(2).to_numpy()
+        at = m.bins(np.where(half == 0, f @ other[0], f @ other[1]))
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, b.column(1).to_numpy(), minlength=BINS)])
 
-    sums = _summed(calibration_rows.select("x", "y_"), histogram, 2 * BINS)
-    if not sums.any():
-        sums = _summed(ridge_rows.select("x", "y_"), histogram, 2 * BINS)
+    sums = _summed(fit_rows, histogram, 2 * BINS)
     n, ones = sums[:BINS], sums[BINS:]
     held = np.flatnonzero(n)
     # half a row of either label at the ends keeps probabilities off 0 and 1; between bins that hold rows the curve is linear

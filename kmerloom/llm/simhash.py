@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import nonempty, prepare, remove, written
-from .components import components
+from ..operators.components import components
+from .base import free_name, nonempty, prepare, remove, written
 
 BITS = 64
 #: Fingerprints of one signature beyond which the signature is split.
@@ -389,22 +389,23 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
     Texts are shuffled once, by (doc_id, hash of text), to the decisions made on ids and fingerprints.
     """
     prepare(documents.sparkSession)
-    keyed = documents.withColumn("hash_", F.xxhash64(text))
-    kind = keyed.select("doc_id").schema.fields[0]
+    hash_, id_, h_, rows_, at_ = (free_name(documents, n) for n in ("hash_", "id_", "h_", "rows_", "at_"))
+    keyed = documents.withColumn(hash_, F.xxhash64(text))
+    narrow = keyed.select("doc_id", F.col(hash_).alias("hash_"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, shingle) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "hash_", "fp"])
 
-    docs = written(keyed.select("doc_id", "hash_", text).mapInArrow(run, T.StructType([kind, T.StructField("hash_", T.LongType()), T.StructField("fp", T.BinaryType())])), "fingerprints")
+    docs = written(narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.BinaryType())])), "fingerprints")
     components_ = named_components(docs, wide_edges)
     named = docs.join(components_, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one row for a component or, where ids repeat, several: counted down to one
     firsts = named.groupBy("root", "component_id", "fp", "hash_").agg(F.count("*").alias("rows_"))
     best = firsts.withColumn("best_", F.row_number().over(Window.partitionBy("root").orderBy("hash_", "fp"))).where("best_ = 1")
-    kept = written(best.select(F.col("component_id").alias("id_"), F.col("hash_").alias("h_"), "rows_"), "kept")
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id_"]) & (keyed["hash_"] == kept["h_"]), "inner")
-    once = out.where("rows_ = 1")
+    kept = written(best.select(F.col("component_id").alias(id_), F.col("hash_").alias(h_), F.col("rows_").alias(rows_)), "kept")
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[id_]) & (keyed[hash_] == kept[h_]), "inner")
+    once = out.where(F.col(rows_) == 1)
     # equal rows: rare enough to be sorted with their texts
-    several = out.where("rows_ > 1").withColumn("at_", F.row_number().over(Window.partitionBy("id_", "h_").orderBy(text))).where("at_ = 1")
+    several = out.where(F.col(rows_) > 1).withColumn(at_, F.row_number().over(Window.partitionBy(id_, h_).orderBy(text))).where(F.col(at_) == 1)
     return once.select(*documents.columns).unionByName(several.select(*documents.columns))
