@@ -16,16 +16,16 @@ def snp_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(bases(a), bases(b), lambda x, y: F.when(x.isin(*real) & y.isin(*real) & (x != y), 1).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def pairwise_snp(aligned: DataFrame, sample: str = "sample", seq: str = "seq", partitions: int = 32) -> DataFrame:
+def pairwise_snp(aligned: DataFrame, sample: str = "sample", seq: str = "seq", n_blocks: int = 8) -> DataFrame:
     """(a, b, snp_distance) of every pair a < b of samples.
 
     All pairs are what is asked for, so work grows with their number: samples are dealt into blocks, each pair of blocks
-    is one key, and both sides are sent to it. No task holds more than two blocks.
+    is one key, and both sides are sent to it. No task holds more than two blocks, so ``n_blocks`` should grow with the samples.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(8))
-    one = aligned.select(F.col(sample).alias("a"), F.col(seq).alias("seq_a"), block(sample).alias("ba")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    two = aligned.select(F.col(sample).alias("b"), F.col(seq).alias("seq_b"), block(sample).alias("bb")).withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    pairs = one.repartition(partitions, "ba", "bb").join(two.repartition(partitions, "ba", "bb"), ["ba", "bb"]).where("a < b")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
+    one = aligned.select(F.col(sample).alias("a"), F.col(seq).alias("seq_a"), block(sample).alias("ba")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    two = aligned.select(F.col(sample).alias("b"), F.col(seq).alias("seq_b"), block(sample).alias("bb")).withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    pairs = one.join(two, ["ba", "bb"]).where("a < b")
     return pairs.select("a", "b", snp_distance(F.col("seq_a"), F.col("seq_b")).alias("snp_distance"))
 
 

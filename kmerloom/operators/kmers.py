@@ -90,12 +90,13 @@ def required_hits(n: Column, absolute: int, relative: float) -> Column:
 def contained(reads: DataFrame, index: DataFrame, id_col: str, seq: str, k: int = 31, w: int = 15, absolute: int = 1, relative: float = 0.05, deplete: bool = True) -> DataFrame:
     """(id, n_minimizers, hits, kept) of every read: minimizers with repeats, distinct ones that ``index`` (kmer) has, and the verdict.
 
-    Reads shorter than k are kept when depleting and dropped when searching. Only hits and one count for each read are shuffled; ids are unique.
+    Reads shorter than k are kept when depleting and dropped when searching. One count and the set of hits of each read are shuffled; ids are unique.
     """
-    found = minimizers(reads.select(id_col, seq), seq, k, w)
-    n = found.groupBy(id_col).agg(F.count("*").alias("n_minimizers"))
-    hits = found.join(checked_broadcast(index.select("kmer").distinct()), "kmer", "left_semi").groupBy(id_col).agg(F.countDistinct("kmer").alias("hits"))
-    counted = reads.select(id_col, F.coalesce(F.length(seq), F.lit(0)).alias("len_")).join(n, id_col, "left").join(hits, id_col, "left").na.fill(0, ["n_minimizers", "hits"])
+    known = index.select("kmer").distinct().withColumn("known_", F.lit(True))
+    found = minimizers(reads.select(id_col, seq), seq, k, w).join(checked_broadcast(known), "kmer", "left")
+    # one pass over the reads; a read's set holds its own hits only
+    n = found.groupBy(id_col).agg(F.count("*").alias("n_minimizers"), F.size(F.collect_set(F.when(F.col("known_"), F.col("kmer")))).cast("long").alias("hits"))
+    counted = reads.select(id_col, F.coalesce(F.length(seq), F.lit(0)).alias("len_")).join(n, id_col, "left").na.fill(0, ["n_minimizers", "hits"])
     enough = F.col("hits") >= required_hits(F.col("n_minimizers"), absolute, relative)
     kept = F.when(F.col("len_") < k, F.lit(deplete)).otherwise(~enough if deplete else enough)
     return counted.select(id_col, "n_minimizers", "hits", kept.alias("kept"))
