@@ -39,7 +39,12 @@ CHROME_WORDS = frozenset(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[a-z]+")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Words that begin a name which says what a page has, not what an element is; words of article parts, whose
+# own headers are not the page's; and what an article element is if it is not the page's article.
+STATE_WORDS = frozenset("has with without no is show js not".split())
+ARTICLE_WORDS = frozenset("article post entry story content main text headline".split())
+OTHER_ARTICLES = frozenset("comment comments reply replies related recommended teaser ad ads advert advertisement sponsored promo promotion".split())
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 WINDOW = 3
 
@@ -52,15 +57,21 @@ def _is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
+        name, names = name.lower(), values[0] or values[1] or values[2]
+        value = names.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if name == "role" and value in CHROME_ROLES:
             return True
-        if name in ("class", "id") and tag not in MAIN_TAGS and tag not in HEADINGS:
-            for token in value.split():
-                parts = NAME_PART.findall(token)
-                if parts and (parts[0] in CHROME_WORDS or parts[-1] in CHROME_WORDS):
+        if name in ("class", "id") and tag not in HEADINGS:
+            for token in names.split():
+                parts = [x.lower() for x in NAME_PART.findall(token)]
+                if not parts or parts[0] in STATE_WORDS:
+                    continue
+                if tag in MAIN_TAGS:
+                    if OTHER_ARTICLES.intersection(parts):
+                        return True
+                elif (word := next((x for x in parts if x in CHROME_WORDS), None)) and not (word in ("header", "text") and (in_main or ARTICLE_WORDS.intersection(parts))):
                     return True
     return False
 
