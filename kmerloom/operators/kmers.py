@@ -73,13 +73,18 @@ def minimizers(seqs: DataFrame, seq: str, k: int = 31, w: int = 15) -> DataFrame
     """
     others = [c for c in seqs.columns if c != seq]
     cut = blocks(seqs, seq, k, overlap=w - 1, before=1)
-    hashed = cut.withColumn("h", F.transform(_windows(F.col("block"), k), lambda x, i: F.struct(F.md5(x).alias("h"), i.alias("i"), x.alias("kmer"))))
+    # md5 and place as one text: its order is that of hashes, then places, and strings compare faster than structs
+    hashed = cut.withColumn("h", F.transform(_windows(F.col("block"), k), lambda x, i: F.concat(F.md5(x), F.lpad(i.cast("string"), 5, "0"))))
     windows = F.greatest(F.size("h") - w + 1, F.lit(1))
     # windows that begin in this block, and the one before it
     last = F.least(windows, F.col("first") - F.col("start") + BLOCK)
     best = hashed.withColumn("best", F.transform(F.sequence(F.lit(1), last.cast("int")), lambda i: F.array_min(F.slice("h", i, w))))
-    fresh = F.filter(F.transform("best", lambda b, j: F.struct(b.alias("b"), ((j == 0) & (F.col("start") == F.col("first")) | (j > 0) & (F.get(F.col("best"), j - 1)["i"] != b["i"])).alias("new"))), lambda x: x["new"])
-    return best.select(*others, "start", F.explode(fresh).alias("m")).select(*others, (F.col("start") + F.col("m.b.i")).cast("long").alias("pos"), F.col("m.b.kmer").alias("kmer"))
+    own = F.when(F.col("start") == F.col("first"), F.col("best")).otherwise(F.slice("best", 2, BLOCK))
+    before = F.when(F.col("start") == F.col("first"), F.lit("")).otherwise(F.get("best", F.lit(0)))
+    # minimizers only move on, so equal ones stand together
+    fresh = F.array_except(F.array_distinct(own), F.array(before))
+    at = F.substring("m", 33, 5).cast("int")
+    return best.select(*others, "start", "block", F.explode(fresh).alias("m")).select(*others, (F.col("start") + at).cast("long").alias("pos"), F.substring("block", at + 1, F.lit(k)).alias("kmer"))
 
 
 def required_hits(n: Column, absolute: int, relative: float) -> Column:
