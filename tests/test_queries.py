@@ -5,6 +5,10 @@ from kmerloom.plans import queries as core
 from support import rows_of_duck, rows_of_spark
 
 
+#: Documents of the smallest tables have no alignment columns in which they differ.
+MAY_BE_EMPTY = {"split_kmer_align", "vcf_rows"}
+
+
 @pytest.mark.parametrize("name", sorted(core.QUERIES))
 def test_query(spark, data, duck, name):
     df = core.QUERIES[name](spark, data)
@@ -13,7 +17,8 @@ def test_query(spark, data, duck, name):
         return
     got, want = rows_of_spark(df), rows_of_duck(duck, core.ORACLES[name])
     assert got[0] == want[0]
-    assert len(got[1]) == len(want[1]) > 0
+    assert len(got[1]) == len(want[1])
+    assert want[1] or name in MAY_BE_EMPTY
     assert got[1] == want[1]
 
 
