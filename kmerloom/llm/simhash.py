@@ -16,7 +16,8 @@ in turn takes away what it reaches, so a dense group costs one pass over it. Sig
 distance + 1 blocks one must be equal), by Spark and then again within a task. What is passed on is one edge
 for each fingerprint and signature at most; components over edges and copies give each text its component.
 
-``first_of_each_group`` keeps one text of each group of similar texts by the same steps on wider fingerprints.
+``first_of_each_group`` keeps one text of each group of similar texts: banded wider fingerprints and an exact prefix join
+give candidates, and the sets of shingles themselves decide.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other. Rows with null doc_id
 count as members but never give a component its name. Other columns are not read.
@@ -300,17 +301,33 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 # Similarity: wide fingerprints
 
+#: Sets of shingles are similar if their Jaccard similarity is at least this fraction.
+SIMILAR = (4, 5)
 #: 64-bit words of a wide fingerprint, bits of its probed blocks, and the bits in which similar texts differ at most.
 #: Sets of similarity (Jaccard) j differ in each bit with probability acos(2j / (1 + j)) / pi, 0.1515 at 0.8: in 77.6 of
-#: 512 bits, with a deviation of 8.1. 94 % of pairs of similarity 0.8 are within WIDE_DISTANCE, and 99.9 % of 0.85; of 0.7
-#: 18 %, of 0.6 0.2 %. A pair of similarity 0.8 has one of the 36 blocks alike with probability 0.977, of 0.9 with 0.9999.
+#: 512 bits, with a deviation of 8.1. What the blocks and the distance miss is left to ``prefix_pairs``.
 WIDE_WORDS, WIDE_BLOCK, WIDE_DISTANCE = 8, 14, 90
+#: Counters that shingles share, by which the rarer ones come first in a set's order.
+RARITY = 1 << 16
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The text's shingles, each once, in the order of their hashes."""
+    return np.unique(np.array(word_hashes(text or "", shingle), "<u8"))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed number that names a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view("i8"))
+
+
 def wide_fingerprint(text: str | None, shingle: int = 5, block: int = 4096) -> bytes:
     """WIDE_WORDS independent SimHash words over the set of the text's shingles, as bytes."""
-    hashes = np.unique(np.array(word_hashes(text or "", shingle), "u8"))
+    return wide_fingerprint_of(shingle_set(text, shingle), block)
+
+
+def wide_fingerprint_of(hashes: np.ndarray, block: int = 4096) -> bytes:
     out = bytearray()
     for seed in range(1, WIDE_WORDS + 1):
         counts = np.zeros(BITS, "i8")
@@ -325,22 +342,42 @@ def wide_fingerprint(text: str | None, shingle: int = 5, block: int = 4096) -> b
 
 
 def wide_links(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each of the distinct fingerprints (rows of words) the first that a chain of links within them reaches."""
-    label, left = np.arange(len(fps)), np.arange(len(fps))
+    """For each of the fingerprints (rows of words) the one that a search from each in turn reached it from, or itself."""
+    parent, left = np.arange(len(fps)), np.arange(len(fps))
     while len(left):
-        root, frontier, left = left[0], [left[0]], left[1:]
+        frontier, left = [left[0]], left[1:]
         while frontier and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[frontier.pop()]).sum(1, dtype="i4") <= distance
+            at = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype="i4") <= distance
             if near.any():
                 reached = left[near]
-                label[reached] = root
+                parent[reached] = at
                 frontier.extend(reached.tolist())
                 left = left[~near]
-    return label
+    return parent
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew, so that equal values of a column are never in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in nonempty(batches):
+        values = b.column(column).to_numpy()
+        start = int(np.searchsorted(values, values[-1]))
+        if held and (start or held[-1].column(column)[0].as_py() != values[0]):
+            same = int(np.searchsorted(values, held[-1].column(column)[0].as_py(), "right"))
+            yield pa.concat_batches([*held, b.slice(0, same)])
+            held = []
+            if same < start:
+                yield b.slice(same, start - same)
+        elif start:
+            yield b.slice(0, start)
+        held.append(b.slice(start))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def wide_edges(distinct: DataFrame, distance: int = WIDE_DISTANCE, block_bits: int = WIDE_BLOCK) -> DataFrame:
-    """(a, b): links between distinct wide fingerprints (column fp) that have a block alike, thinned to chains as in ``link_edges``."""
+    """(a, b): names (column fp) of sets whose wide fingerprints (column wide) have a block alike and differ in ``distance`` bits at most, thinned to chains as in ``link_edges``."""
     prepare(distinct.sparkSession)
     bits = WIDE_WORDS * BITS
     blocks = bits // block_bits
@@ -348,45 +385,131 @@ def wide_edges(distinct: DataFrame, distance: int = WIDE_DISTANCE, block_bits: i
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(block_bits)
         for b in nonempty(batches):
-            x = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), "u1").reshape(b.num_rows, -1), axis=1, bitorder="little")
+            x = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), "u1").reshape(b.num_rows, -1), axis=1, bitorder="little")
             keys = (x[:, : blocks * block_bits].reshape(b.num_rows, blocks, block_bits) @ weights + (np.arange(blocks) << block_bits)).astype("i4")
             for k in range(blocks):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, k])], names=["fp", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, k])], names=["fp", "wide", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        last = None
+        for b in runs(batches, 2):
+            key, fps = b.column(2).to_numpy(), b.column(0).to_numpy()
+            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(fps), WIDE_WORDS)
+            cuts, found = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist(), []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    parent = wide_links(wide[lo:hi], distance)
+                    k = np.flatnonzero(parent != np.arange(hi - lo))
+                    if len(k):
+                        found.append((fps[lo:hi][k], fps[lo:hi][parent[k]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    keyed = distinct.select("fp", "wide").mapInArrow(signatures, "fp long, wide binary, key int")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def needed(n, similar: tuple[int, int] = SIMILAR):
+    """The shingles that a set of n shares with any similar set, at least."""
+    return -(-similar[0] * n // similar[1])
 
-        def edges():
-            raw = sorted(set(held))
-            label = wide_links(np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), WIDE_WORDS), distance)
-            k = np.flatnonzero(label != np.arange(len(raw)))
-            return [raw[i] for i in k], [raw[i] for i in label[k]]
 
+def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """RARITY counts of the shingles of (text), each counted where its hash falls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY, "i8")
         for b in nonempty(batches):
-            key, fps, found = b.column(1).to_numpy(), b.column(0).to_pylist(), ([], [])
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if int(key[lo]) != last:
-                    if len(held) > 1:
-                        for out, more in zip(found, edges(), strict=True):
-                            out.extend(more)
-                    held, last = [], int(key[lo])
-                held.extend(fps[lo:hi])
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], names=["a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in edges()], names=["a", "b"])
+            hashes = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            counts += np.bincount((np.concatenate(hashes) % np.uint64(RARITY)).astype("i8"), minlength=RARITY)
+        k = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype("i4")), pa.array(counts[k])], names=["k", "n"])
+
+    out = np.zeros(RARITY, "i8")
+    sums = texts.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
-    keyed = distinct.select("fp").mapInArrow(signatures, "fp binary, key int")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): names of all sets of (text) that may be similar and that ``roots`` (node, root) does not yet join; exact prefix, length and positional filters.
+
+    All sets are ordered alike, rarer shingles first. Similar sets share one of each one's first n - needed(n) + 1.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(rarity(texts, shingle))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in nonempty(batches):
+            names, sizes, firsts = [], [], []
+            for t in b.column(0).to_pylist():
+                h = shingle_set(t, shingle)
+                order = np.argsort(counts[(h % np.uint64(RARITY)).astype("i8")], kind="stable")  # equal counts stay in the order of hashes
+                names.append(set_name(h))
+                sizes.append(len(h))
+                firsts.append(h[order[: len(h) - needed(len(h)) + 1]].view("i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["fp", "size", "firsts"])
+
+    sets = texts.mapInArrow(prefixes, "fp long, size int, firsts array<long>").where("size > 0")
+    sets = sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("firsts").alias("firsts"))
+    named = sets.join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "firsts")
+    rows = named.select("fp", "root", "size", F.posexplode("firsts").alias("at", "word"))
+    top, of = SIMILAR
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, 4):
+            fp, root, size, at, word = (c.to_numpy() for c in b.columns)
+            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+            mixed = np.minimum.reduceat(root, cuts[:-1]) < np.maximum.reduceat(root, cuts[:-1])
+            for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist(), strict=True):
+                f, r, n, k = fp[lo:hi], root[lo:hi], size[lo:hi].astype("i8"), at[lo:hi]
+                for i in range(0, hi - lo, 512):
+                    j = slice(i, i + 512)
+                    both = n[j, None] + n[None]
+                    ok = (f[j, None] < f[None]) & (r[j, None] != r[None]) & (np.minimum(n[j, None] - k[j, None], n - k) * (top + of) >= top * both)
+                    ok &= np.minimum(n[j, None], n) * of >= np.maximum(n[j, None], n) * top
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(f[j][x]), pa.array(f[y])], names=["a", "b"])
+
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(pairs, "a long, b long")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) of names whose sets are similar, counted exactly. ``texts`` has (fp, text) of every name."""
+    top, of = SIMILAR
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    used = written(texts.join(nodes, "fp", "left_semi").select("fp", "text"), "texts")
+    joined = pairs.join(used.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            keep, sets = [], {}
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                for t in (x, y):
+                    if t not in sets:
+                        sets[t] = shingle_set(t, shingle)
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                keep.append(shared * of >= (len(sets[x]) + len(sets[y]) - shared) * top)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    out = written(joined.mapInArrow(run, "a long, b long"), "similar")
+    remove(pairs)
+    remove(used)
+    return out
 
 
 def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of each group of similar texts (0.8 or more, see above), with all its columns: the one with the smallest doc_id.
+    """One row of each group of similar texts, with all its columns: the one with the smallest doc_id.
+
+    Texts link if their sets of shingles are similar (``SIMILAR``), and groups are chains of links. Wide fingerprints
+    find most links, so that dense groups cost no pairs; an exact prefix join finds all others between what these
+    leave apart; every link is counted on the sets themselves.
 
     Of several such rows (repeated ids) the one with the smallest hash of text stays, and one of equal rows.
-    Texts are shuffled once, by (doc_id, hash of text), to the decisions made on ids and fingerprints.
+    Texts are shuffled by (doc_id, hash of text) to the decisions made on ids and fingerprints, and those of candidate
+    pairs to each other.
     """
     prepare(documents.sparkSession)
     hash_, id_, h_, rows_, at_ = (free_name(documents, n) for n in ("hash_", "id_", "h_", "rows_", "at_"))
@@ -395,10 +518,18 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, shingle) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "hash_", "fp"])
-
-    docs = written(narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.BinaryType())])), "fingerprints")
-    components_ = named_components(docs, wide_edges)
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_name, sets), pa.int64()), pa.array(map(wide_fingerprint_of, sets), pa.binary())], names=["doc_id", "hash_", "fp", "wide"])
+
+    docs = written(narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])), "fingerprints")
+    firsts = docs.groupBy("fp").agg(F.min_by("wide", "hash_").alias("wide"), F.min(F.struct("doc_id", "hash_")).alias("at"))
+    nodes = written(firsts.select("fp", "wide", F.col("at.doc_id").alias("id_"), F.col("at.hash_").alias("h_")), "nodes")
+    # repeated rows of one id and text: a pair found twice is one link
+    texts = narrow.join(nodes.select("fp", "id_", "h_"), narrow["doc_id"].eqNullSafe(F.col("id_")) & (narrow["hash_"] == F.col("h_"))).select("fp", "text")
+    dense = similar_pairs(wide_edges(nodes), texts, shingle)
+    roots = written(components(dense), "roots")
+    others = similar_pairs(prefix_pairs(narrow.select("text"), roots, shingle), texts, shingle)
+    components_ = named_components(docs.select("doc_id", "fp"), lambda _: dense.unionByName(others))
     named = docs.join(components_, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one row for a component or, where ids repeat, several: counted down to one
     firsts = named.groupBy("root", "component_id", "fp", "hash_").agg(F.count("*").alias("rows_"))

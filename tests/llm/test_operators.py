@@ -369,6 +369,19 @@ def test_similar_groups(spark, data):
     assert lone <= kept
 
 
+def test_similar_groups_are_exact(spark):
+    """Pairs of similarity 0.8 are one group and pairs just below it are two, at every pair; brute force decides."""
+    r, texts = random.Random(5), []
+    for k in range(120):
+        words = [f"w{r.randrange(10**9)}" for _ in range(94)]
+        shared = (80, 79, 75, 70)[k % 4]  # of 90 shingles each: 0.8, 0.782, 0.714, 0.636
+        texts += [" ".join(words), " ".join(words[: shared + 4] + [f"v{r.randrange(10**9)}" for _ in range(90 - shared)])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {i for i, a in enumerate(sets) if not any(len(a & b) * 5 >= len(a | b) * 4 for b in sets[:i])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.first_of_each_group(docs).collect()} == want and len(want) == 210
+
+
 def test_similar_groups_edge_cases(spark):
     docs = odd_documents(spark)
     out = simhash.first_of_each_group(docs)
