@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import batch_cap, padded_length
+from ..plans.tables import written
 
-#: Rows that the all-pairs measures take at most, in id order: they are meant for a sample of this size.
-METRIC_ROWS = 4000
+#: Rows of a block of vectors; blocks are multiplied in pairs.
+BLOCK_ROWS = 512
 
 
 def _matrix(column) -> np.ndarray:
@@ -20,41 +21,73 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn(vectors: DataFrame, id_col: str, vec: str, k: int = 15, metric: str = "cosine", limit: int = METRIC_ROWS) -> DataFrame:
-    """(id, neighbour, rank, score) of each row's k nearest other rows, among the first ``limit`` rows by id.
+def knn(vectors: DataFrame, id_col: str, vec: str, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, neighbour, rank, score) of each row's k nearest other rows, among all rows.
 
-    The limit is part of the measure and bounds what is broadcast. Each task multiplies its rows with the sample.
-    Cosine similarities of zero vectors are 0; ties go to the smaller id.
+    Rows are packed into blocks and every block meets every other, so the work grows with the square of the rows; a task
+    keeps the k best of each row it saw. Cosine similarities of zero vectors are 0; ties go to the smaller id.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null").orderBy("id").limit(limit)
-    sample = rows.toArrow().combine_chunks()
     spark = vectors.sparkSession
-    schema = "id long, neighbour long, rank long, score double"
-    if not sample.num_rows:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((sample["id"].to_numpy(), _matrix(sample["v"].chunk(0) if sample["v"].num_chunks else sample["v"])))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, block_rows):
+                part = b.slice(lo, block_rows)
+                if n and n + part.num_rows > block_rows:
+                    yield packed(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.concat_batches(held)
+        ids, x = b.column(0).to_numpy().astype("<i8"), _matrix(b.column(1)).astype("<f8")
+        return pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], names=["block", "ids", "x"])
+
+    blocks = written(rows.mapInArrow(pack, "block long, ids binary, x binary"), "blocks")
+    # a pair of blocks is a row of megabytes, so only few go into an Arrow batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    pairs = blocks.crossJoin(blocks.select(F.col("ids").alias("other_ids"), F.col("x").alias("other_x")))
+
+    def best(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = min(k, score.shape[1])
+        by = np.where(np.isnan(score), np.inf, score)  # first, as Spark and DuckDB sort them
+        at, column = np.nonzero(by >= np.partition(by, -most, 1)[:, -most, None])
+        order = np.lexsort((ids[at, column], -by[at, column], at))
+        at, column = at[order], column[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < most
+        column = column[first].reshape(len(ids), most)
+        return np.take_along_axis(ids, column, 1), np.take_along_axis(score, column, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        norms = np.sqrt((x * x).sum(1))
+        kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # by a block's ids: the best neighbours so far and their scores
         for b in batches:
-            own, q = b.column(0).to_numpy(), _matrix(b.column(1))
-            for lo in range(0, len(own), 256):
-                part, mine = q[lo : lo + 256], own[lo : lo + 256]
+            for _, raw, own, other, theirs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mine, ids = np.frombuffer(raw, "<i8"), np.frombuffer(other, "<i8")
+                q, x = np.frombuffer(own, "<f8").reshape(len(mine), -1), np.frombuffer(theirs, "<f8").reshape(len(ids), -1)
                 if metric == "cosine":
-                    n = np.outer(np.sqrt((part * part).sum(1)), norms)
-                    score = np.where(n > 0, part @ x.T / np.where(n > 0, n, 1), 0.0)
+                    n = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+                    score = np.where(n > 0, q @ x.T / np.where(n > 0, n, 1), 0.0)
                 else:
-                    score = -np.sqrt(np.maximum(((part[:, None, :] - x[None]) ** 2).sum(2), 0))
+                    score = np.stack([-np.sqrt(((v - x) ** 2).sum(1)) for v in q])
                 score = np.round(score, 9)
                 score[mine[:, None] == ids[None]] = -np.inf
-                most = min(k, len(ids) - 1)
-                best = np.array([np.lexsort((ids, -s))[:most] for s in score], "i8").reshape(len(mine), most)
-                flat = best.ravel()
-                value = np.take_along_axis(score, best, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, most)), pa.array(ids[flat]), pa.array(np.tile(np.arange(1, most + 1), len(mine))), pa.array(value if metric == "cosine" else -value)], names=["id", "neighbour", "rank", "score"])
-
-    return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
+                new = best(np.broadcast_to(ids, score.shape), score)
+                if raw in kept:
+                    new = best(*(np.concatenate(c, 1) for c in zip(kept[raw], new, strict=True)))
+                kept[raw] = new
+        for raw, (ids, score) in kept.items():
+            mine = np.repeat(np.frombuffer(raw, "<i8"), ids.shape[1])
+            real = score.ravel() != -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in (mine, ids.ravel(), score.ravel())], names=["id", "neighbour", "score"])
+
+    found = pairs.mapInArrow(run, "id long, neighbour long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")).cast("long")).where(F.col("rank") <= k)
+    return ranked.select("id", "neighbour", "rank", F.col("score") if metric == "cosine" else (-F.col("score")).alias("score"))
 
 
 def neighbourhood_preservation(high: DataFrame, low: DataFrame) -> DataFrame:

@@ -217,6 +217,19 @@ def test_fnv(spark):
     assert plain("MK") == 654839471802238953
 
 
+def test_knn_takes_all_rows(spark):
+    """More than 4,000 rows, each one's nearest neighbours by brute force."""
+    n, k = 4500, 3
+    x = np.random.default_rng(1).normal(size=(n, 8))
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    norms = np.sqrt((x * x).sum(1))
+    score = np.round(x @ x.T / np.where(np.outer(norms, norms) > 0, np.outer(norms, norms), 1), 9)
+    np.fill_diagonal(score, -np.inf)
+    want = {(i, int(j), r + 1) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), -score[i]))[:k])}
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in vec.knn(df, "id", "v", k).collect()} == want
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([float("nan"), 1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     r = df.select(vectors.cosine(F.col("a"), F.col("b")), vectors.finite(F.col("a")), vectors.squared_distance(F.col("a"), F.col("b"))).collect()
