@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,8 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of values, with ROW_BYTES for each row on top, up to which a side of a join is broadcast.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 32
+
+#: Folders of tables that are removed when the program ends, with the file system configuration they were made with.
+_made: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,26 +37,44 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: its lineage ends there."""
+    """``df`` written as a table in the shared folder and read back: its lineage ends there. Removed when the program ends, if not before."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if not _made:
+        atexit.register(_remove_all)
+    _made[path] = spark.sparkContext._jsc.hadoopConfiguration()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark_jvm, folder: str, configuration) -> None:
+    path = spark_jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(configuration).delete(path, True)
+
+
+def _remove_all() -> None:
+    from pyspark import SparkContext
+
+    if SparkContext._gateway is not None:
+        for folder, configuration in _made.items():
+            _delete(SparkContext._gateway.jvm, folder, configuration)
+    _made.clear()
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table that ``written`` made, once nothing needs it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         if "/kmerloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark.sparkContext._jvm, folder, spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, evaluated once into a table, and marked for broadcast if its values have at most ``most`` bytes, else left for Spark to shuffle."""
+    df = written(df, "side")
+    bytes_ = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    size = df.agg(F.sum(sum(bytes_[1:], bytes_[0]) + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
