@@ -7,12 +7,14 @@ is fitted on a bounded sample of training texts. Texts are scored in batches: pr
 n-grams (texts x n-grams) times the landmarks' presence (n-grams x landmarks) gives the kernel rows, and these
 times the ridge weights the languages' scores.
 
-Learned from: rows with text, a non-null lang and crc32 of the id modulo 3 other than 1. ``PER_LANGUAGE`` rows
-of each language are taken at most, those with the smallest hashes of text; ``LANDMARKS`` of each are
-landmarks. Both bounds are parameters. Prediction reads every text whole.
+Learned from: rows with text, a non-null lang, a letter and crc32 of the id modulo 3 other than 1. ``PER_LANGUAGE`` rows
+of each language are taken at most, those with the smallest hashes of their ids; the first ``LANDMARKS`` of each, fewer
+where the languages' landmarks would be more than ``ALL_LANDMARKS`` together, are landmarks. These bounds are parameters.
+Every language counts, and all n-grams of all landmarks are in the kernel. Prediction reads every text whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Without training rows every text
-is ``und``. A letter is what Unicode calls one. Other columns are not read.
+is ``und``. Of languages with equal scores the first in alphabetical order is predicted. Rows of equal id are predicted each.
+A letter is what Unicode calls one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,29 +24,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import filtered, fold, held_out, nonempty, prepare
 
 ORDERS = (2, 3, 4)
-PER_LANGUAGE, LANDMARKS, LANGUAGES, RIDGE = 300, 24, 400, 0.05
-#: n-grams of the landmarks that are kept at most: those held by most landmarks.
-VOCABULARY = 12_000
-SLOT_BITS = 22
-#: Texts scored in one product, and characters of a text hashed at once.
-ROWS, STRETCH = 64, 1 << 18
+PER_LANGUAGE, LANDMARKS, ALL_LANDMARKS, RIDGE = 300, 24, 4096, 0.05
+#: How far below the lowest hundredth of the learned texts' best scores a text's may be, in parts of what lies between it and
+#: their middle, for the text to count as one of a learned language.
+SLACK = 0.6
+#: Texts scored in one product, bytes of the landmarks' part in it, and characters of a text hashed at once.
+ROWS, PRODUCT_BYTES, STRETCH = 64, 32 << 20, 1 << 18
 UNDETERMINED = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-# Every ASCII character but a-z as a space.
-_ASCII = {c: " " for c in range(128) if not 97 <= c <= 122}
+# Every ASCII byte but a-z as a space.
+_ASCII = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
 def letters_only(text: str) -> str:
     """The text's letters in lower case, with single spaces for all that stands between them."""
-    out = " ".join(text.lower().translate(_ASCII).split())
+    out = " ".join(text.lower().encode().translate(_ASCII).decode().split())
     if out.isascii() or out.replace(" ", "").isalpha():
         return out
     return " ".join("".join(c if c.isalpha() else " " for c in out).split())
@@ -65,108 +67,181 @@ def ngram_hashes(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Hashes in order, each once."""
+    h = np.sort(hashes)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
 def distinct_ngrams(text: str) -> np.ndarray:
     """The n-grams of a prepared text with a space at either end."""
-    return np.unique(ngram_hashes(f" {text} "))
+    return distinct(ngram_hashes(f" {text} "))
+
+
+class Table:
+    """A hash table of distinct n-grams: an n-gram's column is its place among them. Open addressing, so none is lost."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.bits = max(8, int(16 * len(grams)).bit_length())
+        self.columns = np.full(1 << self.bits, -1, "i4")
+        left, at = np.arange(len(grams)), self._home(grams)
+        while len(left):
+            free = np.flatnonzero(self.columns[at] < 0)
+            self.columns[at[free]] = left[free]  # of several for one slot the last stays
+            out = self.columns[at] != left
+            left, at = left[out], (at[out] + 1) & (len(self.columns) - 1)
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The columns of those of the n-grams that are in the table."""
+        found, at = [], self._home(grams)
+        while len(grams):
+            column = self.columns[at]
+            some = column >= 0
+            same = some & (self.grams[column] == grams)
+            found.append(column[same])
+            on = some & ~same
+            grams, at = grams[on], (at[on] + 1) & (len(self.columns) - 1)
+        return np.concatenate(found) if found else np.zeros(0, "i4")
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    grams: np.ndarray  # the n-gram of each column
-    slots: np.ndarray  # slot of an n-gram's hash -> its column, or -1
-    landmarks: np.ndarray  # n-grams x landmarks, presence
+    table: Table  # the landmarks' n-grams
+    starts: np.ndarray  # n-gram c is held by the landmarks holders[starts[c] : starts[c + 1]]
+    holders: np.ndarray
     norms: np.ndarray  # each landmark's number of distinct n-grams
     weights: np.ndarray  # landmarks (and a constant) x languages
+    floor: float = -np.inf  # what the best ridge score of a text in a learned language reaches
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        """Kernel rows of prepared texts against the landmarks."""
-        present = np.zeros((len(texts), len(self.grams)), "f4")
-        own = np.ones(len(texts))
-        shift = np.uint64(64 - SLOT_BITS)
+        """Kernel rows of prepared texts against the landmarks, by products over the n-grams that the texts hold."""
+        columns, own = [], np.ones(len(texts))
         for i, text in enumerate(texts):
-            seen: set[int] | None = None
-            count = 0
             text = f" {text} "
-            for at in range(0, len(text), STRETCH):
-                # stretches overlap so that no n-gram is lost between them
-                h = ngram_hashes(text[max(0, at - max(ORDERS) + 1) : at + STRETCH])
-                column = self.slots[(h * _MULTIPLIER) >> shift]
-                hit = column >= 0
-                column, h2 = column[hit], h[hit]
-                present[i, column[self.grams[column] == h2]] = 1
-                if len(text) <= STRETCH:
-                    count = len(np.unique(h))
-                else:
-                    seen = (seen or set()) | set(np.unique(h).tolist())
-            own[i] = max(1, len(seen) if seen is not None else count)
-        return (present @ self.landmarks).astype("f8") / np.sqrt(np.outer(own, self.norms))
+            # stretches overlap so that no n-gram is lost between them
+            parts = [distinct(ngram_hashes(text[max(0, at - max(ORDERS) + 1) : at + STRETCH])) for at in range(0, len(text), STRETCH)]
+            grams = parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
+            own[i] = max(1, len(grams))
+            columns.append(self.table.find(grams))
+        column = np.concatenate(columns)
+        used = distinct(column)
+        place = np.zeros(len(self.table.grams), "i4")
+        place[used] = np.arange(len(used))
+        place = place[column]
+        row = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
+        shared, step = np.zeros((len(texts), len(self.norms))), max(64, PRODUCT_BYTES // (4 * len(self.norms)))
+        for lo in range(0, len(used), step):
+            part = used[lo : lo + step]
+            here = (place >= lo) & (place < lo + step)
+            present = np.zeros((len(texts), len(part)), "f4")
+            present[row[here], place[here] - lo] = 1
+            shared += present @ self._presence(part)
+        return shared / np.sqrt(np.outer(own, self.norms))
+
+    def _presence(self, columns: np.ndarray) -> np.ndarray:
+        """n-grams x landmarks, 1 where the landmark holds the n-gram."""
+        first, count = self.starts[columns], self.starts[columns + 1] - self.starts[columns]
+        out, row = np.zeros((len(columns), len(self.norms)), "f4"), np.repeat(np.arange(len(columns)), count)
+        out[row, self.holders[np.arange(len(row)) - np.repeat(np.cumsum(count) - count - first, count)]] = 1
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         k = self.kernel(texts)
         return np.hstack([k, np.ones((len(k), 1))]) @ self.weights
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Languages and scores (softmax of the ridge scores over the languages) of whole texts."""
+    def best(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores (softmax of the ridge scores over the languages) and best ridge scores of whole texts."""
         prepared = [letters_only(t or "") for t in texts]
-        lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        lang, score, ridge = [UNDETERMINED] * len(texts), [0.0] * len(texts), [-np.inf] * len(texts)
         some = [i for i, t in enumerate(prepared) if t]
         for k in range(0, len(some), ROWS):
             part = some[k : k + ROWS]
             s = self.scores([prepared[i] for i in part])
             e = np.exp(6 * (s - s.max(1, keepdims=True)))
             e /= e.sum(1, keepdims=True)
-            for i, j, p in zip(part, s.argmax(1).tolist(), e.max(1).tolist(), strict=True):
-                lang[i], score[i] = self.languages[j], min(1.0, p)
-        return lang, score
+            for i, j, p, top in zip(part, s.argmax(1).tolist(), e.max(1).tolist(), s.max(1).tolist(), strict=True):
+                lang[i], score[i], ridge[i] = self.languages[j], min(1.0, p), top
+        return lang, score, ridge
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.best(texts)[:2]
 
 
 def training_rows(documents: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """Prepared texts by language: for each the rows with the smallest hashes, per_language at most."""
-    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null").where(F.coalesce(fold() != 1, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    """Prepared texts by language: for each the rows with the smallest hashes of their ids, per_language at most."""
+    spark = documents.sparkSession
+    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(F.coalesce(fold() != 1, F.lit(False)) & F.col("text").rlike(r"\p{L}"))
+    counts = d.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
-    # one hash for a row; a language's share keeps about twice the rows wanted, so few texts reach the sort
+    # a language's share keeps about four times the rows wanted, so few texts reach the window
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["n"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n)))))
-    chosen = d.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang")))
-    out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
-    for r in chosen.orderBy("draw", "doc_id").limit(2 * per_language * len(counts)).toLocalIterator():
-        if len(out[r["lang"]]) < per_language and (t := letters_only(r["text"])):
+    drawn = d.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share")
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= per_language)
+    out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(counts)}
+    for r in ranked.select("lang", "text").orderBy("lang", "rank").toLocalIterator():
+        if t := letters_only(r["text"]):
             out[r["lang"]].append(t)
     return {k: v for k, v in out.items() if v}
 
 
-def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
+def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, all_landmarks: int = ALL_LANDMARKS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Fit on a bounded sample of the training rows. None if there are none."""
     texts = training_rows(documents, per_language, doc_id, text, lang)
     if not texts:
         return None
+    landmarks = min(landmarks, max(2, all_landmarks // len(texts)))
+    model = fit_texts(texts, landmarks, ridge)
+    model.floor = floor_of(texts, landmarks, ridge)
+    return model
+
+
+def floor_of(texts: dict[str, list[str]], landmarks: int, ridge: float) -> float:
+    """What the best ridge score of a text in a learned language reaches: each half of the texts is scored by a fit on the other half."""
+    halves = [{k: v[i::2] for k, v in texts.items() if v[i::2]} for i in (0, 1)]
+    if not all(halves):
+        return -np.inf
+    top: list[float] = []
+    for known, other in (halves, halves[::-1]):
+        model = fit_texts(known, landmarks, ridge)
+        top += model.best([t for own in other.values() for t in own])[2]
+    low, middle = np.quantile(top, [0.01, 0.5])
+    return float(low - SLACK * (middle - low))
+
+
+def fit_texts(texts: dict[str, list[str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Fit on prepared texts by language."""
     marks = [distinct_ngrams(t) for own in texts.values() for t in own[:landmarks]]
-    grams, held = np.unique(np.concatenate(marks), return_counts=True)
-    if len(grams) > VOCABULARY:
-        grams = np.sort(grams[np.argsort(-held, kind="stable")[:VOCABULARY]])
-    slots = np.full(1 << SLOT_BITS, -1, "i4")
-    at = (grams * _MULTIPLIER) >> np.uint64(64 - SLOT_BITS)
-    _, first = np.unique(at, return_index=True)  # of n-grams that share a slot one stays in the kernel
-    grams, at = grams[first], at[first]
-    slots[at] = np.arange(len(grams))
-    presence = np.stack([np.isin(grams, m) for m in marks], axis=1).astype("f4")
-    model = LanguageModel(list(texts), grams, slots, presence, np.array([max(1, len(m)) for m in marks], "f8"), np.zeros((len(marks) + 1, len(texts))))
-    everything = [t for own in texts.values() for t in own]
-    k = np.vstack([model.kernel(everything[i : i + ROWS]) for i in range(0, len(everything), ROWS)])
+    n, languages = len(marks), len(texts)
+    grams, column = np.unique(np.concatenate(marks), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    holders = np.repeat(np.arange(n), [len(m) for m in marks])[order].astype("i4")
+    starts = np.searchsorted(column[order], np.arange(len(grams) + 1))
+    model = LanguageModel(list(texts), Table(grams), starts, holders, np.array([max(1, len(m)) for m in marks], "f8"), np.zeros((n + 1, languages)))
+    everything = [(i, t) for i, own in enumerate(texts.values()) for t in own]
+    batches = [everything[k : k + ROWS] for k in range(0, len(everything), ROWS)]
     # Nystroem: features K W^(-1/2), with W the kernel among the landmarks
-    w = (presence.T @ presence).astype("f8") / np.sqrt(np.outer(model.norms, model.norms))
-    values, vectors = np.linalg.eigh(w)
+    w = np.vstack([model.kernel([t for own in texts.values() for t in own[:landmarks]][k : k + ROWS]) for k in range(0, n, ROWS)])
+    values, vectors = np.linalg.eigh((w + w.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    f = np.hstack([k @ root, np.ones((len(k), 1))])
-    label = np.repeat(np.arange(len(texts)), [len(v) for v in texts.values()])
-    y = np.where(label[:, None] == np.arange(len(texts)), 1.0, -1.0)
     # rare languages weigh as much as common ones
-    weight = (len(label) / (len(texts) * np.bincount(label, minlength=len(texts))))[label][:, None]
-    solved = np.linalg.solve(f.T @ (f * weight) + ridge * np.eye(f.shape[1]), f.T @ (y * weight))
+    size = np.array([len(own) for own in texts.values()])
+    share = len(everything) / (languages * size)
+    gram, right = np.zeros((root.shape[1] + 1,) * 2), np.zeros((root.shape[1] + 1, languages))
+    for part in batches:
+        label = np.array([i for i, _ in part])
+        f = np.hstack([model.kernel([t for _, t in part]) @ root, np.ones((len(part), 1))])
+        weighted = f * share[label][:, None]
+        gram += f.T @ weighted
+        right += weighted.T @ np.where(label[:, None] == np.arange(languages), 1.0, -1.0)
+    solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), right)
     model.weights = np.vstack([root @ solved[:-1], solved[-1:]])
     return model
 
@@ -174,7 +249,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
 def identify(documents: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_, doc_id, held_out, lang_pred, score) of every row. Row by row: no shuffle.
 
-    The model's size is bounded by its parameters: VOCABULARY x landmarks numbers and the slots.
+    The model holds the landmarks' n-grams; the number of landmarks is bounded by the parameters.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -192,13 +267,16 @@ def identify(documents: DataFrame, model: LanguageModel | None, doc_id: str = "d
     return out.select("row_", "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def known_rows(documents: DataFrame, model: LanguageModel | None, least_score: float, text: str = "text") -> DataFrame:
-    """The rows of documents in a learned language, with all their columns; without a model, all."""
+def known_rows(documents: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """The rows of documents in a learned language, with all their columns: their best ridge score reaches the model's floor, which
+    is set on the training rows and does not depend on how many languages there are. Texts without a letter go. Without a model
+    nothing is known of languages, and all other rows stay."""
     if model is None:
-        return documents
+        return documents.where(F.col(text).rlike(r"\p{L}"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def known(texts: list[str | None]) -> list[bool]:
-        return [lang != UNDETERMINED and score >= least_score for lang, score in zip(*shared.value.predict(texts), strict=True)]
+        m = shared.value
+        return [top >= m.floor for top in m.best(texts)[2]]
 
     return filtered(documents, known, text)
