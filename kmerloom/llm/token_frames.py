@@ -17,6 +17,7 @@ documents. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,24 +40,28 @@ FOOTER_MAGIC = b"KLSEEK01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"), ("checksum", "<u4"), ("flags", "<u4")])
 FOOTER = struct.Struct("<Q8s")
 #: Bytes of text that go to one file, about.
-FILE_TEXT_BYTES = 32 << 20
+FILE_TEXT_BYTES = 16 << 20
 #: Words that a worker remembers the ids of; beyond it starts anew. Longer words are not remembered.
 MEMO_WORDS, MEMO_CHARS = 500_000, 48
 
 #: ASCII punctuation but the apostrophe, with which contractions begin.
 PUNCTUATION = rb""" !"#$%&()*+,-./:;<=>?@[\]^_`{|}~""".strip()
 
+#: Texts on which encoding by words must equal encoding whole: case, white space, marks, contractions, digits, special tokens.
+PROBES = [a + sep + b for a in ("Hello", "WORLD,", "don't", "it's.", "x1y2", "3.14", "(a)", "né", "ÀB!", "漢字", "🙂", "a-b_c", "'S", "<|x", "<|endoftext|>", "<|ENDOFTEXT|>") for b in ("the end", "ll", "'ll", "...", "?!", "ß", "É,") for sep in (" ", "\n", "\t ", "  \n\n ", "\u00a0")]
+
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of texts as bytes, by the tokenizers library.
 
-    The tokenizer drops white space, none of its tokens spans any, and it lowers letters first. So a text's ids
+    If the tokenizer drops white space, none of its tokens spans any, and it lowers letters first, a text's ids
     are those of its lower-case parts between spaces and line feeds, one after another, and each distinct part is
     encoded once. A part that ends in punctuation after a letter is two such parts. New parts of letters alone
     are encoded as one text; each ends with its first id that has the mark of a word's end. Parts with ``<|``
-    may hold special tokens, which are told apart by case, so their texts are left as they are.
+    may hold special tokens, which are told apart by case, so their texts are left as they are. Whether a tokenizer is of
+    this kind is read from its description and tried on ``PROBES``; texts are given to any other whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -68,6 +73,15 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {b"": b""}
+        self.by_words = self._is_of_words()
+
+    def _is_of_words(self) -> bool:
+        """Whether words can be encoded each on its own."""
+        described = json.loads(self.tokenizer.to_str())
+        if described["model"].get("end_of_word_suffix") != "</w>" or any(not x["content"].startswith("<|") for x in described.get("added_tokens") or []):
+            return False
+        whole = self._one_by_one(PROBES)
+        return self._by_words(PROBES) == whole and self._by_words(PROBES[::-1]) == whole[::-1]
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -99,6 +113,9 @@ class WordEncoder:
             memo[part] = memo[core] + memo[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids + self.end for ids in (self._by_words(texts) if self.by_words else self._one_by_one(texts))]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {b"": b""}
         split = [(t.encode() if "<|" in t else t.encode().lower()).replace(b"\n", b" ").split(b" ") for t in texts]
@@ -110,7 +127,7 @@ class WordEncoder:
                 found[k] = list(map(self.memo.__getitem__, split[k]))
             for word in [w for k in late for w in split[k] if len(w) > MEMO_CHARS]:
                 self.memo.pop(word, None)
-        return [b"".join(ids) + self.end for ids in found]
+        return list(map(b"".join, found))
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -163,8 +180,8 @@ class FrameReader:
         return np.flatnonzero((self.entries["doc_id"] == doc_id) & (self.entries["flags"] == 0)).tolist()
 
 
-def write_frames(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", level: int = 3) -> None:
-    """Encode documents in ascending doc_id order into the folder ``path``, file after file in name order.
+def write_frames(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", level: int = 3, file_bytes: int = FILE_TEXT_BYTES) -> None:
+    """Encode documents in ascending doc_id order into the folder ``path``, file after file in name order, about ``file_bytes`` of text to each.
 
     One shuffle, by ranges of doc_id; the ids never leave the task that made them but into the file.
     """
@@ -172,7 +189,7 @@ def write_frames(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     prepare(spark)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_TEXT_BYTES + 1) if size > FILE_TEXT_BYTES else 1
+    parts = size // file_bytes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer, entries, offset = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True), [], 0
@@ -185,7 +202,7 @@ def write_frames(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
         yield pa.RecordBatch.from_arrays([pa.array([seek_table(entries)], pa.binary())], names=["frame"])
 
-    sorted_docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text") if parts > 1 else docs.coalesce(1).sortWithinPartitions("doc_id", "text")
+    sorted_docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     sorted_docs.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", PAD.decode("ascii")).text(path)
 
 
