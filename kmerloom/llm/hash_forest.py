@@ -6,19 +6,19 @@ row shares with it, and then all trees ascend together, a bit at a time, until t
 length in common number ``share`` of the rows for each tree. These candidates are ranked by exact Euclidean
 distance in double precision.
 
-Rows are indexed in blocks, each a forest of its own held by one task; every query is answered in every block and the
+Rows are indexed in blocks of at most ``BLOCK_ROWS``, each a forest of its own; every query is answered in every block and the
 blocks' best are merged. So the candidates are the same share of the rows at every size, which is what vectors
 without small intrinsic dimension need for a steady recall (measured in the README), and a task holds one block.
-Queries are read in blocks of at most ``QUERY_BYTES``, so what is sent to the executors is bounded; more queries
-mean more passes.
+Queries are packed into blocks of at most ``QUERY_BYTES`` too. A block of rows meets each block of queries as one row of a
+join, so the plan does not grow with the queries, no task holds more than a block of either, and nothing passes through the driver.
 
 Equal vectors are one entry of a forest with its ``k + 1`` smallest ids, which are all that any query can need of
-them. Hyperplanes come from a seed and stand halfway between rows of a bounded sample of the vectors.
+them. Hyperplanes come from a seed and stand halfway between rows of a bounded sample of the vectors. Vectors of each
+dimension are searched among themselves.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those of another
-dimension than the smallest id's, take no part. A query has fewer than k rows if fewer other vectors take part. Ties go to the
-smaller id. Rows of equal id stand for themselves; a query leaves out all rows of its own id. Other columns are not
-read.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part. A query has fewer
+than k rows if fewer other vectors of its dimension take part. Ties go to the smaller id. Rows of equal id stand for themselves; a
+query leaves out all rows of its own id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import nonempty, prepare, written
 
 TREES, DEPTH, SHARE, SEED = 48, 40, 0.012, 7
-#: Rows of a block; bytes of the queries of one pass; rows that planes are drawn from.
-BLOCK_ROWS, QUERY_BYTES, SAMPLE = 16_384, 16 << 20, 512
+#: Rows of a block; bytes of a block of queries; rows of each dimension that planes are drawn from.
+BLOCK_ROWS, QUERY_BYTES, SAMPLE = 16_384, 8 << 20, 512
 _ONE = np.uint64(1)
 
 
@@ -117,58 +118,70 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def packed(rows: DataFrame, block_rows) -> DataFrame:
+    """(dim, block, ids binary, x binary): rows (dim, vec_id, v) packed within their partitions, ``block_rows(dim)`` at most to a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        count: dict[int, int] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
+            count[dim] = 0
+            name = int(np.uint64(xxhash.xxh3_64_intdigest(ids.tobytes())).view("i8"))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([name]), pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()])], names=["dim", "block", "ids", "x"])
+
+        for b in nonempty(batches):
+            dims = b.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                ids, x, most = own.column(1).to_numpy(), _stacked(own.column(2)), block_rows(dim)
+                while len(ids):
+                    n = min(len(ids), most - count.get(dim, 0))
+                    held.setdefault(dim, []).append((ids[:n], x[:n]))
+                    count[dim] = count.get(dim, 0) + n
+                    ids, x = ids[n:], x[n:]
+                    if count[dim] == most:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return rows.mapInArrow(run, "dim int, block long, ids binary, x binary")
+
+
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, share: float = SHARE, trees: int = TREES, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows found nearest to each row whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
     prepare(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = usable(embeddings, vec_id, embedding)
-    first = rows.orderBy("vec_id").select(F.size("v")).first()
-    if first is None:
-        return spark.createDataFrame([], schema)
-    dim = first[0]
-    rows = rows.where(F.size("v") == dim)
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    planes = spark.sparkContext.broadcast(Planes(sample, trees))
-    blocks = written(rows.repartition(max(1, ceil(n / block_rows))), "vectors")
-    passes = max(1, ceil(n_queries * dim * 8 / query_bytes))
-
-    found = []
-    for part in range(passes):
-        mine = blocks.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == part)).toArrow()
-        if not mine.num_rows:
-            continue
-        mine = mine.combine_chunks()
-        shared = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(), _stacked(mine["v"].combine_chunks() if hasattr(mine["v"], "combine_chunks") else mine["v"])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = shared.value
-
-            def answers(ids, x):
-                hits = list(Forest(planes.value, np.concatenate(ids), np.concatenate(x), k).search(query_ids, queries, share))
+    rows = usable(embeddings, vec_id, embedding).select(F.size("v").alias("dim"), "vec_id", "v")
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    planes = {}
+    for r in dims:
+        sample = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+        planes[r["dim"]] = Planes(np.array([x["v"] for x in sample]), trees)
+    planes = spark.sparkContext.broadcast(planes)
+    # rows are dealt evenly, so a partition is about one block
+    blocks = written(packed(rows.repartition(max(1, ceil(sum(r["n"] for r in dims) / block_rows))), lambda dim: 2 * block_rows), "vectors")
+    asked = rows.where(F.col("vec_id") % every == 0).repartition(max(1, ceil(sum(r["q"] * r["dim"] * 8 for r in dims) / query_bytes)))
+    queries = written(packed(asked, lambda dim: max(1, query_bytes // (8 * dim))), "queries")
+    # every block meets every block of queries of its dimension: partitions with partitions, as the dimension alone is no key to shuffle by
+    pairs = blocks.hint("shuffle_replicate_nl").join(queries.select(F.col("dim").alias("of"), F.col("ids").alias("query_ids"), F.col("x").alias("query_x")), F.col("dim") == F.col("of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, forest = None, None
+        for b in nonempty(batches):
+            for dim, block, ids, x, _, query_ids, queries in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != (dim, block):
+                    name, forest = (dim, block), Forest(planes.value[dim], np.frombuffer(ids, "<i8"), np.frombuffer(x, "<f8").reshape(-1, dim), k)
+                hits = list(forest.search(np.frombuffer(query_ids, "<i8"), np.frombuffer(queries, "<f8").reshape(-1, dim), share))
                 counts = [len(i) for _, i, _ in hits]
-                return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in hits], counts)), pa.array(np.concatenate([i for _, i, _ in hits])), pa.array(np.concatenate([d for _, _, d in hits]))], names=["query_id", "vec_id", "score"])
-
-            ids, x, held = [], [], 0
-            for b in nonempty(batches):
-                ids.append(b.column(0).to_numpy())
-                x.append(_stacked(b.column(1)))
-                held += b.num_rows
-                if held >= 2 * block_rows:  # a task's input may be more than one block
-                    yield answers(ids, x)
-                    ids, x, held = [], [], 0
-            if held:
-                yield answers(ids, x)
-
-        found.append(blocks.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double"))
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in hits], counts)), pa.array(np.concatenate([i for _, i, _ in hits])), pa.array(np.concatenate([d for _, _, d in hits]))], names=["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_sql(k: int = 10, every: int = 100) -> str:
