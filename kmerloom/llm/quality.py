@@ -4,13 +4,15 @@ Each whole text gives a short vector of statistics. Standardised by the training
 random Fourier features, whose inner products approximate a Gaussian kernel. Ridge regression on them is fitted
 from normal equations summed by partition, and its scores are turned into probabilities by isotonic regression
 over a histogram of scores. All three passes sum over all labelled rows; the driver gets moments, one Gram
-matrix and one histogram, whose sizes do not depend on the data.
+matrix and one histogram, whose sizes do not depend on the data. Between the levels that isotonic regression finds the
+probability rises with the raw score, so it keeps the raw scores' order and is never 0 or 1.
 
 Rows are dealt by crc32 of the id, modulo 3: remainder 1 is held out, and 0 and 2 are the two halves of the training
 rows. The ridge is fitted on both; the calibration sees each half with the scores of a ridge fitted on the other. Labels, lang, source and ids are never inputs of a score.
 
 Defined results: null and empty texts have all-zero statistics and get their score like any other. Without
-training labels every score is 0.5. Several labels of one id all count. Other columns are not read.
+training labels every score is 0.5 and ``good_rows`` keeps all rows. Several labels of one id all count. Rows of equal id
+are scored each. Equal texts have equal scores. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import checked_broadcast
 from .base import filtered, fold, held_out, nonempty, prepare, texts_of, written
 
 STATISTICS = (
@@ -110,7 +113,8 @@ class QualityModel:
     weights: np.ndarray
     low: float
     high: float
-    curve: np.ndarray  # calibrated probability of each bin of raw scores between low and high
+    at: np.ndarray  # raw scores, rising, and the calibrated probability at each; linear in between
+    level: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -123,11 +127,11 @@ class QualityModel:
         return np.clip((raw - self.low) / (self.high - self.low) * BINS, 0, BINS - 1).astype("i8")
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.curve[self.bins(self.raw(x))]
+        return np.interp(self.raw(x), self.at, self.level)
 
 
-def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The non-decreasing sequence closest to values by weighted squares (pool adjacent violators)."""
+def isotonic(values: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
+    """The non-decreasing sequence closest to values by weighted squares (pool adjacent violators), as (level, number of values) of its steps."""
     blocks: list[list[float]] = []
     for v, w in zip(values.tolist(), weights.tolist(), strict=True):
         blocks.append([v, w, 1])
@@ -135,7 +139,30 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
             v2, w2, n2 = blocks.pop()
             v1, w1, n1 = blocks.pop()
             blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
-    return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
+    return [(v, int(n)) for v, _, n in blocks]
+
+
+def calibrated(n: np.ndarray, ones: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Raw scores and the probability at each, from a histogram of raw scores between low and high and of those with label 1.
+
+    Half a row of either label at both ends of the scores keeps every level off 0 and 1. Each step of the isotonic sequence runs from
+    its lowest to its highest score, with a small rise; between steps the curve is linear, and beyond the outermost ones it goes half of
+    the way that is left to 0 and 1.
+    """
+    held = np.flatnonzero(n)
+    total, of_ones = n[held].astype("f8"), ones[held].astype("f8")
+    centre = low + (held + 0.5) * (high - low) / len(n)
+    width = (high - low) / len(n)
+    total, of_ones, centre = (np.concatenate([[end[0]], x, [end[1]]]) for x, end in ((total, (1, 1)), (of_ones, (0.5, 0.5)), (centre, (centre[0] - width, centre[-1] + width))))
+    steps, k = isotonic(of_ones / total, total), 0
+    levels = [0.0, *(p for p, _ in steps), 1.0]
+    at, level = [low - (high - low)], [levels[1] / 2]
+    for i, (p, size) in enumerate(steps, 1):
+        # a step rises by a tenth of what lies between it and the next one
+        at += [centre[k] - 0.4 * width, centre[k + size - 1] + 0.4 * width]
+        level += [p, p + 0.1 * (levels[i + 1] - p)]
+        k += size
+    return np.array([*at, high + (high - low)]), np.array([*level, (1 + level[-1]) / 2])
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = SEED) -> QualityModel | None:
@@ -155,7 +182,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", features: in
     scale = np.sqrt(np.maximum(sums[d + 1 :] / sums[0] - mean**2, 0))
     scale[scale < 1e-9] = 1.0
     rng = np.random.default_rng(seed)
-    m = QualityModel(mean, scale, rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), -0.5, 1.5, np.zeros(BINS))
+    m = QualityModel(mean, scale, rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), -0.5, 1.5, np.zeros(0), np.zeros(0))
     k = features + 1
     fit_rows = train.select("x", "y_", (F.col("fold_") == 2).cast("int").alias("half"))
 
@@ -180,11 +207,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", features: in
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, b.column(1).to_numpy(), minlength=BINS)])
 
     sums = _summed(fit_rows, histogram, 2 * BINS)
-    n, ones = sums[:BINS], sums[BINS:]
-    held = np.flatnonzero(n)
-    # half a row of either label at the ends keeps probabilities off 0 and 1; between bins that hold rows the curve is linear
-    level = isotonic(np.concatenate([[0.0], ones[held] / n[held], [1.0]]), np.concatenate([[0.5], n[held], [0.5]]))[1:-1]
-    m.curve = np.interp(np.arange(BINS), held, level)
+    m.at, m.level = calibrated(sums[:BINS], sums[BINS:], m.low, m.high)
     return m
 
 
@@ -204,9 +227,14 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", do
 
 
 def good_rows(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that are predicted to be good, with all their columns. Texts are not shuffled."""
-    learnable = documents.where(F.coalesce(fold(doc_id) != 1, F.lit(False)))
-    model = fit(document_statistics(learnable, doc_id, text), labels, label)
+    """The rows of documents that are predicted to be good, with all their columns.
+
+    Texts are shuffled only to learn from, and only where the labelled ids are too many to be broadcast.
+    """
+    # statistics of labelled rows only are needed to learn
+    known = labels.where(F.col(label).isNotNull() & F.coalesce(fold() != 1, F.lit(False))).select(F.col("doc_id").alias("known_")).distinct()
+    learnable = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(checked_broadcast(known), F.col("doc_id") == F.col("known_"), "left_semi")
+    model = fit(document_statistics(learnable), labels, label)
     if model is None:
         return documents
     return filtered(documents, lambda texts: model.score(np.array([statistics(t or "") for t in texts])) >= 0.5, text)
