@@ -16,8 +16,9 @@ in turn takes away what it reaches, so a dense group costs one pass over it. Sig
 distance + 1 blocks one must be equal), by Spark and then again within a task. What is passed on is one edge
 for each fingerprint and signature at most; components over edges and copies give each text its component.
 
-``first_of_each_group`` keeps one text of each group of similar texts: banded wider fingerprints and an exact prefix join
-give candidates, and the sets of shingles themselves decide.
+``first_of_each_group`` keeps one text of each group of similar texts. Its candidates come from the same search over wider
+fingerprints, planned for the largest distance that a given cost allows, and from an exact prefix join for what is then still
+apart; the sets of shingles themselves decide.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other. Rows with null doc_id
 count as members but never give a component its name. Other columns are not read.
@@ -43,6 +44,7 @@ BITS = 64
 #: Fingerprints of one signature beyond which the signature is split.
 HOT = 4096
 ALL = (1 << 64) - 1
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
@@ -57,14 +59,38 @@ def word_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int = 8192) -> int:
-    hashes = word_hashes(text or "", shingle, seed)
-    if not hashes:
-        return 0
-    h, counts = np.array(hashes, "<u8").view("u1").reshape(-1, 8), np.zeros(BITS, "i8")
-    for k in range(0, len(h), block):
-        counts += np.unpackbits(h[k : k + block], axis=1, bitorder="little").sum(0, dtype="i8")
-    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+_SHIFTS, _LANES = np.arange(8, dtype="u8"), np.uint64(0x0101010101010101)
+
+
+def majorities(hashes: list[np.ndarray], chunk: int = 1 << 16) -> np.ndarray:
+    """For each array of 64-bit hashes the number whose bits are those set in over half of them; 0 for an empty one.
+
+    The eight bits of each byte are counted in the bytes of eight numbers, so 255 hashes can be added up before a byte is full.
+    """
+    out, sizes = np.zeros(len(hashes), "<u8"), np.array([len(h) for h in hashes])
+    some = np.flatnonzero(sizes)
+    for lo, hi in _stretches(sizes[some], chunk):
+        at = some[lo:hi]
+        n = sizes[at]
+        h, first = np.concatenate([hashes[i] for i in at.tolist()]), np.cumsum(n) - n
+        full = -(-n // 255)  # sums for each array
+        cuts = np.repeat(first, full) + 255 * (np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full))
+        sums = np.zeros((len(cuts), 8), "<u8")
+        for k in range(0, len(cuts), chunk // 255 + 1):
+            own = cuts[k : k + chunk // 255 + 1]
+            end = cuts[k + len(own)] if k + len(own) < len(cuts) else len(h)
+            sums[k : k + len(own)] = np.add.reduceat((h[own[0] : end, None] >> _SHIFTS) & _LANES, own - own[0], axis=0)
+        counts = np.add.reduceat(sums.view("u1").reshape(-1, 8, 8), np.cumsum(full) - full, axis=0, dtype="i8")
+        bits = (counts * 2 > n[:, None, None]).transpose(0, 2, 1).reshape(len(n), BITS)
+        out[at] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _stretches(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of arrays with about ``most`` elements together, one array at least."""
+    part = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)) if len(sizes) else []
 
 
 def fingerprints(documents: DataFrame, keys: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
@@ -74,45 +100,54 @@ def fingerprints(documents: DataFrame, keys: list[str], text: str = "text", shin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
-            fps = np.array([fingerprint(t, shingle) for t in b.column(len(keys)).to_pylist()], "u8").view("i8")
+            fps = majorities([np.array(word_hashes(t or "", shingle), "<u8") for t in b.column(len(keys)).to_pylist()]).view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(fps)], names=[*keys, "fp"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keys)], T.StructField("fp", T.LongType())]))
 
 
-def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of distinct fingerprints and how many have bits i and j, summed by partition: 64 x 64 numbers each."""
+def bit_statistics(distinct: DataFrame, words: tuple[str, ...] = ("fp",)) -> tuple[int, np.ndarray]:
+    """The number of distinct fingerprints and how many have bits i and j, summed by partition. A fingerprint's bits are those of its words."""
+    size = BITS * len(words)
+    i, j = np.triu_indices(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((BITS, BITS))
+        n, both = 0, np.zeros((size, size))
         for b in nonempty(batches):
-            x = np.unpackbits(b.column(0).to_numpy().astype("<i8").view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("f4")
+            x = np.unpackbits(np.stack([c.to_numpy() for c in b.columns], 1).astype("<i8").view("u1"), axis=1, bitorder="little").astype("f4")
             n, both = n + len(x), both + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), n))], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i * size + j, -1)), pa.array(np.append(both[i, j], n))], names=["k", "v"])
 
-    sums = np.zeros(BITS * BITS + 1)
-    for r in distinct.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        sums[r["k"]] = r["v"]
-    return int(sums[-1]), sums[:-1].reshape(BITS, BITS)
+    n, both = 0, np.zeros(size * size)
+    sums = distinct.select(*words).mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    for k, v in zip(sums["k"].to_pylist(), sums["v"].to_pylist(), strict=True):
+        if k < 0:
+            n = int(v)
+        else:
+            both[k] = v
+    both = both.reshape(size, size)
+    return n, both + np.triu(both, 1).T
 
 
 def grouped_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """The bits in m partitions of near equal size, each grown by the bit most correlated with what it has."""
+    bits = len(both)
     if n < 2:
-        return [list(range(i * BITS // m, (i + 1) * BITS // m)) for i in range(m)]
+        return [list(range(i * bits // m, (i + 1) * bits // m)) for i in range(m)]
     p = np.diag(both) / n
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(both / n - np.outer(p, p)) / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    left, parts = set(range(BITS)), []
+    left, parts = np.ones(bits, bool), []
     for i in range(m):
-        size = (i + 1) * BITS // m - i * BITS // m
-        group = [min(left, key=lambda b: (-corr[b, sorted(left)].max(), b))]
-        left.discard(group[0])
-        while len(group) < size:
-            best = min(left, key=lambda b: (-corr[b, group].sum(), b))
-            group.append(best)
-            left.discard(best)
+        best = np.where(left, np.where(left, corr, -1).max(1), -2)
+        group = [int(best.argmax())]
+        left[group[0]] = False
+        tie = corr[group[0]].copy()
+        while len(group) < (i + 1) * bits // m - i * bits // m:
+            group.append(int(np.where(left, tie, -1).argmax()))
+            left[group[-1]] = False
+            tie += corr[group[-1]]
         parts.append(sorted(group))
     return parts
 
@@ -129,31 +164,50 @@ def expected_share(p: np.ndarray, bits: list[int], t: int) -> float:
     return float(differ.sum())
 
 
+def cheapest(n: int, both: np.ndarray, distance: int, parts: list[list[int]]) -> tuple[float, list[tuple[list[int], int]]]:
+    """(cost, [(bits, threshold)]) of the thresholds for given partitions with the least expected signatures plus candidates."""
+    p, m = np.diag(both) / max(n, 1), len(parts)
+    total = distance - m + 1
+    # table: sum of thresholds so far -> (cost, thresholds)
+    table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for i, bits in enumerate(parts):
+        costs = {}
+        for t in range(-1, min(distance, 3) + 1):
+            if comb(len(bits), max(t, 0)) <= 600:
+                signatures = n * comb(len(bits), t) if t >= 0 else 0
+                # a signature's row is written and sorted; a candidate only costs a comparison
+                costs[t] = 20 * signatures + 0.5 * n * n * expected_share(p, bits, t)
+        step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for so_far, (cost, chosen) in table.items():
+            for t, more in costs.items():
+                if so_far + t - (m - i - 1) <= total and cost + more < step.get(so_far + t, (float("inf"),))[0]:
+                    step[so_far + t] = (cost + more, (*chosen, t))
+        table = step
+    if total not in table:
+        return float("inf"), []
+    return table[total][0], [(bits, t) for bits, t in zip(parts, table[total][1], strict=True) if t >= 0]
+
+
 def plan(n: int, both: np.ndarray, distance: int = 3) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of the partitions to probe, by the least expected signatures plus candidates."""
-    p = np.diag(both) / max(n, 1)
-    best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in range(1, distance + 3):
-        parts = grouped_bits(n, both, m)
-        total = distance - m + 1
-        # table: sum of thresholds so far -> (cost, thresholds)
-        table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-        for i, bits in enumerate(parts):
-            step: dict[int, tuple[float, tuple[int, ...]]] = {}
-            for so_far, (cost, chosen) in table.items():
-                for t in range(-1, min(distance, 3) + 1):
-                    rest = m - i - 1
-                    if so_far + t - rest > total or comb(len(bits), max(t, 0)) > 600:
-                        continue
-                    signatures = n * comb(len(bits), t) if t >= 0 else 0
-                    # a signature's row is written and sorted; a candidate only costs a comparison
-                    c = cost + 20 * signatures + 0.5 * n * n * expected_share(p, bits, t)
-                    if c < step.get(so_far + t, (float("inf"),))[0]:
-                        step[so_far + t] = (c, (*chosen, t))
-            table = step
-        if total in table and table[total][0] < best[0]:
-            best = (table[total][0], [(bits, t) for bits, t in zip(parts, table[total][1], strict=True) if t >= 0])
-    return best[1]
+    return min((cheapest(n, both, distance, grouped_bits(n, both, m)) for m in range(1, distance + 3)), key=lambda x: x[0])[1]
+
+
+def widest_plan(n: int, both: np.ndarray, budget: float) -> tuple[int, list[tuple[list[int], int]]]:
+    """(distance, plan) of the largest distance that can be planned at a cost of ``budget`` for each fingerprint, in the units of ``cheapest``."""
+    grouped: dict[int, list[list[int]]] = {}
+    best: tuple[int, list[tuple[list[int], int]]] = (0, [(list(range(len(both))), 0)])
+    for distance in range(1, len(both) // 4):
+        found = []
+        for m in range(max(1, distance // 2), distance + 3):
+            if m not in grouped:
+                grouped[m] = grouped_bits(n, both, m)
+            found.append(cheapest(n, both, distance, grouped[m]))
+        cost, parts = min(found, key=lambda x: x[0])
+        if cost > budget * max(n, 1):
+            break
+        best = (distance, parts)
+    return best
 
 
 def mask_of(bits: list[int]) -> int:
@@ -165,9 +219,8 @@ def signature_masks(parts: list[tuple[list[int], int]]) -> list[tuple[int, int]]
     return [(mask_of([b for b in bits if b not in gone]), mask_of(bits)) for bits, t in parts for gone in combinations(bits, t)]
 
 
-def blocks_outside(partition: int, count: int) -> list[int]:
-    """Masks of ``count`` blocks that share out the bits outside a partition."""
-    bits = [b for b in range(BITS) if not partition >> b & 1]
+def blocks_of(bits: list[int], count: int) -> list[int]:
+    """Masks of ``count`` blocks that share out the bits."""
     return [mask_of(bits[i * len(bits) // count : (i + 1) * len(bits) // count]) for i in range(count)]
 
 
@@ -175,41 +228,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links_within(fps: np.ndarray, distance: int, outside: int, limit: int = HOT) -> np.ndarray:
-    """For each of the distinct fingerprints (unsigned) the smallest that a chain of links within them reaches.
+def words_of_mask(mask: int, words: int) -> list[int]:
+    return [mask >> BITS * w & ALL for w in range(words)]
+
+
+def block_keys(fps: np.ndarray, masks: list[int]) -> np.ndarray:
+    """A number for the masked bits of each fingerprint: equal bits have equal numbers; more need not."""
+    keys = np.zeros(len(fps), "u8")
+    for w, mask in enumerate(masks):
+        keys = keys * _SPREAD + (fps[:, w] & np.uint64(mask))
+    return keys
+
+
+def edges_within(fps: np.ndarray, distance: int, outside: int, reach: int, limit: int = HOT) -> np.ndarray:
+    """Pairs (rows of two places) of distinct fingerprints, rows of words, that differ in ``reach`` bits at most: enough of them that their
+    chains are the same as those of all pairs that differ in ``distance`` bits at most.
 
     ``outside`` masks the bits in which they may differ. Up to ``limit`` they are searched directly: what one
     reaches is taken away, and so on from there. More are split on blocks of the bits left, of which one must be
     equal, as long as that splits them.
     """
-    n = len(fps)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    bits = [b for b in range(BITS) if outside >> b & 1]
+    n, words = fps.shape
+    bits = [b for b in range(BITS * words) if outside >> b & 1]
+    found = [np.zeros((0, 2), "i8")]
     if n > limit and len(bits) >= 2 * (distance + 1):
-        blocks = [mask_of(bits[i * len(bits) // (distance + 1) : (i + 1) * len(bits) // (distance + 1)]) for i in range(distance + 1)]
-        for block in blocks:
-            keys = fps & np.uint64(block)
+        label = np.arange(n)
+        for block in blocks_of(bits, distance + 1):
+            keys = block_keys(fps, words_of_mask(block, words))
             order = np.argsort(keys, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     members = order[lo:hi]
-                    sub = links_within(fps[members], distance, outside & ~block, limit)
-                    _join(label, members, members[sub])
-        return _roots(label)
+                    pairs = members[edges_within(fps[members], distance, outside & ~block, reach, limit)]
+                    found.append(pairs[_join(label, pairs)])
+        return np.concatenate(found)
     left = np.arange(n)
     while len(left):
-        root, frontier, left = left[0], [left[0]], left[1:]
+        frontier, left = [left[0]], left[1:]
         while frontier and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[frontier.pop()]) <= distance
+            at = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype="i8") <= reach
             if near.any():
                 reached = left[near]
-                label[reached] = root
+                found.append(np.stack([reached, np.full(len(reached), at)], 1))
                 frontier.extend(reached.tolist())
                 left = left[~near]
-    return label
+    return np.concatenate(found)
+
+
+def links_within(fps: np.ndarray, distance: int, outside: int, limit: int = HOT) -> np.ndarray:
+    """For each of the distinct fingerprints (one word each) the smallest that a chain of links within them reaches."""
+    label = np.arange(len(fps))
+    _join(label, edges_within(fps.reshape(-1, 1), distance, outside, distance, limit))
+    return np.array([_find(label, i) for i in range(len(label))], dtype=label.dtype)
 
 
 def _find(label: np.ndarray, i: int) -> int:
@@ -219,60 +291,80 @@ def _find(label: np.ndarray, i: int) -> int:
     return i
 
 
-def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+def _join(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Join pairs in a union-find table; which of them joined what was apart."""
+    new = np.zeros(len(pairs), bool)
+    for i, (x, y) in enumerate(pairs.tolist()):
         x, y = _find(label, x), _find(label, y)
         if x != y:
             label[max(x, y)] = min(x, y)
+            new[i] = True
+    return new
 
 
-def _roots(label: np.ndarray) -> np.ndarray:
-    return np.array([_find(label, i) for i in range(len(label))], dtype=label.dtype)
-
+def link_edges(distinct: DataFrame, parts: list[tuple[list[int], int]], distance: int = 3, reach: int | None = None, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(a, b): links between distinct fingerprints, by their names (column fp), that differ in ``reach`` bits at most (``distance`` if
+    not given); enough that their chains are the same as those of all links of ``distance`` bits at most.
 
-def link_edges(distinct: DataFrame, parts: list[tuple[list[int], int]], distance: int = 3) -> DataFrame:
-    """(a, b): enough links between distinct fingerprints (column fp) that their chains are the same as all links'."""
+    The bits of a fingerprint are those of the columns ``words``, by default of its name itself.
+    """
     spark = distinct.sparkSession
     prepare(spark)
-    masks = signature_masks(parts)
-    outside_of = [ALL & ~partition for _, partition in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("sig"), F.col("fp").bitwiseAND(F.lit(_signed(keep))).alias("key")) for i, (keep, _) in enumerate(masks)))).alias("s")).select("fp", "s.sig", "s.key")
+    masks, reach, n_words = signature_masks(parts), distance if reach is None else reach, len(words)
+    every = (1 << BITS * n_words) - 1
+    outside_of = [every & ~partition for _, partition in masks]
+
+    def masked(mask: int):
+        own = [F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, words_of_mask(mask, n_words), strict=True) if m]
+        return own[0] if n_words == 1 else F.xxhash64(*own)  # equal bits have equal keys; more need not
+
+    columns = list(dict.fromkeys(("fp", *words)))
+    keyed = distinct.select(*columns, F.explode(F.array(*(F.struct(F.lit(i).alias("sig"), masked(keep).alias("key")) for i, (keep, _) in enumerate(masks)))).alias("s")).select(*columns, "s.sig", "s.key")
     counts = keyed.groupBy("sig", "key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks_for = [[words_of_mask(x, n_words) for x in blocks_of([b for b in range(BITS * n_words) if not partition >> b & 1], distance + 1)] for _, partition in masks]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            sig, fps = b.column(0).to_numpy(), np.stack([b.column(b.schema.get_field_index(w)).to_numpy() for w in words], 1).view("u8")
+            for s in np.unique(sig).tolist():
+                own = sig == s
+                part, x = b.filter(pa.array(own)), fps[own]
+                for sub, block in enumerate(blocks_for[s]):
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.full(len(x), sub, "i4")), pa.array(block_keys(x, block).view("i8")), *part.columns[4:]], schema=part.schema)
+
     # signatures of one fingerprint are no candidates; those of very many are split
-    members = keyed.join(counts, ["sig", "key"])
-    split = F.lit(None).cast("array<struct<sub:int,subkey:bigint>>")
-    for partition in dict.fromkeys(partition for _, partition in masks):
-        own = [i for i, (_, p) in enumerate(masks) if p == partition]
-        split = F.when(F.col("sig").between(own[0], own[-1]), F.array(*(F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(block))).alias("subkey")) for j, block in enumerate(blocks_outside(partition, distance + 1))))).otherwise(split)
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey")))
-    members = members.select("fp", "sig", "key", F.explode(F.when(F.col("n") > HOT, split).otherwise(whole)).alias("s")).select("fp", "sig", "key", "s.sub", "s.subkey")
+    members = lambda which: keyed.join(counts.where(which), ["sig", "key"]).select("sig", "key", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey"), *columns)
+    hot = members(F.col("n") > HOT)
+    members = members(F.col("n") <= HOT).unionByName(hot.mapInArrow(split, hot.schema))
     keys = ["sig", "key", "sub", "subkey"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the signature that goes on
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # names and words of the signature that goes on
         last: tuple | None = None
 
-        def edges(sig: int, groups: list[np.ndarray]):
-            fps = np.unique(np.concatenate(groups).view("u8"))
-            label = links_within(fps, distance, outside_of[sig])
-            k = np.flatnonzero(label != np.arange(len(fps)))
-            return fps[k].view("i8"), fps[label[k]].view("i8")
+        def edges(sig: int, groups: list[tuple[np.ndarray, np.ndarray]]):
+            names, fps = (np.concatenate(x) for x in zip(*groups, strict=True))
+            order = np.argsort(names)  # a search begins at the same one in whatever signature they meet
+            names, fps = names[order], fps[order]
+            pairs = edges_within(fps, distance, outside_of[sig], reach)
+            return names[pairs[:, 0]], names[pairs[:, 1]]
 
         for b in nonempty(batches):
-            fp = b.column(0).to_numpy()
-            columns = [b.column(i).to_numpy() for i in range(1, 5)]
-            change = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns]), [True]))
+            columns_ = [b.column(i).to_numpy() for i in range(4)]
+            names = b.column(4).to_numpy()
+            fps = np.stack([b.column(b.schema.get_field_index(w)).to_numpy() for w in words], 1).view("u8")
+            change = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns_]), [True]))
             cuts, found = np.flatnonzero(change), []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                key = tuple(int(c[lo]) for c in columns)
+                key = tuple(int(c[lo]) for c in columns_)
                 if key != last:
-                    if last and sum(map(len, held)) > 1:
+                    if last and sum(len(x) for x, _ in held) > 1:
                         found.append(edges(last[0], held))
                     held, last = [], key
-                held.append(fp[lo:hi])
+                held.append((names[lo:hi], fps[lo:hi]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
-        if last and sum(map(len, held)) > 1:
+        if last and sum(len(x) for x, _ in held) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges(last[0], held)], names=["a", "b"])
 
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -303,58 +395,65 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 #: Sets of shingles are similar if their Jaccard similarity is at least this fraction.
 SIMILAR = (4, 5)
-#: 64-bit words of a wide fingerprint, bits of its probed blocks, and the bits in which similar texts differ at most.
-#: Sets of similarity (Jaccard) j differ in each bit with probability acos(2j / (1 + j)) / pi, 0.1515 at 0.8: in 77.6 of
-#: 512 bits, with a deviation of 8.1. What the blocks and the distance miss is left to ``prefix_pairs``.
-WIDE_WORDS, WIDE_BLOCK, WIDE_DISTANCE = 8, 14, 90
+#: 64-bit words of a wide fingerprint, the bits in which texts that share a signature may differ to be candidates, and what a plan
+#: may cost for each fingerprint. Sets of similarity (Jaccard) j differ in each bit with probability acos(2j / (1 + j)) / pi, 0.1515
+#: at 0.8: in 38.8 of 256 bits, with a deviation of 5.7. No plan for so many bits is cheaper than comparing all; the distance that is planned for
+#: is the largest that the cost allows, and what it misses is left to ``prefix_pairs``.
+WIDE_WORDS, WIDE_REACH, WIDE_BUDGET = 4, 47, 600
 #: Counters that shingles share, by which the rarer ones come first in a set's order.
 RARITY = 1 << 16
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a worker remembers, and their bytes at most.
+MEMO_WORDS, MEMO_BYTES = 1 << 20, 48
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The text's shingles, each once, in the order of their hashes."""
-    return np.unique(np.array(word_hashes(text or "", shingle), "<u8"))
+class WordCodes(dict):
+    """XXH64 of words, remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        code = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            self[word] = code
+        return code
 
-def set_name(hashes: np.ndarray) -> int:
-    """A signed number that names a set of shingles."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view("i8"))
 
+_codes = WordCodes()
 
-def wide_fingerprint(text: str | None, shingle: int = 5, block: int = 4096) -> bytes:
-    """WIDE_WORDS independent SimHash words over the set of the text's shingles, as bytes."""
-    return wide_fingerprint_of(shingle_set(text, shingle), block)
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Hashes in order, each once."""
+    h = np.sort(hashes)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
-def wide_fingerprint_of(hashes: np.ndarray, block: int = 4096) -> bytes:
-    out = bytearray()
-    for seed in range(1, WIDE_WORDS + 1):
-        counts = np.zeros(BITS, "i8")
-        for k in range(0, len(hashes), block):
-            h = hashes[k : k + block] * np.uint64(int(_SPREAD) * (2 * seed + 1) & ALL)
-            h ^= h >> np.uint64(32)
-            h *= _SPREAD
-            h ^= h >> np.uint64(29)
-            counts += np.unpackbits(h.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
-        out += np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
-    return bytes(out)
 
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = h * np.uint64(int(_SPREAD) * (2 * seed + 1) & ALL)
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD
+    return h ^ (h >> np.uint64(29))
 
-def wide_links(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each of the fingerprints (rows of words) the one that a search from each in turn reached it from, or itself."""
-    parent, left = np.arange(len(fps)), np.arange(len(fps))
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype="i4") <= distance
-            if near.any():
-                reached = left[near]
-                parent[reached] = at
-                frontier.extend(reached.tolist())
-                left = left[~near]
-    return parent
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the text's word shingles, each once, in order. Words and short texts as in ``word_hashes``."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, "u8")
+    codes, n = np.fromiter(map(_codes.__getitem__, words), "u8", len(words)), min(shingle, len(words))
+    h = np.full(len(codes) - n + 1, n, "u8")
+    for k in range(n):
+        h = mixed(h ^ codes[k : len(codes) - n + 1 + k], k)
+    return distinct(h)
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed number that names a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view("i8"))
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WIDE_WORDS independent SimHash words of each set of shingles, as rows of unsigned numbers."""
+    return np.stack([majorities([mixed(h, seed) for h in sets]) for seed in range(1, WIDE_WORDS + 1)], 1)
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -376,36 +475,12 @@ def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
-def wide_edges(distinct: DataFrame, distance: int = WIDE_DISTANCE, block_bits: int = WIDE_BLOCK) -> DataFrame:
-    """(a, b): names (column fp) of sets whose wide fingerprints (column wide) have a block alike and differ in ``distance`` bits at most, thinned to chains as in ``link_edges``."""
-    prepare(distinct.sparkSession)
-    bits = WIDE_WORDS * BITS
-    blocks = bits // block_bits
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(block_bits)
-        for b in nonempty(batches):
-            x = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), "u1").reshape(b.num_rows, -1), axis=1, bitorder="little")
-            keys = (x[:, : blocks * block_bits].reshape(b.num_rows, blocks, block_bits) @ weights + (np.arange(blocks) << block_bits)).astype("i4")
-            for k in range(blocks):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, k])], names=["fp", "wide", "key"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches, 2):
-            key, fps = b.column(2).to_numpy(), b.column(0).to_numpy()
-            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(fps), WIDE_WORDS)
-            cuts, found = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist(), []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    parent = wide_links(wide[lo:hi], distance)
-                    k = np.flatnonzero(parent != np.arange(hi - lo))
-                    if len(k):
-                        found.append((fps[lo:hi][k], fps[lo:hi][parent[k]]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
-
-    keyed = distinct.select("fp", "wide").mapInArrow(signatures, "fp long, wide binary, key int")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def wide_edges(distinct: DataFrame, reach: int = WIDE_REACH, budget: float = WIDE_BUDGET) -> DataFrame:
+    """(a, b): candidates among sets, by their names (column fp), whose wide fingerprints (columns w0, w1, ...) share a signature and differ in
+    ``reach`` bits at most. Partitions and thresholds are planned for the largest distance that ``budget`` allows."""
+    words = tuple(f"w{i}" for i in range(WIDE_WORDS))
+    distance, parts = widest_plan(*bit_statistics(distinct, words), budget)
+    return link_edges(distinct, parts, distance, max(reach, distance), words)
 
 
 def needed(n, similar: tuple[int, int] = SIMILAR):
@@ -503,8 +578,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
 def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of similar texts, with all its columns: the one with the smallest doc_id.
 
-    Texts link if their sets of shingles are similar (``SIMILAR``), and groups are chains of links. Wide fingerprints
-    find most links, so that dense groups cost no pairs; an exact prefix join finds all others between what these
+    Texts link if their sets of shingles are similar (``SIMILAR``), and groups are chains of links. The planned pigeonhole search over wide
+    fingerprints finds most links, so that dense groups cost no pairs; an exact prefix join finds all others between what these
     leave apart; every link is counted on the sets themselves.
 
     Of several such rows (repeated ids) the one with the smallest hash of text stays, and one of equal rows.
@@ -512,6 +587,7 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
     pairs to each other.
     """
     prepare(documents.sparkSession)
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
     hash_, id_, h_, rows_, at_ = (free_name(documents, n) for n in ("hash_", "id_", "h_", "rows_", "at_"))
     keyed = documents.withColumn(hash_, F.xxhash64(text))
     narrow = keyed.select("doc_id", F.col(hash_).alias("hash_"), F.col(text).alias("text"))
@@ -519,11 +595,12 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
             sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_name, sets), pa.int64()), pa.array(map(wide_fingerprint_of, sets), pa.binary())], names=["doc_id", "hash_", "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_name, sets), pa.int64()), *map(pa.array, wide_fingerprints(sets).T.copy().view("i8"))], names=["doc_id", "hash_", "fp", *words])
 
-    docs = written(narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])), "fingerprints")
-    firsts = docs.groupBy("fp").agg(F.min_by("wide", "hash_").alias("wide"), F.min(F.struct("doc_id", "hash_")).alias("at"))
-    nodes = written(firsts.select("fp", "wide", F.col("at.doc_id").alias("id_"), F.col("at.hash_").alias("h_")), "nodes")
+    docs = written(narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("fp", *words))])), "fingerprints")
+    # a name stands for one set, so any of its rows has its words
+    firsts = docs.groupBy("fp").agg(*(F.first(w).alias(w) for w in words), F.min(F.struct("doc_id", "hash_")).alias("at"))
+    nodes = written(firsts.select("fp", *words, F.col("at.doc_id").alias("id_"), F.col("at.hash_").alias("h_")), "nodes")
     # repeated rows of one id and text: a pair found twice is one link
     texts = narrow.join(nodes.select("fp", "id_", "h_"), narrow["doc_id"].eqNullSafe(F.col("id_")) & (narrow["hash_"] == F.col("h_"))).select("fp", "text")
     dense = similar_pairs(wide_edges(nodes), texts, shingle)
