@@ -13,18 +13,20 @@ from ..plans.tables import new_path, remove, shared_dir, table, written
 
 __all__ = ["BATCH_ROWS", "filtered", "fold", "free_name", "held_out", "new_path", "nonempty", "prepare", "remove", "shared_dir", "table", "texts_of", "written"]
 
-#: Rows of an Arrow batch. Texts can be long, so batches are kept small; a parameter, not a limit on what is processed.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, whichever is reached first. Texts can be long, so batches are kept small; parameters,
+#: not limits on what is processed.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches small."""
+    """Let Python workers import this package, and keep Arrow batches small. Both hold for the whole session, as plans run later."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def fold(doc_id: str = "doc_id"):

@@ -35,7 +35,8 @@ BLOCK_BYTES = 4 << 20
 #: Numbers of pieces of the runs by which hits are verified.
 RUNS = (2, 8)
 
-_built: dict[int, Matcher] = {}
+#: A worker's last block of items and its matcher. It holds the block itself, so no other can be taken for it.
+_built: list[tuple[list, float, Matcher]] = []
 
 
 def plain(text: str | None) -> str:
@@ -183,7 +184,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, d
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = None
             for b in nonempty(batches):
-                matcher = matcher or _matcher(shared, rate)
+                matcher = matcher or _matcher(shared.value, rate)
                 found = [(row, doc, *hit) for row, doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for hit in matcher.find(plain(t))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(i).type if i < 2 else None if i == 2 else pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], names=names)
@@ -193,12 +194,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, d
     return out
 
 
-def _matcher(shared, rate: float) -> Matcher:
-    key = (id(shared.value), rate)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(shared.value, rate)
-    return _built[key]
+def _matcher(block: list[tuple[int, str]], rate: float) -> Matcher:
+    if not _built or _built[0][0] is not block or _built[0][1] != rate:
+        _built[:] = [(block, rate, Matcher(block, rate))]
+    return _built[0][2]
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -206,5 +205,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE
     out = documents
     for block in item_blocks(benchmark, item_id, "text", block_bytes):
         shared = documents.sparkSession.sparkContext.broadcast(block)
-        out = filtered(out, lambda texts, shared=shared: [not _matcher(shared, rate).find(plain(t)) for t in texts], text)
+        out = filtered(out, lambda texts, shared=shared: [not _matcher(shared.value, rate).find(plain(t)) for t in texts], text)
     return out

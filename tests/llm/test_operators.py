@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,69 @@ def test_main_text_without_article():
     assert html_text.main_text("plain text") == "plain text"
 
 
+TWO = "<p>The first paragraph of the article has a good deal of text, enough for a surge.</p><p>The second paragraph of it goes on for some while, too, as it has to.</p>"
+
+
+@pytest.mark.parametrize("wrap", ['<form id="aspnetForm"><div id="nav"><a href="/">Home</a></div>%s<div class="footer">Copyright</div></form>', '<div id="social-science-story">%s</div>', '<div class="search-result-content">%s</div>', '<section class="post widget-area-none">%s</section>', '<div class="page-with-sidebar">%s</div>', '<div class="content-sidebar-wrap"><main>%s</main></div><div>A long line that says what the site is about, in more than eighty characters.</div>', '<form><div class="content-sidebar-wrap"><main>%s</main><aside>Aside</aside></div></form>'])
+def test_names_do_not_hide_the_article(wrap):
+    page = f'<html><head><title>t</title></head><body><nav><a href="/a">Menu</a></nav>{wrap % TWO}<div id="comments"><p>{"A comment. " * 6}</p></div><footer>Foot</footer></body></html>'
+    assert html_text.main_text(page) == "\n".join(re.findall("<p>(The.*?)</p>", TWO))
+
+
+def test_parts_of_an_article_stay():
+    assert html_text.main_text(f'<article>{TWO}<p class="legal-opinion">So it was held.</p><aside class="pullquote">A quote.</aside></article><footer>Foot</footer>').endswith("\nSo it was held.\nA quote.")
+    assert html_text.main_text(f'<div class="x">{TWO}<ul><li><a href="1">l</a><li><a href="2">l</a><li><a href="3">l</a></ul><p>Short end.</p></div>').endswith("\nShort end.")
+    assert html_text.main_text(f'<div><p><a href="1">A paragraph that is a link</a></p>{TWO.replace("</p><p>", "</p><p><a href=2>between</a></p><p>")}</div>').count("\n") == 2
+    assert html_text.main_text("<p>one <svg><title>t</title></svg><select><option>a<option>b</select> line <button>go</button>of text</p>") == "one line of text"
+
+
+def plain_kept(weights, window=3, surge=80):
+    """The search by definition: lines of a run of positive window sums that reaches the surge, between its first and last weight."""
+    n = len(weights)
+    sums = [sum(weights[k : k + window]) for k in range(n)]
+    top, kept = min(surge, max(sums, default=0)), set()
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            whole = all(sums[a:b]) and (a == 0 or not sums[a - 1]) and (b == n or not sums[b])
+            if whole and top and max(sums[a:b]) >= top:
+                held = [i for i in range(a, min(n, b + window - 1)) if weights[i]]
+                kept |= set(range(held[0], held[-1] + 1))
+    return [i in kept for i in range(n)]
+
+
+def test_search_by_definition():
+    r = random.Random(2)
+    for _ in range(300):
+        w = [r.choice((0, 0, 0, r.randint(1, 90))) for _ in range(r.randint(0, 14))]
+        assert html_text.kept_lines(w) == plain_kept(w)
+
+
+def test_search_decides_pages_without_article():
+    """Pages of plain elements: only the distribution of text tells the article from what stands around it."""
+    r, changed = random.Random(8), 0
+    for _ in range(60):
+        sentence = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 9))) for _ in range(r.randint(15, 40)))
+        paragraphs = [sentence() for _ in range(r.randint(2, 6))]
+        links = "".join(f'<div><a href="/{k}">link {k}</a></div>' for k in range(4))
+        page = f"<body><div>Some site</div>{links}<div><h2>Head line</h2>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div>{links}<div>All of it 2024</div></body>"
+        assert html_text.main_text(page) == "\n".join(["Head line", *paragraphs])
+        found = html_text.lines(page)
+        weight, free = html_text.weights_of(found)
+        changed += html_text.main_text(page) != "\n".join(t for t, w in zip(found.texts, weight.tolist(), strict=True) if w)
+    assert changed == 60
+
+
+@pytest.mark.parametrize("part", ["<b>", "<b><p>", '<a "', "<div class=ad>t", "<!--", "<", "<a \"'>", "<ul><li>x", "<script>", "</i>", "<form><article>x"])
+def test_hostile_pages_take_time_in_proportion(part):
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text(part * n + "x" + "</i></b>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < max(15 * took(20_000), 5)
+
+
 def test_pages_edge_cases(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "", "x"), (None, "u", "<p>" + "long " * 50_000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract_main_text(df).collect()) == [0, 0, 249_999]
@@ -89,6 +153,37 @@ def test_languages_edge_cases(spark):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_kernel_rows_equal_brute_force(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    texts = {f"l{k:03}": [" ".join(r.choices(words[k : k + 40], k=30)) for _ in range(4)] for k in range(30)}
+    model = language.fit_texts(texts, landmarks=2)
+    marks = [t for own in texts.values() for t in own[:2]]
+    queries = [" ".join(r.choices(words, k=n)) for n in (1, 5, 60, 400)]
+    grams = lambda t: {f" {t} "[i : i + n] for n in language.ORDERS for i in range(len(t) + 3 - n)}
+    want = [[len(grams(q) & grams(m)) / (len(grams(q)) * len(grams(m))) ** 0.5 for m in marks] for q in queries]
+    assert np.allclose(model.kernel(queries), want)
+    monkeypatch.setattr(language, "PRODUCT_BYTES", 1)
+    assert np.allclose(model.kernel(queries), want)
+    assert len(np.unique(model.table.find(model.table.grams))) == len(model.table.grams)
+
+
+def test_many_languages(spark):
+    r = random.Random(6)
+    rows, n = [], 405
+    for k in range(n):
+        own = ["".join(chr(0x4E00 + 20 * k + r.randrange(20)) for _ in range(3)) for _ in range(12)]
+        rows += [(k * 10 + i, " ".join(r.choices(own, k=15)), f"l{k:03}") for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == n
+    out = language.identify(docs, model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in out) > 0.97 * len(out)
+    other = spark.createDataFrame([(1, "entirely other words of a language not learned"), (2, ""), (3, rows[0][1])], "doc_id long, text string")
+    assert [x["doc_id"] for x in language.known_rows(other, model).collect()] == [3]
+    assert [x["doc_id"] for x in language.known_rows(other, None).collect()] == [1, 3]
+
+
 def test_long_texts_are_read_whole(spark, data):
     model = language.fit(base.table(spark, data, "documents"))
     text = language.letters_only("the and of to in " * 40_000)
@@ -178,6 +273,23 @@ def test_forest_edge_cases(spark):
     assert hash_forest.nearest(few.limit(0)).count() == 0
 
 
+def test_forest_of_many_blocks(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(8, 16))
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.3 * r.normal(size=16)]) for i in range(1, 2400)] + [(100 * k, [float(k), 1.0, 2.0]) for k in range(1, 25)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, dim int, block long")
+    want = brute_nearest([x for x in rows if len(x[1]) == 16], every=20)
+    alone = brute_nearest([x for x in rows if len(x[1]) == 3], every=20)
+    for how in ({}, {"block_rows": 150, "query_bytes": 1000}):
+        found = {}
+        for x in hash_forest.nearest(df, every=20, **how).collect():
+            found.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
+        assert set(found) == set(want) | set(alone)
+        hit = sum(len(set(near) & set(found[q])) for q, near in want.items())
+        assert hit >= 0.9 * sum(map(len, want.values()))
+        assert {q: sorted(found[q])[:10] for q in alone if q not in want} == {q: x for q, x in alone.items() if q not in want}
+
+
 # 5
 
 
@@ -197,7 +309,22 @@ def test_quality_edge_cases(spark):
 
 def test_isotonic():
     v, w = np.array([3.0, 1.0, 2.0, 5.0, 4.0]), np.ones(5)
-    assert quality.isotonic(v, w).tolist() == [2, 2, 2, 4.5, 4.5]
+    assert quality.isotonic(v, w) == [(2, 3), (4.5, 2)]
+
+
+def test_calibration_keeps_order():
+    r = np.random.default_rng(4)
+    n = r.integers(0, 5, 64)
+    for ones in (n, np.zeros(64, int), np.where(np.arange(64) > 30, n, 0), r.binomial(n, np.linspace(0, 1, 64))):
+        at, level = quality.calibrated(n, ones, -0.5, 1.5)
+        assert (np.diff(at) > 0).all() and (np.diff(level) > 0).all() and 0 < level[0] and level[-1] < 1
+
+
+def test_quality_scores_are_apart(spark, data):
+    docs, labels = base.table(spark, data, "documents"), base.table(spark, data, "labels")
+    scores = [r["score"] for r in quality.classify(docs, labels).collect()]
+    texts = docs.select("text").distinct().count()
+    assert all(0 < s < 1 for s in scores) and len(set(scores)) > 0.9 * texts
 
 
 # 6
@@ -219,6 +346,24 @@ def test_license_scan_edge_cases(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    def wrapped(label, width, mark):
+        words, line, out = licenses.TEMPLATES[label].split(), "", []
+        for w in words:
+            line = f"{line} {w}" if line else w
+            if len(line) > width:
+                out, line = [*out, mark + line], ""
+        return "Some code before it.\n\n" + "\n".join([*out, mark + line]) + "\n\nint main() { return 0; }"
+
+    rows = [(k, wrapped(label, width, mark), label) for k, (label, width, mark) in enumerate((x, w, m) for x in licenses.TEMPLATES for w, m in ((40, "// "), (76, " * ")))]
+    words = licenses.words_of(licenses.TEMPLATES["bsd"])
+    rows.append((1000, " and some ".join(f"{w} {'filler ' * 30}" for w in words), ""))  # scattered words are no notice
+    rows.append((1001, "word " * 5000 + licenses.TEMPLATES["isc"] + " word" * 5000, "isc"))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    for k, _, label in rows:
+        assert label in found[k]["labels"].split(",") and (not label or found[k]["score"] == 1)
+
+
 def test_containment_join_is_exact(spark):
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(30)]
@@ -382,6 +527,58 @@ def test_similar_groups_are_exact(spark):
     assert {r["doc_id"] for r in simhash.first_of_each_group(docs).collect()} == want and len(want) == 210
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_the_stage(spark, similarity):
+    """Planted pairs: every one at the threshold or above is found, through the stage, and no pair below it."""
+    r, rows, n = random.Random(int(100 * similarity)), [], 200
+    shared = next(s for s in range(n, 0, -1) if s / (2 * n - s) <= similarity + 1e-9) + (similarity == 0.8)
+    shared -= shared / (2 * n - shared) > 1
+    for k in range(150):
+        words = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[: shared + 4] + [f"v{r.randrange(10**9)}" for _ in range(n - shared)])))
+    below = int(0.79 * 2 * n / 1.79)
+    for k in range(150, 250):
+        words = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: below + 4] + [f"v{r.randrange(10**9)}" for _ in range(n - below)]))]
+    kept = {x["doc_id"] for x in simhash.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i >= 300}
+
+
+def test_widest_plan_covers_its_distance():
+    r = np.random.default_rng(5)
+    x = (r.random((300, 256)) < r.random(256)).astype(float)
+    x[:, 128:160] = x[:, :32]  # bits that go together
+    for n in (300, 10**5, 10**8):
+        distance, parts = simhash.widest_plan(n, x.T @ x * n / 300, simhash.WIDE_BUDGET)
+        assert sum(t + 1 for _, t in parts) == distance + 1 and len({b for bits, _ in parts for b in bits}) == sum(len(b) for b, _ in parts)
+
+
+def test_wide_links_of_hot_signatures(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    r = random.Random(4)
+    centre = r.getrandbits(256)
+    fps = sorted({centre ^ sum(1 << b for b in r.sample(range(256), r.randint(0, 6))) for _ in range(120)} | {r.getrandbits(256) for _ in range(40)})
+    words = ["w0", "w1", "w2", "w3"]
+    df = spark.createDataFrame([(i, *(simhash._signed(f >> 64 * k & simhash.ALL) for k in range(4))) for i, f in enumerate(fps)], "fp long, w0 long, w1 long, w2 long, w3 long")
+    parts = [(list(range(32 * k, 32 * k + 32)), 0) for k in range(7)]
+    edges = simhash.link_edges(df, parts, 6, 9, tuple(words)).collect()
+    assert all((fps[a] ^ fps[b]).bit_count() <= 9 for a, b in edges)
+    label = list(range(len(fps)))
+    for a, b in edges:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    near = chains(fps, 6)
+    assert all(label[i] == label[j] for i in range(len(fps)) for j in range(i) if near[i] == near[j])
+
+
+def test_majorities():
+    r = np.random.default_rng(0)
+    hashes = [r.integers(0, 1 << 63, n).astype("u8") for n in (0, 1, 2, 254, 255, 256, 511, 3000, 0, 5)]
+    want = [sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for h in hashes]
+    assert simhash.majorities(hashes).tolist() == want == simhash.majorities(hashes, 300).tolist()
+
+
 def test_similar_groups_edge_cases(spark):
     docs = odd_documents(spark)
     out = simhash.first_of_each_group(docs)
@@ -436,6 +633,22 @@ def test_leaks_equal_brute_force(spark, data):
     assert sorted((x["doc_id"] or -1, x["item_id"], x["distance"]) for x in got.collect()) == sorted(want)
 
 
+def test_matchers_of_other_items():
+    """A matcher is never used for other items, even where a list of them takes the place of one that is gone."""
+    for k in range(200):
+        items = [(k, f"item number {k} of some length")]
+        assert [x[0] for x in decontaminate._matcher(items, 0.1).find(f"here is item number {k} of some length")] == [k]
+        assert decontaminate._matcher(items, 0.1) is decontaminate._matcher(items, 0.1)
+        del items
+
+
+def test_two_blocks_in_one_worker(spark):
+    docs = spark.createDataFrame([(i, f"text with secret passage {'abc'[i % 3] * 20} in it") for i in range(30)], "doc_id long, text string").coalesce(1)
+    for letter in "abcab":
+        items = spark.createDataFrame([(1, f"secret passage {letter * 20}")], "item_id long, text string")
+        assert sorted(r["doc_id"] for r in decontaminate.find_leaks(docs, items).collect()) == [i for i in range(30) if "abc"[i % 3] == letter]
+
+
 def test_decontaminate_edge_cases(spark, data):
     benchmark = base.table(spark, data, "benchmark")
     docs = odd_documents(spark)

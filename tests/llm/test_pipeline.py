@@ -56,6 +56,6 @@ def test_wide_fingerprints_follow_similarity():
             shared = int(n * 2 * j / (1 + j))
             words = [f"w{x}" for x in r.integers(0, 1 << 40, 2 * n - shared + 4)]
             a, b = words[: n + 4], words[: shared + 4] + words[n + 4 :]
-            x, y = (np.frombuffer(simhash.wide_fingerprint(" ".join(t)), "<u8") for t in (a, b))
-            inside += int(np.bitwise_count(x ^ y).sum() <= simhash.WIDE_DISTANCE)
+            x, y = simhash.wide_fingerprints([simhash.shingle_set(" ".join(t)) for t in (a, b)])
+            inside += int(np.bitwise_count(x ^ y).sum() <= simhash.WIDE_REACH)
         assert inside >= 25 if j >= 0.8 else inside == 0
