@@ -6,6 +6,7 @@ in the near-duplicate stage only, once.
 
 Defined results: null and empty texts are rejected by the language stage at the latest, as they have no letter. Rows
 of equal doc_id are judged each. Equal texts are one group of near duplicates. An empty input gives an empty result.
+Columns besides those of documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,34 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 from kmerloom.llm import decontaminate, language, quality, sentencepieces, simhash
 from kmerloom.llm.base import table, written
 
-#: Below this score a text is in no learned language; a text in one of two mixed languages is above it.
-LEAST_LANGUAGE_SCORE = 0.3
 #: The file of a public tokenizer that the corpus is encoded with.
 TOKENIZER = "piece_bpe_32k.model"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the classifier predicts to be of quality."""
+    """Operator 5: documents that the classifier predicts to be of quality. Null and empty texts are scored like any other, equal texts
+    alike; without labels all stay."""
     return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents in a language learned from them."""
-    return language.known_rows(docs, language.fit(docs), LEAST_LANGUAGE_SCORE)
+    """Operator 2: documents in a language learned from them. Null texts and texts without a letter go; rows of equal id are judged each."""
+    return language.known_rows(docs, language.fit(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each group of near duplicates (shingles of five words, similarity 0.8 or more) the document with the smallest id."""
+    """Operator 9: of each group of near duplicates (shingles of five words, similarity 0.8 or more) the document with the smallest id.
+
+    Null and empty texts are one group, as are equal texts; of rows of equal id the one with the smallest hash of text stays.
+    """
     return simhash.first_of_each_group(docs)
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that hold no benchmark item."""
+    """Operator 10: documents that hold no benchmark item. Null and empty texts hold none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: (doc_id, n_tokens, ids) of each document."""
+    """Operator 7: (doc_id, n_tokens, ids) of each document; null and empty texts have no ids."""
     return sentencepieces.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
