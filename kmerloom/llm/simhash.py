@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
+from ..plans.tables import checked_broadcast
 from .base import free_name, nonempty, prepare, remove, written
 
 BITS = 64
@@ -505,33 +506,29 @@ def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
-def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): names of all sets of (text) that may be similar and that ``roots`` (node, root) does not yet join; exact prefix, length and positional filters.
-
-    All sets are ordered alike, rarer shingles first. Similar sets share one of each one's first n - needed(n) + 1.
-    """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(rarity(texts, shingle))
+def sets_of(texts: DataFrame, shingle: int, chosen=None) -> DataFrame:
+    """(fp, size, words) of each set of (text) once: its name, its number of shingles and, of these, what ``chosen(hashes)`` gives, or all."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
-            names, sizes, firsts = [], [], []
-            for t in b.column(0).to_pylist():
-                h = shingle_set(t, shingle)
-                order = np.argsort(counts[(h % np.uint64(RARITY)).astype("i8")], kind="stable")  # equal counts stay in the order of hashes
-                names.append(set_name(h))
-                sizes.append(len(h))
-                firsts.append(h[order[: len(h) - needed(len(h)) + 1]].view("i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["fp", "size", "firsts"])
-
-    sets = texts.mapInArrow(prefixes, "fp long, size int, firsts array<long>").where("size > 0")
-    sets = sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("firsts").alias("firsts"))
-    named = sets.join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", "firsts")
-    rows = named.select("fp", "root", "size", F.posexplode("firsts").alias("at", "word"))
+            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            words = [(chosen(h) if chosen else h).view("i8") for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(words, pa.list_(pa.int64()))], names=["fp", "size", "words"])
+
+    found = texts.select("text").mapInArrow(run, "fp long, size int, words array<long>").where("size > 0")
+    return found.groupBy("fp").agg(F.first("size").alias("size"), F.first("words").alias("words"))
+
+
+def with_roots(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    return sets.join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), *[c for c in sets.columns if c != "fp"])
+
+
+def _meetings(rows: DataFrame, schema: str, found) -> DataFrame:
+    """``found(fp, ok matrix of some rows against all)`` wherever rows (fp, root, size, at, word) of one word may be similar: of different roots,
+    by the lengths of their sets and by what is left of these behind the word."""
     top, of = SIMILAR
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, 4):
             fp, root, size, at, word = (c.to_numpy() for c in b.columns)
             cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
@@ -541,22 +538,59 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
                 for i in range(0, hi - lo, 512):
                     j = slice(i, i + 512)
                     both = n[j, None] + n[None]
-                    ok = (f[j, None] < f[None]) & (r[j, None] != r[None]) & (np.minimum(n[j, None] - k[j, None], n - k) * (top + of) >= top * both)
+                    ok = (r[j, None] != r[None]) & (np.minimum(n[j, None] - k[j, None], n - k) * (top + of) >= top * both)
                     ok &= np.minimum(n[j, None], n) * of >= np.maximum(n[j, None], n) * top
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(f[j][x]), pa.array(f[y])], names=["a", "b"])
+                    if ok.any():
+                        yield found(f[j], f, ok)
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(pairs, "a long, b long")
+    return rows.select("fp", "root", "size", "at", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
+
+
+def active_sets(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """(fp): names of all sets of (text) that may be similar to one that ``roots`` (node, root) does not join them to.
+
+    All sets are ordered alike, by their shingles' counters. Similar sets share one of each one's first n - needed(n) + 1.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts, shingle))
+
+    def first_words(h: np.ndarray) -> np.ndarray:
+        order = np.argsort(shared.value[(h % np.uint64(RARITY)).astype("i8")], kind="stable")  # equal counts stay in the order of hashes
+        return h[order[: len(h) - needed(len(h)) + 1]]
+
+    rows = with_roots(sets_of(texts, shingle, first_words), roots).select("fp", "root", "size", F.posexplode("words").alias("at", "word"))
+    return _meetings(rows, "fp long", lambda own, _, ok: pa.RecordBatch.from_arrays([pa.array(own[ok.any(1)])], names=["fp"])).distinct()
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): names of all sets of (text) that may be similar and that ``roots`` (node, root) does not yet join.
+
+    An exact prefix join as in ``active_sets``, with shingles ordered by the exact number of these sets that hold them. Shingles of one set
+    alone come first and meet nothing, so of sets that share a passage, or are like each other but not enough, few meet.
+    """
+    named = with_roots(sets_of(texts, shingle), roots)
+    rows = written(named.select("fp", "root", "size", F.explode("words").alias("word")), "shingles")
+    counts = written(rows.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    repeated = rows.join(counts, "word").groupBy("fp", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("repeated"))
+    top, of = SIMILAR
+    alone = F.col("size") - F.size("repeated")
+    left = F.col("size") - F.expr(f"(size * {top} + {of - 1}) div {of}") + 1 - alone  # of the prefix, behind the shingles of this set alone
+    firsts = repeated.select("fp", "root", "size", alone.alias("alone"), F.slice("repeated", F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("firsts"))
+    meeting = firsts.select("fp", "root", "size", "alone", F.posexplode("firsts").alias("at", "x")).select("fp", "root", "size", (F.col("alone") + F.col("at")).cast("int").alias("at"), "x.word")
+
+    def pairs(own: np.ndarray, every: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
+        x, y = np.nonzero(ok & (own[:, None] < every[None]))
+        return pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(every[y])], names=["a", "b"])
+
+    out = written(_meetings(meeting, "a long, b long", pairs).distinct(), "pairs")
+    remove(rows)
+    remove(counts)
+    return out
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) of names whose sets are similar, counted exactly. ``texts`` has (fp, text) of every name."""
+    """Those of the pairs (a, b) of names whose sets are similar, counted exactly. ``texts`` has (fp, text) of every name in them."""
     top, of = SIMILAR
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    used = written(texts.join(nodes, "fp", "left_semi").select("fp", "text"), "texts")
-    joined = pairs.join(used.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(used.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    joined = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
@@ -571,7 +605,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
 
     out = written(joined.mapInArrow(run, "a long, b long"), "similar")
     remove(pairs)
-    remove(used)
+    remove(texts)
     return out
 
 
@@ -601,11 +635,17 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
     # a name stands for one set, so any of its rows has its words
     firsts = docs.groupBy("fp").agg(*(F.first(w).alias(w) for w in words), F.min(F.struct("doc_id", "hash_")).alias("at"))
     nodes = written(firsts.select("fp", *words, F.col("at.doc_id").alias("id_"), F.col("at.hash_").alias("h_")), "nodes")
-    # repeated rows of one id and text: a pair found twice is one link
-    texts = narrow.join(nodes.select("fp", "id_", "h_"), narrow["doc_id"].eqNullSafe(F.col("id_")) & (narrow["hash_"] == F.col("h_"))).select("fp", "text")
-    dense = similar_pairs(wide_edges(nodes), texts, shingle)
+
+    def texts_of(names: DataFrame) -> DataFrame:
+        """(fp, text) of the sets with these names; twice where rows of one id and text are repeated."""
+        wanted = checked_broadcast(nodes.select("fp", "id_", "h_").join(names, "fp", "left_semi"))
+        return written(narrow.join(wanted, narrow["doc_id"].eqNullSafe(F.col("id_")) & (narrow["hash_"] == F.col("h_"))).select("fp", "text"), "texts")
+
+    near = written(wide_edges(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    dense = similar_pairs(near, texts_of(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()), shingle)
     roots = written(components(dense), "roots")
-    others = similar_pairs(prefix_pairs(narrow.select("text"), roots, shingle), texts, shingle)
+    active = texts_of(active_sets(narrow.select("text"), roots, shingle))
+    others = similar_pairs(prefix_pairs(active, roots, shingle), active, shingle)
     components_ = named_components(docs.select("doc_id", "fp"), lambda _: dense.unionByName(others))
     named = docs.join(components_, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one row for a component or, where ids repeat, several: counted down to one
