@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import column_state
+from ..plans.tables import ranked
 from .components import components
 
 
@@ -34,7 +35,7 @@ def single_linkage(samples: DataFrame, distances: DataFrame, threshold: int = 20
     rooted = components(distances.where(F.col("snp_distance") <= threshold).select("a", "b"))
     named = samples.select(sample).join(rooted, F.col(sample) == F.col("node"), "left").select(sample, F.coalesce("root", sample).alias("root"))
     # one row for each cluster is numbered
-    numbers = named.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")).cast("long"))
+    numbers = ranked(named.select("root").distinct(), "cluster", "root")
     return named.join(numbers, "root").select(sample, "cluster")
 
 
@@ -42,7 +43,7 @@ def split_by_location(clusters: DataFrame, order: str = "ord") -> DataFrame:
     """(name, cluster) with clusters split by location and numbered from 1 by first appearance. ``clusters`` has name, cluster, location and ``ord``."""
     located = clusters.withColumn("location", F.coalesce("location", F.lit("")))
     firsts = located.groupBy("cluster", "location").agg(F.min(order).alias("first_"))
-    numbers = firsts.withColumn("id_", F.row_number().over(Window.orderBy("first_")).cast("long")).select("cluster", "location", "id_")
+    numbers = ranked(firsts, "id_", "first_").select("cluster", "location", "id_")
     return located.join(numbers, ["cluster", "location"]).select("name", F.col("id_").alias("cluster"))
 
 

@@ -35,7 +35,8 @@ def diagnostic_hits(kmers: DataFrame, index: DataFrame, query: str = "query_id")
     from ..plans.tables import checked_broadcast
 
     total = index.groupBy("unit_id").agg(F.countDistinct("kmer").alias("total"))
-    found = kmers.select(query, "kmer").distinct().join(checked_broadcast(index.select("kmer", "unit_id").distinct()), "kmer").groupBy(query, "unit_id").agg(F.count("*").alias("matched"))
+    # only k-mers that the index has are shuffled
+    found = kmers.select(query, "kmer").join(checked_broadcast(index.select("kmer", "unit_id").distinct()), "kmer").distinct().groupBy(query, "unit_id").agg(F.count("*").alias("matched"))
     return found.join(total, "unit_id").select(query, "unit_id", "matched", "total", (F.col("matched") / F.col("total")).alias("call_fraction"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import batch_cap, padded_length
-from ..plans.tables import written
+from ..plans.tables import ranked, written
 
 #: Rows of a block of vectors; blocks are multiplied in pairs.
 BLOCK_ROWS = 512
@@ -124,14 +124,14 @@ def batch_plan(records: DataFrame, id_col: str, residues: str, budget: int = 16_
     """(id, padded, cap, batch_no): records of one padded length share batches of at most ``cap``; batches are numbered within their length."""
     padded = records.select(id_col, F.col(residues).cast("long").alias("residues_"), padded_length(F.col(residues)).alias("padded"))
     capped = padded.withColumn("cap", batch_cap(F.col("padded"), budget, heads, most))
-    at = F.row_number().over(Window.partitionBy("padded").orderBy("residues_", id_col)) - 1
-    return capped.withColumn("batch_no", F.floor(at / F.col("cap")).cast("long")).drop("residues_")
+    at = ranked(capped, "at_", "residues_", id_col, within="padded")
+    return at.select(id_col, "padded", "cap", F.floor((F.col("at_") - 1) / F.col("cap")).cast("long").alias("batch_no"))
 
 
 def fixed_batches(records: DataFrame, id_col: str, residues: str, size: int, group: str | None = None) -> DataFrame:
-    """(id, batch_no): records by length in batches of ``size``, within each ``group`` (all records of a group are sorted together)."""
-    w = Window.partitionBy(group).orderBy(residues, id_col) if group else Window.orderBy(residues, id_col)
-    return records.select(id_col, *([group] if group else []), F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("batch_no"))
+    """(id, batch_no): records by length in batches of ``size``, within each ``group``."""
+    at = ranked(records, "at_", residues, id_col, within=group)
+    return at.select(id_col, *([group] if group else []), F.floor((F.col("at_") - 1) / size).cast("long").alias("batch_no"))
 
 
 def mlp_project(vectors: DataFrame, id_col: str, vec: str, layers: list[tuple[np.ndarray, np.ndarray]], slope: float = 0.1) -> DataFrame:

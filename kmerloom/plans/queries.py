@@ -16,7 +16,7 @@ from ..functions import bins, sequence, vectors
 from ..operators import clusters, genes, hits, intervals, kmers
 from ..operators import vectors as vec
 from ..sources import fastx, tabular
-from .tables import table, written
+from .tables import checked_broadcast, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,11 @@ def _minimizers_sql(of: str, id_: str) -> str:
       FROM (SELECT *, count(*) OVER (PARTITION BY {id_}) AS n FROM ({_kmers_sql(of, id_, K)}))) WHERE pos <= greatest(n - {W}, 0)"""
 
 
-_COUNTS = f"counts AS (SELECT kmer, count(*) AS n FROM ({_kmers_sql('documents', 'doc_id', K)}) GROUP BY kmer)"
+def _counts_sql(k: int) -> str:
+    return f"counts AS (SELECT kmer, count(*) AS n FROM ({_kmers_sql('documents', 'doc_id', k)}) GROUP BY kmer)"
+
+
+_COUNTS = _counts_sql(K)
 _VERDICTS = f"""m AS ({_minimizers_sql('documents', 'doc_id')}), ix AS (SELECT DISTINCT kmer FROM ({_minimizers_sql('benchmark', 'item_id')})),
 n AS (SELECT doc_id, count(*) AS n_minimizers, count(DISTINCT CASE WHEN kmer IN (SELECT kmer FROM ix) THEN kmer END) AS hits FROM m GROUP BY doc_id),
 v AS (SELECT d.doc_id, length(d.text) AS bases, coalesce(n_minimizers, 0) AS n_minimizers, coalesce(hits, 0) AS hits, greatest(1, CASE WHEN coalesce(n_minimizers, 0) = 0 THEN 0 ELSE greatest(1, round(0.05 * n_minimizers)) END) AS need FROM documents d LEFT JOIN n USING (doc_id))"""
@@ -133,7 +137,8 @@ def sketch_jaccard_top3(spark, sf_dir):
 def exact_intersection(spark, sf_dir):
     a = kmers.kmers(table(spark, sf_dir, "documents").select("text"), "text", K)
     b = kmers.kmers(table(spark, sf_dir, "benchmark").select("text"), "text", K)
-    return a.intersect(b).select(F.md5("kmer").alias("kmer"))
+    # only k-mers that the smaller side has are shuffled
+    return a.join(checked_broadcast(b.distinct()), "kmer", "left_semi").distinct().select(F.md5("kmer").alias("kmer"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT < (0.3 * 4294967296)::BIGINT")
@@ -141,18 +146,22 @@ def subsample_hash(spark, sf_dir):
     return vec.subsample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 0.3)
 
 
-@query(f"""WITH {_COUNTS.replace(str(K), '12')}, e AS (SELECT a.kmer AS source, b.kmer AS target FROM (SELECT * FROM counts WHERE n >= 20) a JOIN (SELECT * FROM counts WHERE n >= 20) b ON substr(a.kmer, 2) = substr(b.kmer, 1, 11))
-SELECT source, target FROM e""".replace("- 29", "- 10"))
+#: Length of the assembly's k-mers and the least number of times they stand in the documents.
+ASSEMBLY_K, ASSEMBLY_COUNT = 21, 5
+_ASSEMBLY = f"{_counts_sql(ASSEMBLY_K)}, c AS (SELECT kmer FROM counts WHERE n >= {ASSEMBLY_COUNT}), e AS (SELECT a.kmer AS source, b.kmer AS target FROM c a JOIN c b ON substr(a.kmer, 2) = substr(b.kmer, 1, {ASSEMBLY_K - 1}))"
+
+
+@query(f"WITH {_ASSEMBLY} SELECT source, target FROM e")
 def debruijn_edges(spark, sf_dir):
     return kmers.debruijn_edges(_assembly_kmers(spark, sf_dir))
 
 
 def _assembly_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(kmers.min_count(kmers.counts(table(spark, sf_dir, "documents"), "text", 12), 20), "kmers")
+    return written(kmers.min_count(kmers.counts(table(spark, sf_dir, "documents"), "text", ASSEMBLY_K), ASSEMBLY_COUNT), "kmers")
 
 
-@query(f"""WITH {_COUNTS.replace(str(K), '12')}, c AS (SELECT kmer FROM counts WHERE n >= 20), e AS (SELECT a.kmer AS source, b.kmer AS target FROM c a JOIN c b ON substr(a.kmer, 2) = substr(b.kmer, 1, 11))
-SELECT kmer, (SELECT count(*) FROM e WHERE target = kmer) AS n_in, (SELECT count(*) FROM e WHERE source = kmer) AS n_out FROM c""".replace("- 29", "- 10"))
+@query(f"""WITH {_ASSEMBLY}, i AS (SELECT target AS kmer, count(*) AS n_in FROM e GROUP BY target), o AS (SELECT source AS kmer, count(*) AS n_out FROM e GROUP BY source)
+SELECT kmer, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM c LEFT JOIN i USING (kmer) LEFT JOIN o USING (kmer)""")
 def debruijn_degree(spark, sf_dir):
     c = _assembly_kmers(spark, sf_dir)
     return kmers.debruijn_degrees(c, kmers.debruijn_edges(c))
@@ -170,6 +179,9 @@ h AS (SELECT doc_id, item_id, u.pos AS pos, ref, middle, count(*) AS n FROM s JO
 m AS (SELECT doc_id, item_id, pos, ref, middle AS mapped FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, pos ORDER BY n DESC, middle) = 1)"""
 
 
+_CHANGED = "(SELECT doc_id, replace(text, 'w', 'q') AS text FROM documents)"
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ref = table(spark, sf_dir, "benchmark")
     return kmers.map_to_reference(table(spark, sf_dir, "documents"), ref, "doc_id", "item_id", "text"), ref
@@ -186,9 +198,11 @@ def mapping_summary(spark, sf_dir):
     return kmers.mapping_summary(mapped, ref, "doc_id", "item_id", "text")
 
 
-@query(f"WITH {_MAPPED} SELECT item_id AS chrom, (pos + 1)::BIGINT AS pos, ref, mapped AS alt, doc_id FROM m WHERE mapped <> ref")
+@query(f"WITH {_MAPPED.replace('documents', _CHANGED)} SELECT item_id AS chrom, (pos + 1)::BIGINT AS pos, ref, mapped AS alt, doc_id FROM m WHERE mapped <> ref")
 def vcf_rows(spark, sf_dir):
-    return kmers.vcf_rows(_mapped(spark, sf_dir)[0], "doc_id", "item_id")
+    """Samples are the documents with one letter for another, so that places between flanks without it are variants."""
+    samples = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("w"), F.lit("q")).alias("text"))
+    return kmers.vcf_rows(kmers.map_to_reference(samples, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text"), "doc_id", "item_id")
 
 
 @query(f"""WITH s AS ({_SPLIT.format(id='doc_id', k=_kmers_sql('documents', 'doc_id', K))}), o AS (SELECT flanks, doc_id, CASE WHEN min(middle) = max(middle) THEN min(middle) ELSE 'N' END AS base FROM s GROUP BY ALL)

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of values, with ROW_BYTES for each row on top, up to which a side of a join is broadcast.
@@ -77,6 +77,24 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def ranked(df: DataFrame, name: str, *order: str, within: str | None = None) -> DataFrame:
+    """``df`` with a column ``name``: each row's number, from 1, in the given order, within its group if there is one.
+
+    Rows are sorted by ranges, and only one count for each partition is summed up in one place, so no task holds a whole group.
+    """
+    keys = [within, *order] if within else list(order)
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(name, 33)
+    counts = rows.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
+    starts = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_") + 1).alias("start_"))
+    at = F.col("start_") + F.col(name).bitwiseAND((1 << 33) - 1)
+    out = rows.join(F.broadcast(starts), part == F.col("part_")).select(*df.columns, at.alias(name))
+    if within is None:
+        return out
+    firsts = out.groupBy(F.col(within).alias("group_")).agg(F.min(name).alias("first_"))
+    return out.join(firsts, F.col(within).eqNullSafe(F.col("group_"))).select(*df.columns, (F.col(name) - F.col("first_") + 1).alias(name))
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Rows dealt out evenly before they are expanded, where a table has fewer input partitions than the cluster has cores."""
     wanted = least or df.sparkSession.sparkContext.defaultParallelism
