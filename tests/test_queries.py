@@ -6,7 +6,7 @@ from support import rows_of_duck, rows_of_spark
 
 
 #: Documents of the smallest tables have no alignment columns in which they differ.
-MAY_BE_EMPTY = {"split_kmer_align"}
+MAY_BE_EMPTY = {"split_kmer_align", "vcf_rows"}  # on the smallest tables; vcf_rows has 29 rows at sf0.01
 
 
 @pytest.mark.parametrize("name", sorted(core.QUERIES))
