@@ -266,7 +266,7 @@ def edges_within(fps: np.ndarray, distance: int, outside: int, reach: int, limit
         return np.concatenate(found)
     left = np.arange(n)
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        frontier, left, together = [left[0]], left[1:], [left[:1]]
         while frontier and len(left):
             at = frontier.pop()
             near = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype="i8") <= reach
@@ -274,10 +274,24 @@ def edges_within(fps: np.ndarray, distance: int, outside: int, reach: int, limit
                 reached = left[near]
                 found.append(np.stack([reached, np.full(len(reached), at)], 1))
                 frontier.extend(reached.tolist())
+                together.append(reached)
                 left = left[~near]
+        if reach > distance and len(members := np.concatenate(together)) > 2:
+            found.append(nearest_of_each(fps, np.sort(members)))
     return np.concatenate(found)
 
 
+def nearest_of_each(fps: np.ndarray, members: np.ndarray, block: int = 128) -> np.ndarray:
+    """Pairs of each of the members with the nearest other one, the first of equals."""
+    near = np.zeros(len(members), "i8")
+    for k in range(0, len(members), block):
+        own = members[k : k + block]
+        differ = np.bitwise_count(fps[own][:, None] ^ fps[members][None]).sum(2, dtype="i4")
+        differ[np.arange(len(own)), np.arange(k, k + len(own))] = np.iinfo("i4").max
+        near[k : k + len(own)] = differ.argmin(1)
+    return np.stack([members, members[near]], 1)
+
+
 def links_within(fps: np.ndarray, distance: int, outside: int, limit: int = HOT) -> np.ndarray:
     """For each of the distinct fingerprints (one word each) the smallest that a chain of links within them reaches."""
     label = np.arange(len(fps))
