@@ -84,7 +84,7 @@ class WordEncoder:
         return self._by_words(PROBES) == whole and self._by_words(PROBES[::-1]) == whole[::-1]
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode_new(self, parts: set[bytes], memo: dict[bytes, bytes]) -> None:
         split: dict[bytes, tuple[bytes, bytes]] = {}
@@ -98,7 +98,7 @@ class WordEncoder:
             word = part.decode()
             (plain if word.isalpha() else rest).append((part, word))
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join([w for _, w in plain]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([w for _, w in plain])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(plain) and (not len(ends) or ends[-1] == len(ids)):
                 raw, at = ids.tobytes(), 0
@@ -120,16 +120,28 @@ class WordEncoder:
             self.memo = {b"": b""}
         split = [(t.encode() if "<|" in t else t.encode().lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         found = [list(map(self.memo.get, words)) for words in split]
-        late = [k for k, ids in enumerate(found) if None in ids]
+        late = [(words, ids, _places_of_none(ids)) for words, ids in zip(split, found, strict=True) if None in ids]
         if late:
-            self._encode_new({w for k in late for w, ids in zip(split[k], found[k], strict=True) if ids is None}, self.memo)
-            for k in late:
-                found[k] = list(map(self.memo.__getitem__, split[k]))
-            for word in [w for k in late for w in split[k] if len(w) > MEMO_CHARS]:
-                self.memo.pop(word, None)
+            new = {words[i] for words, _, places in late for i in places}
+            self._encode_new(new, self.memo)
+            for words, ids, places in late:
+                for i in places:
+                    ids[i] = self.memo[words[i]]
+            for word in new:
+                if len(word) > MEMO_CHARS:
+                    del self.memo[word]
         return list(map(b"".join, found))
 
 
+def _places_of_none(values: list) -> list[int]:
+    """Where a list holds None; found by the list's own search, as most places hold something."""
+    places, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 def encoder(path: str, end_id: int) -> WordEncoder:
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = WordEncoder(path, end_id)
