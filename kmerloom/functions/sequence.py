@@ -152,3 +152,18 @@ def fnv1a(s: Column) -> Column:
         return F.pmod((high.cast("decimal(38,0)") + (mixed.cast("decimal(20,0)") * F.lit(435).cast("decimal(3,0)")).cast("decimal(38,0)")), mod.cast("decimal(38,0)")).cast("decimal(20,0)")
 
     return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), start, step)
+
+
+def to_precision(x: Column, digits: int = 7) -> Column:
+    """A number in so many significant digits, as text: positional for exponents from -6 to below ``digits``, else with an exponent as in 1.5e+9."""
+    x = x.cast("double")
+    scientific = F.format_string(f"%.{digits - 1}e", x)
+    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
+    positional = F.printf(F.concat(F.lit("%."), F.greatest(digits - 1 - exponent, F.lit(0)).cast("string"), F.lit("f")), x)
+    return F.when(exponent.between(-6, digits - 1), positional).otherwise(F.regexp_replace(scientific, r"e([+-])0+(?=\d)", "e$1"))
+
+
+def quality_cased(seq: Column, qual: Column, least: int) -> Column:
+    """Bases of a quality (Phred+33) of ``least`` or more in upper case, the others in lower case; null if the texts are not equally long."""
+    marked = F.array_join(F.zip_with(F.split(seq, ""), F.split(qual, ""), lambda c, q: F.when(F.ascii(q) - 33 >= least, F.upper(c)).otherwise(F.lower(c))), "")
+    return F.when(F.length(seq) == F.length(qual), marked)

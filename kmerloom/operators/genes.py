@@ -45,3 +45,9 @@ def open_reading_frames(contigs: DataFrame, contig: str = "contig", seq: str = "
 def coding_sequences(genes: DataFrame, contigs: DataFrame, contig: str = "contig", seq: str = "seq") -> DataFrame:
     """``genes`` (contig, start, end, strand, ...) with ``cds``, clipped to the contig; genes without letters are left out."""
     return genes.join(contigs.select(contig, seq), contig).withColumn("cds", coding_sequence(F.col(seq), F.col("start"), F.col("end"), F.col("strand"))).where("cds is not null").drop(seq)
+
+
+def skipped_contigs(contigs: DataFrame, contig: str = "contig", seq: str = "seq", least: int = MIN_CONTIG) -> DataFrame:
+    """(contig, n, warning) of the contigs that are too short to be analysed."""
+    n = F.coalesce(F.length(seq), F.lit(0)).cast("long")
+    return contigs.where(n < least).select(contig, n.alias("n"), F.concat(F.lit("skipped: "), n.cast("string"), F.lit(f" of at least {least} letters")).alias("warning"))

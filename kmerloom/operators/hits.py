@@ -108,3 +108,25 @@ def metadata_parts(text: Column) -> list[Column]:
 def confidence_class(ani: Column) -> Column:
     percent = ani * 100
     return F.when(percent <= 80.95, "low").when(percent <= 87.19, "medium").otherwise("high")
+
+
+def unit_calls(kmers: DataFrame, index: DataFrame, query: str = "query_id", least_gene: float = 0.1, least_group: float = 0.1) -> DataFrame:
+    """(query, call_type, name, matched, total, call_fraction): genes and, rolled up, their groups whose share of diagnostic k-mers is large enough.
+
+    ``index`` is (kmer, unit_id, gene_group). A k-mer of several genes of a group counts once for the group. The queries' k-mers are read once for both levels.
+    """
+    level = lambda kind, name: F.struct(F.lit(kind).alias("call_type"), F.col(name).cast("string").alias("name"))
+    both = index.select("kmer", F.explode(F.array(level("gene", "unit_id"), level("gene_group", "gene_group"))).alias("unit_id")).distinct()
+    found = diagnostic_hits(kmers, both, query).select(query, "unit_id.call_type", "unit_id.name", "matched", "total", "call_fraction")
+    return above_thresholds(found, least_gene, least_group)
+
+
+def call_totals(genes: DataFrame, contigs: DataFrame, contig: str = "contig") -> DataFrame:
+    """(gene_count, sequence_count): genes on the contigs that were analysed, and those contigs, with genes or without."""
+    per = genes.groupBy(contig).agg(F.count("*").alias("n_"))
+    return contigs.select(contig).distinct().join(per, contig, "left").agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("gene_count"), F.count("*").alias("sequence_count"))
+
+
+def upserted(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` and those of ``held`` whose key ``new`` has not."""
+    return held.join(new.select(key), key, "left_anti").select(*held.columns).unionByName(new.select(*held.columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical
+from ..functions.sequence import canonical, quality_cased
 from ..plans.tables import checked_broadcast, spread
 
 BLOCK = 256
@@ -248,3 +248,44 @@ def _numbered(counted: DataFrame, links: DataFrame) -> DataFrame:
         remove(then)
         if same:
             return state.select(F.coalesce("at", "kmer").alias("head"), "kmer", "steps")
+
+
+def quality_kmers(reads: DataFrame, seq: str, qual: str, k: int = 31, least: int = 20, mode: int = 2) -> DataFrame:
+    """The other columns with ``kmer``, in upper case, of windows of enough quality: mode 0 takes all, 1 those whose middle base has ``least``, 2 those whose bases all have.
+
+    Reads whose quality is missing or of another length have k-mers in mode 0 only.
+    """
+    if mode not in (0, 1, 2):
+        raise ValueError(f"there is no quality mode {mode}")
+    others = [c for c in reads.columns if c not in (seq, qual)]
+    marked = reads.select(*others, (F.upper(seq) if mode == 0 else quality_cased(F.col(seq), F.col(qual), least)).alias(seq))
+    found = kmers(marked, seq, k)
+    tested = {0: F.lit(True), 1: F.substring("kmer", k // 2 + 1, 1) == F.upper(F.substring("kmer", k // 2 + 1, 1)), 2: F.col("kmer") == F.upper("kmer")}
+    return found.where(tested[mode]).withColumn("kmer", F.upper("kmer"))
+
+
+def repeats_masked(references: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """(id, masked): N wherever a k-mer stands that all references together hold more than once. Letters of one reference meet in one row."""
+    found = kmers(references.select(id_col, seq), seq, k, positions=True)
+    repeated = found.groupBy("kmer").agg(F.count("*").alias("n_")).where("n_ > 1").select("kmer")
+    covered = found.join(repeated, "kmer", "left_semi").select(id_col, F.explode(F.sequence("pos", F.col("pos") + k - 1)).alias("pos")).distinct().withColumn("n_", F.lit("N"))
+    letters = references.select(id_col, F.posexplode(F.split(seq, "")).alias("at_", "c_")).select(id_col, F.col("at_").cast("long").alias("pos"), "c_")
+    merged = letters.join(covered, [id_col, "pos"], "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n_", "c_").alias("c")))).alias("l_"))
+    return merged.select(id_col, F.array_join(F.transform("l_", lambda x: x["c"]), "").alias("masked"))
+
+
+def sample_sketches(reads: DataFrame, sample: str, seq: str, k: int = 17, size: int = 50, least: int = 5) -> DataFrame:
+    """(sample, hash): the ``size`` smallest md5 of the k-mers that a sample's reads hold ``least`` times or more.
+
+    Counts are summed before and after one shuffle; each task keeps its smallest before samples are brought together.
+    """
+    counted = kmers(reads.select(sample, seq), seq, k).groupBy(sample, "kmer").agg(F.count("*").alias("n_")).where(F.col("n_") >= least)
+    hashes = counted.select(sample, F.md5("kmer").alias("hash"))
+    return hashes.withColumn("r_", F.row_number().over(Window.partitionBy(sample).orderBy("hash"))).where(F.col("r_") <= size).drop("r_")
+
+
+def containment(queries: DataFrame, index: DataFrame, query_id: str, ref_id: str) -> DataFrame:
+    """(query, ref, shared, containment): the share of a query's sketch that a reference's holds; pairs that share nothing are left out."""
+    sizes = queries.groupBy(query_id).agg(F.count("*").alias("n_"))
+    shared = checked_broadcast(queries).join(index, "hash").groupBy(query_id, ref_id).agg(F.count("*").alias("shared"))
+    return shared.join(sizes, query_id).select(query_id, ref_id, "shared", F.round(F.col("shared") / F.col("n_"), 9).alias("containment"))

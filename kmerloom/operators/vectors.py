@@ -165,3 +165,19 @@ def subsample(rows: DataFrame, id_col: str, proportion: float, seed: int = 0) ->
 def remaining(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows whose key the manifest of finished work does not have."""
     return rows.join(manifest.select(key).distinct(), key, "left_anti")
+
+
+def batch_bounds(batched: DataFrame, *batch: str) -> DataFrame:
+    """(batch_min, batch_max): records in the smallest and in the largest batch; a batch is named by the columns given."""
+    return batched.groupBy(*batch).agg(F.count("*").alias("n_")).agg(F.min("n_").alias("batch_min"), F.max("n_").alias("batch_max"))
+
+
+def seeded_shuffle(rows: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """``rows`` with ``place``, from 1: an order that the seed and each id's md5 decide, ties by id."""
+    drawn = rows.withColumn("draw_", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
+    return ranked(drawn, "place", "draw_", id_col).drop("draw_")
+
+
+def in_input_order(batched: DataFrame, id_col: str) -> DataFrame:
+    """``batched`` with ``place``, from 0: where a record stood in the input, whose order is that of its ids."""
+    return ranked(batched, "place", id_col).withColumn("place", F.col("place") - 1)

@@ -679,3 +679,6 @@ def stream_filter(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_depletion(spark, sf_dir)
+
+
+from . import results  # noqa: E402, F401 (registers its queries)

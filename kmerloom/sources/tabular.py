@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import to_precision
+from ..operators.hits import metadata_parts
+
 # Report columns.
 REPORT = ("sample", "database_version", "index_alphabet", "index_k", "query_id", "unit_id", "unit_label", "call_type", "type_name", "subtype", "element_symbol", "gene_symbol", "allele_symbol", "gene_group", "hierarchy_node", "class_name", "subclass", "call_fraction", "first_pass_distinct", "first_pass_diagnostic_total")
 DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -80,3 +83,37 @@ def graph_text(edges: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
 def dot_text(edges: DataFrame) -> DataFrame:
     """(value): one line of a DOT graph for each edge."""
     return edges.select(F.concat(F.lit('  "'), F.col("source").cast("string"), F.lit('" -> "'), F.col("target").cast("string"), F.lit('";')).alias("value"))
+
+
+# The columns of the taxonomy report.
+TAXONOMY = ("Sample", "Rank", "Species", "ANI (%)", "Species (metadata)", "Gemsparcl ID", "GTDB species composition")
+
+
+def taxonomy_report(candidates: DataFrame) -> DataFrame:
+    """The taxonomy report, one row for each candidate (sample, rank, species, ani, metadata): ANI in per cent with two decimals, metadata in its parts."""
+    values = (F.col("sample").cast("string"), F.col("rank").cast("string"), F.col("species"), F.format_string("%.2f", F.col("ani") * 100), *metadata_parts(F.col("metadata")))
+    return candidates.select(*(v.alias(name) for v, name in zip(values, TAXONOMY, strict=True)))
+
+
+def cluster_report(samples: DataFrame) -> DataFrame:
+    """(Sample, Cluster), sorted by cluster and then by sample."""
+    return samples.select(F.col("name").alias("Sample"), F.col("cluster").alias("Cluster")).orderBy("Cluster", "Sample")
+
+
+def embedding_report(rows: DataFrame, dim: int) -> DataFrame:
+    """protein_id, length, truncated, umap_1, umap_2 and dim_0 to the last from (id, length, truncated, coords, v), numbers in seven digits."""
+    named = [("umap_1", F.col("coords")[0]), ("umap_2", F.col("coords")[1]), *((f"dim_{i}", F.col("v")[i]) for i in range(dim))]
+    return rows.select(F.col("id").alias("protein_id"), F.col("length").cast("string").alias("length"), F.col("truncated").cast("string").alias("truncated"), *(to_precision(v).alias(n) for n, v in named))
+
+
+def graph2_text(edges: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(value): lines of a GFA 2 file: a segment for each contig (name, contig), an edge for each (source, target, overlap) of whole ends."""
+    size = contigs.select(F.col("name").alias("source"), F.length("contig").alias("n_"))
+    text = lambda *c: F.concat_ws("\t", *c)
+    end = lambda c, at: F.concat(c.cast("string"), F.when(c == at, "$").otherwise(""))
+    segments = contigs.select(text(F.lit("S"), F.col("name").cast("string"), F.length("contig").cast("string"), "contig").alias("value"))
+    to = size.select(F.col("source").alias("target"), F.col("n_").alias("m_"))
+    links = edges.join(size, "source").join(to, "target").select(text(
+        F.lit("E"), F.lit("*"), F.concat(F.col("source").cast("string"), F.lit("+")), F.concat(F.col("target").cast("string"), F.lit("+")), (F.col("n_") - F.col("overlap")).cast("string"), F.concat(F.col("n_").cast("string"), F.lit("$")),
+        F.lit("0"), end(F.col("overlap"), F.col("m_")), F.concat(F.col("overlap").cast("string"), F.lit("M"))).alias("value"))
+    return segments.unionByName(links)
