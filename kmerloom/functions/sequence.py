@@ -105,11 +105,6 @@ def column_state(reference: Column, mapped: Column) -> Column:
     return F.when(F.upper(mapped) == F.upper(reference), F.lit("-")).when(mapped == "-", F.lit(" ")).otherwise(F.upper(mapped))
 
 
-def low_quality_masked(seq: Column, qual: Column, least: int) -> Column:
-    """Bases below a quality (Phred+33) as N."""
-    return F.array_join(F.zip_with(F.split(seq, ""), F.split(qual, ""), lambda c, q: F.when(F.ascii(q) - 33 >= least, c).otherwise(F.lit("N"))), "")
-
-
 def masked_ambiguous(seq: Column) -> Column:
     return F.regexp_replace(seq, "[^ACGTUacgtu-]", "N")
 
@@ -155,12 +150,12 @@ def fnv1a(s: Column) -> Column:
 
 
 def to_precision(x: Column, digits: int = 7) -> Column:
-    """A number in so many significant digits, as text: positional for exponents from -6 to below ``digits``, else with an exponent as in 1.5e+9."""
+    """A number in so many significant digits, as text: positional for exponents from -6 to below ``digits``, else with an exponent as in 1.5e+9. Null stays null."""
     x = x.cast("double")
     scientific = F.format_string(f"%.{digits - 1}e", x)
     exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
     positional = F.printf(F.concat(F.lit("%."), F.greatest(digits - 1 - exponent, F.lit(0)).cast("string"), F.lit("f")), x)
-    return F.when(exponent.between(-6, digits - 1), positional).otherwise(F.regexp_replace(scientific, r"e([+-])0+(?=\d)", "e$1"))
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(exponent.between(-6, digits - 1), positional).otherwise(F.regexp_replace(scientific, r"e([+-])0+(?=\d)", "e$1"))
 
 
 def quality_cased(seq: Column, qual: Column, least: int) -> Column:

@@ -165,13 +165,6 @@ def mapping_summary(mapped: DataFrame, reference: DataFrame, sample: str, chrom:
     return mapped.groupBy(sample).agg(F.count_if(F.col("mapped") != F.col("ref")).alias("nb_variants"), F.count("*").alias("n_")).join(F.broadcast(total)).select(sample, "nb_variants", F.round(F.col("n_") / F.col("total_"), 9).alias("coverage"))
 
 
-def mapped_sequences(mapped: DataFrame, reference: DataFrame, sample: str, chrom: str, seq: str) -> DataFrame:
-    """(sample, chrom, mapped): the reference with the sample's bases, '-' where none is mapped. A sample's rows of one chromosome meet in one row."""
-    found = mapped.groupBy(sample, chrom).agg(F.map_from_entries(F.collect_list(F.struct("pos", "mapped"))).alias("m_"))
-    letters = F.transform(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: F.coalesce(F.try_element_at(F.col("m_"), i.cast("long")), F.lit("-")))
-    return found.join(reference.select(chrom, seq), chrom).select(sample, chrom, F.array_join(letters, "").alias("mapped"))
-
-
 def vcf_rows(mapped: DataFrame, sample: str, chrom: str) -> DataFrame:
     """(chrom, pos from 1, ref, alt, sample) of every variant."""
     return mapped.where("mapped <> ref").select(F.col(chrom).alias("chrom"), (F.col("pos") + 1).alias("pos"), "ref", F.col("mapped").alias("alt"), sample)
@@ -289,3 +282,14 @@ def containment(queries: DataFrame, index: DataFrame, query_id: str, ref_id: str
     sizes = queries.groupBy(query_id).agg(F.count("*").alias("n_"))
     shared = checked_broadcast(queries).join(index, "hash").groupBy(query_id, ref_id).agg(F.count("*").alias("shared"))
     return shared.join(sizes, query_id).select(query_id, ref_id, "shared", F.round(F.col("shared") / F.col("n_"), 9).alias("containment"))
+
+
+def sample_alignment(mapped: DataFrame, reference: DataFrame, sample: str, chrom: str, seq: str) -> DataFrame:
+    """(sample, aligned): the mapped bases (sample, chrom, pos, mapped) of each sample, chromosome after chromosome, '-' where none is mapped.
+
+    ``reference`` (sample, chrom, seq) names each sample's chromosomes. A sample's letters meet in one row, as its text is one.
+    """
+    places = reference.select(sample, chrom, F.posexplode(F.split(seq, "")).alias("at_", "c_")).select(sample, chrom, F.col("at_").cast("long").alias("pos"))
+    letters = places.join(mapped.select(sample, chrom, "pos", "mapped"), [sample, chrom, "pos"], "left")
+    rows = letters.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(chrom, "pos", F.coalesce("mapped", F.lit("-")).alias("c")))).alias("l_"))
+    return rows.select(sample, F.array_join(F.transform("l_", lambda x: x["c"]), "").alias("aligned"))

@@ -641,7 +641,11 @@ def seeded_split(spark, sf_dir):
 _DNA = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id AS contig, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents), s AS (SELECT contig, length(seq) AS n, '+' AS strand, seq AS s FROM d WHERE length(seq) >= 96 UNION ALL SELECT contig, length(seq), '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM d WHERE length(seq) >= 96),
+c AS (SELECT contig, n, strand, i, i % 3 AS frame, substr(s, i::INTEGER, 3) AS codon FROM (SELECT *, unnest(range(1, n - 1)) AS i FROM s)),
+g AS (SELECT *, count(*) FILTER (codon IN ('TAA', 'TAG', 'TGA')) OVER (PARTITION BY contig, strand, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM c),
+o AS (SELECT contig, n, strand, min(i) FILTER (codon IN ('ATG', 'GTG', 'TTG')) AS a, max(i) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS z FROM g GROUP BY contig, n, strand, frame, stops)
+SELECT contig, CASE WHEN strand = '+' THEN a ELSE n - z - 1 END::BIGINT AS start, CASE WHEN strand = '+' THEN z + 2 ELSE n - a + 1 END::BIGINT AS "end", strand FROM o WHERE z + 3 - a >= 90""")
 def open_reading_frames(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), F.regexp_replace(F.translate(F.lower("text"), *_DNA), "[^ACGT]", "").alias("seq"))
     return genes.open_reading_frames(genes.long_contigs(d))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import sequence, vectors
 from ..operators import clusters, genes, hits, kmers
 from ..operators import vectors as vec
-from ..sources import tabular
+from ..sources import fastq_splits, fastx, tabular
 from . import queries as core
 from .queries import query
-from .tables import table
+from .tables import new_path, table
 
 # --- reads and k-mers --------------------------------------------------------------------------------------------------
 
@@ -29,6 +29,23 @@ def quality_kmers(spark, sf_dir):
     return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
+@query("SELECT 'c' || conv_id || ':' || turn AS header, upper(md5(coalesce(text, ''))) AS seq, reverse(md5(coalesce(text, ''))) AS qual FROM conversations")
+def fastx_file_scan(spark, sf_dir):
+    """Reads written as FASTQ files and read back in splits."""
+    path, code = new_path(spark, "reads"), F.md5(F.coalesce("text", F.lit("")))
+    reads = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("header"), F.upper(code).alias("seq"), F.reverse(code).alias("qual"))
+    fastx.write_reads(reads, path, "none")
+    return fastq_splits.read_fastq(spark, path).select("header", "seq", "qual")
+
+
+@query(f"""WITH {core._COLUMNS}, m AS (SELECT item_id, i, substr(mapped, i::INTEGER, 1) AS c FROM c) SELECT item_id % 7 AS sample, string_agg(CASE WHEN c IN ('', '-') THEN '-' ELSE c END, '' ORDER BY item_id, i) AS aligned FROM m GROUP BY 1""")
+def mapped_alignment(spark, sf_dir):
+    """Chromosomes of a sample one after another; each item is a chromosome of one of seven samples."""
+    pairs = core._aligned_pairs(spark, sf_dir).select((F.col("item_id") % 7).alias("sample"), F.col("item_id").alias("chrom"), "reference", "mapped")
+    letters = pairs.select("sample", "chrom", F.posexplode(F.split(F.col("mapped").substr(F.lit(1), F.length("reference")), "")).alias("pos", "mapped")).where("mapped <> '-'").withColumn("pos", F.col("pos").cast("long"))
+    return kmers.sample_alignment(letters, pairs.select("chrom", F.col("reference").alias("seq"), "sample"), "sample", "chrom", "seq")
+
+
 _MASK_K = 11
 
 

@@ -84,12 +84,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", header.alias("header"), F.when(cut > 0, F.regexp_replace(F.col("record").substr(cut + 1, F.length("record")), r"\n", "")).otherwise("").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, header, seq, qual) of FASTQ files, a file a row before it is cut: for files that fit a task."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return fastq_records(texts)
-
-
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, header, seq, qual) of files in either format, told by the first letter: '@' or '>'. qual is null for FASTA."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))

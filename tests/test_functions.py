@@ -268,3 +268,33 @@ def test_stream_of_chunks(spark, tmp_path):
     q = reads.fasta_from_chunks(stream).writeStream.format("memory").queryName("records").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["header"], r["seq"]) for r in spark.sql("SELECT * FROM records ORDER BY ord").collect()] == [("a x", "ACGTAC"), ("b", ""), ("c", "G" + "T" * 50)]
+
+
+def test_significant_digits(spark):
+    values = [0.0, 1.0, -1234.5678, 123456.78, 1234567.8, 12345678.0, 0.000012345678, 0.0000001234, 1e21, -9.9999999]
+    want = ["0.000000", "1.000000", "-1234.568", "123456.8", "1234568", "1.234568e+7", "0.00001234568", "1.234000e-7", "1.000000e+21", "-10.00000"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", sequence.to_precision(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == want
+    odd = spark.sql("SELECT double('NaN') x UNION ALL SELECT double('inf') UNION ALL SELECT null").select(sequence.to_precision(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in odd] == ["NaN", "Infinity", None]
+
+
+def test_quality_modes(spark):
+    reads = spark.createDataFrame([("acgta", "II#II"), ("AC", "I"), ("GGG", None)], "s string, q string")
+    got = {m: sorted(r["kmer"] for r in kmers.quality_kmers(reads, "s", "q", 3, 20, m).collect()) for m in (0, 1, 2)}
+    assert got == {0: ["ACG", "CGT", "GGG", "GTA"], 1: ["ACG", "GTA"], 2: []}
+    with pytest.raises(ValueError):
+        kmers.quality_kmers(reads, "s", "q", 3, 20, 3)
+
+
+def test_repeats_are_masked_over_all_references(spark):
+    refs = spark.createDataFrame([(1, "AACGTT"), (2, "CACGCC"), (3, None)], "id int, s string")
+    assert sorted(map(tuple, kmers.repeats_masked(refs, "id", "s", 3).collect())) == [(1, "ANNNTT"), (2, "CNNNCC")]
+
+
+def test_upsert_and_call_totals(spark):
+    held, new = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
+    assert sorted(map(tuple, hits.upserted(held, new, "k").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    genes_, contigs = spark.createDataFrame([("x",), ("x",), ("gone",)], "contig string"), spark.createDataFrame([("x",), ("y",)], "contig string")
+    assert tuple(hits.call_totals(genes_, contigs).first()) == (2, 2)
+    assert tuple(hits.call_totals(genes_.limit(0), contigs.limit(0)).first()) == (0, 0)
