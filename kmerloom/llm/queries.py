@@ -12,6 +12,7 @@ from . import conversations, language, sentencepieces
 from .decontaminate import find_leaks
 from .hash_forest import nearest
 from .html_text import extract_main_text
+from .interpolated import score_documents
 from .licenses import scan_licenses, scan_licenses_sql
 from .quality import classify
 from .sharding import feistel_shards, feistel_shards_sql
@@ -60,6 +61,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_")
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
