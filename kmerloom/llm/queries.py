@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 from . import conversations, language, sentencepieces
+from .alignment import link_statistics
 from .decontaminate import find_leaks
 from .hash_forest import nearest
 from .html_text import extract_main_text
@@ -61,6 +62,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_statistics(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
