@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, sequence, vectors
-from ..operators import clusters, genes, hits, intervals, kmers
+from ..operators import assembly, clusters, counting, genes, hits, intervals, kmers
 from ..operators import vectors as vec
 from ..sources import fastx, tabular
 from .tables import checked_broadcast, table, written
@@ -40,7 +40,9 @@ K, W, SKETCH_K, SKETCH = 31, 15, 17, 50
 
 
 def _kmers_sql(of: str, id_: str, k: int) -> str:
-    return f"SELECT {id_}, i - 1 AS pos, substr(text, i::INTEGER, {k}) AS kmer FROM (SELECT {id_}, text, unnest(range(1, length(text) - {k - 2})) AS i FROM {of} WHERE length(text) >= {k})"
+    # texts are cut into blocks of 256 places first: reaching into a long text costs time in proportion to the place
+    cut = f"SELECT {id_}, b, substr(text, (b * 256 + 1)::INTEGER, {255 + k}) AS piece FROM (SELECT {id_}, text, unnest(range(0, (length(text) - {k}) // 256 + 1)) AS b FROM {of} WHERE length(text) >= {k})"
+    return f"SELECT {id_}, b * 256 + i - 1 AS pos, substr(piece, i::INTEGER, {k}) AS kmer FROM (SELECT {id_}, b, piece, unnest(range(1, length(piece) - {k - 2})) AS i FROM ({cut}))"
 
 
 def _minimizers_sql(of: str, id_: str) -> str:
@@ -74,6 +76,11 @@ def kmer_min_count(spark, sf_dir):
     return kmers.min_count(_counted(spark, sf_dir))
 
 
+@query(f"WITH {_COUNTS} SELECT kmer, n FROM counts WHERE n >= 5")
+def kmer_min_count_bloom(spark, sf_dir):
+    return counting.prefiltered_counts(table(spark, sf_dir, "documents"), "text", K)
+
+
 @query(f"""WITH k AS (SELECT item_id, kmer, reverse(translate(upper(kmer), 'ACGTU', 'TGCAA')) AS rc FROM ({_kmers_sql("(SELECT item_id, translate(text, 'ßſı', '???') AS text FROM benchmark)", 'item_id', K)}))
 SELECT item_id, count(*) AS n, count(DISTINCT least(kmer, rc)) AS n_distinct, md5(min(least(kmer, rc))) AS smallest FROM k GROUP BY item_id""")
 def kmer_canonical(spark, sf_dir):
@@ -172,6 +179,11 @@ def unitigs(spark, sf_dir):
     return kmers.unitigs(_assembly_kmers(spark, sf_dir))
 
 
+@query()
+def assembly_corrected(spark, sf_dir):
+    return assembly.assemble(table(spark, sf_dir, "documents"), "text", ASSEMBLY_K)
+
+
 _SPLIT = "SELECT {id}, pos + 15 AS pos, substr(kmer, 1, 15) || substr(kmer, 17, 15) AS flanks, substr(kmer, 16, 1) AS middle FROM ({k})"
 _MAPPED = f"""r AS ({_SPLIT.format(id='item_id', k=_kmers_sql('benchmark', 'item_id', K))}), u AS (SELECT flanks, min(item_id) AS item_id, min(pos) AS pos, min(middle) AS ref FROM r GROUP BY flanks HAVING count(*) = 1),
 s AS ({_SPLIT.format(id='doc_id', k=_kmers_sql('documents', 'doc_id', K))}),
