@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from ..functions.sequence import column_state
 from ..plans.tables import ranked
 from .components import components
 
+#: Letters of a block of aligned sequences, and columns that are compared at once (few enough for exact sums in single precision).
+BLOCK_BYTES, COLUMNS = 32 << 20, 1 << 20
+
 
 def snp_distance(a: Column, b: Column) -> Column:
     """The number of columns in which both sequences have a base (T and U are one) and differ."""
@@ -17,17 +23,61 @@ def snp_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(bases(a), bases(b), lambda x, y: F.when(x.isin(*real) & y.isin(*real) & (x != y), 1).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def pairwise_snp(aligned: DataFrame, sample: str = "sample", seq: str = "seq", n_blocks: int = 8) -> DataFrame:
-    """(a, b, snp_distance) of every pair a < b of samples.
-
-    All pairs are what is asked for, so work grows with their number: samples are dealt into blocks, each pair of blocks
-    is one key, and both sides are sent to it. No task holds more than two blocks, so ``n_blocks`` should grow with the samples.
+def _base_rows(seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences as numbers, 0 to 3 for bases and 4 for all else, each filled up to the longest."""
+    lookup = np.full(256, 4, "u1")
+    for i, letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu")):
+        lookup[list(letters)] = i
+    raw = [lookup[np.frombuffer((s or "").encode("latin-1", "replace"), "u1")] for s in seqs]
+    out = np.full((len(raw), max(map(len, raw), default=0)), 4, "u1")
+    for row, r in zip(out, raw, strict=True):
+        row[: len(r)] = r
+    return out
+
+
+def _differences(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For each pair of rows the columns in which both have a base and differ: columns with two bases less equal ones, as products of indicator matrices."""
+    n = min(one.shape[1], two.shape[1])
+    out = np.zeros((len(one), len(two)), "i8")
+    for at in range(0, n, COLUMNS):
+        x, y = one[:, at : min(at + COLUMNS, n)], two[:, at : min(at + COLUMNS, n)]
+        counts = (x < 4).astype("f4") @ (y < 4).astype("f4").T
+        for base in range(4):
+            counts -= (x == base).astype("f4") @ (y == base).astype("f4").T
+        out += counts.astype("i8")
+    return out
+
+
+def pairwise_snp(aligned: DataFrame, sample: str = "sample", seq: str = "seq", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b, snp_distance) of every pair a < b of samples; distances are those of ``snp_distance``.
+
+    All pairs are what is asked for, so work grows with their number. Samples are dealt into blocks of about ``block_bytes`` letters, each
+    pair of blocks (the second not before the first) is one key that both are sent to, and a task counts its pairs by matrix products. No task
+    holds more than two blocks. Sequences of different lengths are compared as far as both go; null ones differ nowhere. Sample names are
+    distinct; a name that comes twice is compared with others each time.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
-    one = aligned.select(F.col(sample).alias("a"), F.col(seq).alias("seq_a"), block(sample).alias("ba")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    two = aligned.select(F.col(sample).alias("b"), F.col(seq).alias("seq_b"), block(sample).alias("bb")).withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = one.join(two, ["ba", "bb"]).where("a < b")
-    return pairs.select("a", "b", snp_distance(F.col("seq_a"), F.col("seq_b")).alias("snp_distance"))
+    kind = dict(aligned.dtypes)[sample]
+    letters = aligned.agg(F.coalesce(F.sum(F.length(seq)), F.lit(0))).first()[0]
+    n = max(1, -(-int(letters) // block_bytes))
+    own = aligned.select(F.col(sample).alias("name"), F.col(seq).alias("seq"), F.pmod(F.xxhash64(sample), F.lit(n)).cast("int").alias("own"))
+    blocks = F.sequence(F.lit(0), F.lit(n - 1))
+    keyed = own.withColumn("other", F.explode(blocks)).select("name", "seq", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+        names, rows, side = t.column("name").combine_chunks(), _base_rows(t.column("seq").to_pylist()), t.column("own").to_numpy()
+        left, right = np.flatnonzero(side == one), np.flatnonzero(side == two)
+        d = _differences(rows[left], rows[right])
+        i, j = np.indices(d.shape).reshape(2, -1)
+        a, b = names.take(pa.array(left[i])), names.take(pa.array(right[j]))
+        less = pc.less(a, b)
+        # pairs of two blocks come once, in either order; those of one block twice
+        swap = pc.greater(a, b) if one != two else pa.array(np.zeros(len(i), bool))
+        keep = pc.or_(less, swap)
+        out = pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(d.ravel())], names=["a", "b", "snp_distance"])
+        return out.filter(keep)
+
+    return keyed.groupBy("one", "two").applyInArrow(compare, f"a {kind}, b {kind}, snp_distance long")
 
 
 def single_linkage(samples: DataFrame, distances: DataFrame, threshold: int = 20, sample: str = "sample") -> DataFrame:
@@ -85,23 +135,3 @@ def collapsed_gaps(columns: DataFrame, key: str, pos: str = "pos", base: str = "
     gaps = columns.groupBy(key, pos).agg(F.bool_and(F.col(base) == "-").alias("gap"))
     runs = gaps.withColumn("run_", F.col(pos) - F.row_number().over(Window.partitionBy(key, "gap").orderBy(pos)))
     return runs.groupBy(key, "gap", "run_").agg(F.min(pos).cast("long").alias("start"), (F.max(pos) + 1).cast("long").alias("end")).drop("run_")
-
-
-def neighbour_joining(names: list[str], distance: list[list[float]]) -> str:
-    """The neighbour-joining tree of a few samples in Newick form. Branches are not below 0."""
-    nodes, d = list(names), {(i, j): float(distance[i][j]) for i in range(len(names)) for j in range(len(names))}
-    alive = list(range(len(names)))
-    if not alive:
-        return ";"
-    while len(alive) > 2:
-        total = {i: sum(d[i, j] for j in alive) for i in alive}
-        i, j = min(((a, b) for k, a in enumerate(alive) for b in alive[k + 1 :]), key=lambda p: ((len(alive) - 2) * d[p] - total[p[0]] - total[p[1]], p))
-        left = d[i, j] / 2 + (total[i] - total[j]) / (2 * (len(alive) - 2))
-        new = len(nodes)
-        nodes.append(f"({nodes[i]}:{max(left, 0):g},{nodes[j]}:{max(d[i, j] - left, 0):g})")
-        for k in alive:
-            if k not in (i, j):
-                d[new, k] = d[k, new] = (d[i, k] + d[j, k] - d[i, j]) / 2
-        d[new, new] = 0.0
-        alive = [k for k in alive if k not in (i, j)] + [new]
-    return f"({nodes[alive[0]]}:{max(d[alive[0], alive[1]], 0):g},{nodes[alive[1]]}:0);" if len(alive) == 2 else f"{nodes[alive[0]]};"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, sequence, vectors
-from ..operators import assembly, clusters, counting, genes, hits, intervals, kmers
+from ..operators import assembly, clusters, counting, genes, hits, intervals, kmers, trees
 from ..operators import vectors as vec
 from ..sources import fastx, tabular
 from .tables import checked_broadcast, table, written
@@ -543,6 +543,18 @@ def snp_distance(spark, sf_dir):
     return _snp(spark, sf_dir)
 
 
+@query(f"""WITH {_SNP}, f AS (SELECT a, b, snp_distance FROM d UNION ALL SELECT b, a, snp_distance FROM d UNION ALL SELECT DISTINCT item_id, item_id, 0 FROM x)
+SELECT 0::BIGINT AS place, ',' || string_agg(a::VARCHAR, ',' ORDER BY a::VARCHAR) AS value FROM (SELECT DISTINCT a FROM f)
+UNION ALL SELECT row_number() OVER (ORDER BY a::VARCHAR), a::VARCHAR || ',' || string_agg(snp_distance::VARCHAR, ',' ORDER BY b::VARCHAR) FROM f GROUP BY a""")
+def distance_table(spark, sf_dir):
+    return tabular.distance_lines(_snp(spark, sf_dir))
+
+
+@query()
+def nj_tree(spark, sf_dir):
+    return trees.neighbour_joining(_snp(spark, sf_dir))
+
+
 @query(f"WITH {_SNP} SELECT a, b, snp_distance FROM d WHERE snp_distance <= {_THRESHOLD}")
 def snp_edges(spark, sf_dir):
     return _snp(spark, sf_dir).where(F.col("snp_distance") <= _THRESHOLD)

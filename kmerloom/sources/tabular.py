@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import to_precision
 from ..operators.hits import metadata_parts
+from ..plans.tables import ranked
 
 # Report columns.
 REPORT = ("sample", "database_version", "index_alphabet", "index_k", "query_id", "unit_id", "unit_label", "call_type", "type_name", "subtype", "element_symbol", "gene_symbol", "allele_symbol", "gene_group", "hierarchy_node", "class_name", "subclass", "call_fraction", "first_pass_distinct", "first_pass_diagnostic_total")
@@ -61,15 +62,43 @@ def embedding_columns(id_col: str, vec: str, dim: int) -> list[Column]:
     return [F.col(id_col), *(F.col(vec)[i].alias(f"dim_{i}") for i in range(dim))]
 
 
-def tree_and_distances(distances: DataFrame) -> tuple[list[str], list[list[float]]]:
-    """Names and the full distance matrix of (a, b, snp_distance), for a few samples on the driver."""
-    rows = distances.collect()
-    names = sorted({x for r in rows for x in (r["a"], r["b"])})
-    at = {n: i for i, n in enumerate(names)}
-    d = [[0.0] * len(names) for _ in names]
+def distance_lines(distances: DataFrame, value: str = "snp_distance") -> DataFrame:
+    """(place, value): lines of a table of distances, comma-separated: the samples, then a line for each with its distance to every one.
+
+    From (a, b, distance) of each pair a < b; a sample's distance to itself is 0. A line holds one number for each sample.
+    """
+    one = distances.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col(value).cast("string").alias("d"))
+    names = one.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    full = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(names.select("a", F.col("a").alias("b"), F.lit("0").alias("d")))
+    row = F.array_sort(F.collect_list(F.struct("b", "d")))
+    lines = full.groupBy("a").agg(row.alias("r_")).select("a", F.concat_ws(",", "a", F.transform("r_", lambda x: x["d"])).alias("value"))
+    header = names.agg(F.concat_ws(",", F.lit(""), F.array_sort(F.collect_list("a"))).alias("value")).select(F.lit(0).cast("long").alias("place"), "value")
+    return header.unionByName(ranked(lines, "place", "a").select("place", "value"))
+
+
+def newick(edges: DataFrame) -> str:
+    """The tree of ``trees.neighbour_joining`` (parent, child, name, length) in Newick form: one text with every sample, put together on the driver."""
+    rows = edges.collect()
+    below: dict[int, list] = {}
     for r in rows:
-        d[at[r["a"]]][at[r["b"]]] = d[at[r["b"]]][at[r["a"]]] = float(r["snp_distance"])
-    return [str(n) for n in names], d
+        below.setdefault(r["parent"], []).append(r)
+    roots = set(below) - {r["child"] for r in rows}
+    if not roots:
+        return ";"
+    # children before parents, without recursion, as a tree can be as deep as it has samples
+    order, text = [roots.pop()], {}
+    for node in order:
+        order += [r["child"] for r in below.get(node, ())]
+    for node in reversed(order):
+        parts = [f"{text.pop(r['child'], None) or _quoted(r['name'])}:{r['length']:g}" for r in sorted(below.get(node, ()), key=lambda r: r["child"])]
+        if parts:
+            text[node] = f"({','.join(parts)})"
+    return text[order[0]] + ";"
+
+
+def _quoted(name) -> str:
+    name = str(name)
+    return name if name and not set(name) & set(" ()[]:;,'\t\n") else "'" + name.replace("'", "''") + "'"
 
 
 def graph_text(edges: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
