@@ -7,8 +7,9 @@ expectation-maximisation on counts held out from the estimates: one fold of the
 counts, and its tokens are predicted from what is left. Scores then use the counts of all training documents.
 
 How it runs. Documents are read once into chunks of some megabytes, with local word numbers. A chunk sends the sorted
-distinct keys (64 bits) of its n-grams to buckets by their top bits, as differences of few bytes, so an n-gram leaves a
-chunk once however often it stands there. A bucket adds up its keys' counts and answers each chunk. Chunk and answers meet, and
+distinct keys of its n-grams to buckets by their top bits, as differences of few bytes, so an n-gram leaves a
+chunk once however often it stands there. Keys of single words have 64 bits, those of longer n-grams 56: among ten thousand million of
+these some hundreds share a key and are counted together. A bucket adds up its keys' counts and answers each chunk. Chunk and answers meet, and
 every token has its counts. No task holds more than a chunk or a bucket; the number of buckets follows the tokens. Keys are
 hashed, so no n-gram is hot. The driver gets two totals and the cells of the held-out fold: estimates by whole octaves,
 whose number does not depend on the input. Chunks of more bytes make fewer, larger messages where the corpus is very large.
@@ -20,6 +21,7 @@ has probability 1. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,18 +85,30 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _chunk_columns(texts: list[list[bytes]]) -> tuple[bytes, list[bytes]]:
-    """The distinct words, most frequent first, and the number of each word in byte planes; both compressed."""
-    every = [w for words in texts for w in words]
-    order = sorted(dict.fromkeys(every))
-    at = {w: i for i, w in enumerate(order)}
-    ids = np.fromiter(map(at.__getitem__, every), "i8", len(every))
-    by_count = np.argsort(-np.bincount(ids, minlength=len(order)), kind="stable")
-    place = np.empty(len(order), "<u4")
-    place[by_count] = np.arange(len(order), dtype="<u4")
-    planes = place[ids].view("u1").reshape(-1, 4)
-    z = zstandard.ZstdCompressor(level=1)
-    return z.compress(b"\n".join([order[i] for i in by_count.tolist()])), [z.compress(np.ascontiguousarray(planes[:, k]).tobytes()) for k in range(4)]
+class _Held:
+    """Documents of a chunk to be: their words as numbers in order of appearance."""
+
+    def __init__(self):
+        self.doc_ids, self.lengths, self.index, self.ids, self.size = [], [], {}, array("I"), 0
+
+    def add(self, doc_id, text: str) -> None:
+        words, index = words_of(text), self.index
+        self.ids.extend([index.setdefault(w, len(index)) for w in words])
+        self.doc_ids.append(doc_id)
+        self.lengths.append(len(words))
+        self.size += len(text) + 64
+
+    def columns(self) -> tuple[bytes, list[bytes]]:
+        """The distinct words, most frequent first, and the number of each word in byte planes; both compressed."""
+        ids, words = np.frombuffer(self.ids, "u4"), sorted(self.index)
+        by_word = np.fromiter(map(self.index.__getitem__, words), "i8", len(words))
+        counts = np.bincount(ids, minlength=len(words))
+        by_count = np.argsort(-counts[by_word], kind="stable")
+        place = np.empty(len(words), "<u4")
+        place[by_word[by_count]] = np.arange(len(words), dtype="<u4")
+        planes = place[ids].view("u1").reshape(-1, 4)
+        z = zstandard.ZstdCompressor(level=1)
+        return z.compress(b"\n".join([words[i] for i in by_count.tolist()])), [z.compress(np.ascontiguousarray(planes[:, k]).tobytes()) for k in range(4)]
 
 
 def chunks(documents: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> DataFrame:
@@ -111,27 +125,24 @@ def chunks(documents: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> Da
         from pyspark.sql.pandas.types import to_arrow_type
 
         id_list, part, seq = pa.list_(to_arrow_type(id_type)), TaskContext.get().partitionId() << 32, 0
-        held: list[list] = [[[], [], 0] for _ in range(3)]
+        held = [_Held() for _ in range(3)]
 
         def flush(s: int) -> pa.RecordBatch:
             nonlocal seq
-            ids, texts, _ = held[s]
-            words, planes = _chunk_columns(texts)
-            held[s] = [[], [], 0]
+            own, held[s] = held[s], _Held()
+            words, planes = own.columns()
             seq += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([part + seq], pa.int64()), pa.array([s], pa.int32()), pa.array([ids], id_list), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([words], pa.binary()), pa.array([planes], pa.list_(pa.binary()))],
+                [pa.array([part + seq], pa.int64()), pa.array([s], pa.int32()), pa.array([own.doc_ids], id_list), pa.array([own.lengths], pa.list_(pa.int64())), pa.array([words], pa.binary()), pa.array([planes], pa.list_(pa.binary()))],
                 names=["chunk", "side", "doc_ids", "lengths", "words", "planes"])
 
         for b in nonempty(batches):
             for i, t, s in zip(b.column(0).to_pylist(), texts_of(b, "text"), b.column(2).to_pylist(), strict=True):
-                held[s][0].append(i)
-                held[s][1].append(words_of(t))
-                held[s][2] += len(t) + 64
-                if held[s][2] >= chunk_bytes:
+                held[s].add(i, t)
+                if held[s].size >= chunk_bytes:
                     yield flush(s)
         for s in range(3):
-            if held[s][0]:
+            if held[s].doc_ids:
                 yield flush(s)
 
     return rows.mapInArrow(run, f"chunk long, side int, doc_ids array<{kind}>, lengths array<long>, words binary, planes array<binary>")
@@ -141,8 +152,7 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _P1 + b * _P2
     x ^= x >> _33
     x *= _P3
-    x ^= x >> _33
-    return x
+    return (x ^ (x >> _33)) >> np.uint64(8)
 
 
 class Tokens:
@@ -192,13 +202,13 @@ def _messages(rows: DataFrame, order: int, bits: int) -> DataFrame:
     """(order_, bucket, chunk, side, keys, counts): a chunk's distinct keys of each order, cut by their top bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, 1 << bits, dtype="u8") << np.uint64(64 - bits)) if bits else np.zeros(0, "u8")
+        edges = [np.arange(1, 1 << bits, dtype="u8") << np.uint64(size - bits) if bits else np.zeros(0, "u8") for size in (64, *[56] * (order - 1))]
         for b in nonempty(batches):
             for k in range(b.num_rows):
                 chunk, side = b.column("chunk")[k].as_py(), b.column("side")[k].as_py()
                 for m, keys in enumerate(_tokens(b, k, order).keys, 1):
                     own, n = np.unique(keys, return_counts=True)
-                    cuts = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+                    cuts = [0, *np.searchsorted(own, edges[m - 1]).tolist(), len(own)]
                     parts = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([m] * len(parts), pa.int32()), pa.array([i for i, *_ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([side] * len(parts), pa.int32()), pa.array([pack_sorted(own[lo:hi]) for _, lo, hi in parts], pa.binary()), pa.array([pack_counts(n[lo:hi]) for _, lo, hi in parts], pa.binary())],
