@@ -8,7 +8,7 @@ n-grams (texts x n-grams) times the landmarks' presence (n-grams x landmarks) gi
 times the ridge weights the languages' scores.
 
 Learned from: rows with text, a non-null lang, a letter and crc32 of the id modulo 3 other than 1. ``PER_LANGUAGE`` rows
-of each language are taken at most, those with the smallest hashes of their ids; the first ``LANDMARKS`` of each, fewer
+of each language are taken at most, those with the smallest hashes of id and text, and ``TEXT_BYTES`` of text in all; the first ``LANDMARKS`` of each, fewer
 where the languages' landmarks would be more than ``ALL_LANDMARKS`` together, are landmarks. These bounds are parameters.
 Every language counts, and all n-grams of all landmarks are in the kernel. Prediction reads every text whole.
 
@@ -36,6 +36,8 @@ PER_LANGUAGE, LANDMARKS, ALL_LANDMARKS, RIDGE = 300, 24, 4096, 0.05
 SLACK = 0.6
 #: Texts scored in one product, bytes of the landmarks' part in it, and characters of a text hashed at once.
 ROWS, PRODUCT_BYTES, STRETCH = 64, 32 << 20, 1 << 18
+#: Bytes of all texts that are learned from.
+TEXT_BYTES = 64 << 20
 UNDETERMINED = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,20 +174,30 @@ class LanguageModel:
         return self.best(texts)[:2]
 
 
-def training_rows(documents: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """Prepared texts by language: for each the rows with the smallest hashes of their ids, per_language at most."""
+def training_rows(documents: DataFrame, per_language: int, doc_id: str, text: str, lang: str, text_bytes: int = TEXT_BYTES) -> dict[str, list[str]]:
+    """Prepared texts by language: for each the rows with the smallest hashes of id and text, ``per_language`` at most, as far as their
+    bytes fit into its part of ``text_bytes`` (two rows in any case).
+
+    Rows reach the ranking below a limit that is set, for each language, where enough of its rows lie; repeated rows have one hash, so a
+    language of few distinct rows is learned from them all the same.
+    """
     spark = documents.sparkSession
     d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(F.coalesce(fold() != 1, F.lit(False)) & F.col("text").rlike(r"\p{L}"))
-    counts = d.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counts:
+    d = d.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)))
+    # the first of 4,096 stretches of hashes that a language has enough rows below
+    stretch = F.shiftright("draw", 18)
+    counts = d.groupBy("lang", stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("stretch"))
+    limits = counts.withColumn("below", below).groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("below") >= per_language, F.col("stretch"))), F.max("stretch")).alias("limit")).collect()
+    if not limits:
         return {}
-    # a language's share keeps about four times the rows wanted, so few texts reach the window
-    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["n"])) for r in counts], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / (1 << 30)
-    drawn = d.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share")
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= per_language)
-    out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(counts)}
-    for r in ranked.select("lang", "text").orderBy("lang", "rank").toLocalIterator():
+    drawn = d.join(F.broadcast(spark.createDataFrame(limits, "lang string, limit long")), "lang").where(stretch <= F.col("limit"))
+    own = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    ranked = drawn.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= per_language)
+    sized = ranked.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank")))
+    kept = sized.where((F.col("rank") <= 2) | (F.col("bytes") <= text_bytes // len(limits)))
+    out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(limits)}
+    for r in kept.select("lang", "text").orderBy("lang", "rank").toLocalIterator():
         if t := letters_only(r["text"]):
             out[r["lang"]].append(t)
     return {k: v for k, v in out.items() if v}
