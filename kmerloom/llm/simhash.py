@@ -417,6 +417,8 @@ SIMILAR = (4, 5)
 WIDE_WORDS, WIDE_REACH, WIDE_BUDGET = 4, 47, 600
 #: Counters that shingles share, by which the rarer ones come first in a set's order.
 RARITY = 1 << 16
+#: Sets that meet over one shingle in one task; beyond it a shingle's sets are dealt into blocks of about as many, and pairs of blocks meet.
+BLOCK_SETS = 4096
 #: Words whose hashes a worker remembers, and their bytes at most.
 MEMO_WORDS, MEMO_BYTES = 1 << 20, 48
 
@@ -537,33 +539,46 @@ def with_roots(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return sets.join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), *[c for c in sets.columns if c != "fp"])
 
 
+def _in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with ``key``, what meets in one place, and ``block``: the shingle itself, or a pair of blocks of a shingle that ``counts`` (word, n) has in many sets."""
+    hot = counts.where(F.col("n") > BLOCK_SETS).select("word", F.ceil(F.col("n") / BLOCK_SETS).cast("long").alias("blocks_"))
+    dealt = rows.join(checked_broadcast(hot), "word", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks_")), F.lit(0).cast("long")).cast("int"))
+    others = F.when(F.col("blocks_").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1))
+    met = dealt.withColumn("other_", F.explode(others))
+    return met.withColumn("key", F.when(F.col("blocks_").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.least("block", "other_"), F.greatest("block", "other_"))))
+
+
 def _meetings(rows: DataFrame, schema: str, found) -> DataFrame:
-    """``found(fp, ok matrix of some rows against all)`` wherever rows (fp, root, size, at, word) of one word may be similar: of different roots,
-    by the lengths of their sets and by what is left of these behind the word."""
+    """``found(fp, ok matrix of some rows against all)`` wherever rows (fp, root, size, at, key, block) of one key may be similar: of different roots,
+    by the lengths of their sets and by what is left of these behind the word. Of two blocks only rows of different ones meet."""
     top, of = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, 4):
-            fp, root, size, at, word = (c.to_numpy() for c in b.columns)
-            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+            fp, root, size, at, key, block = (c.to_numpy() for c in b.columns)
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             mixed = np.minimum.reduceat(root, cuts[:-1]) < np.maximum.reduceat(root, cuts[:-1])
             for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist(), strict=True):
-                f, r, n, k = fp[lo:hi], root[lo:hi], size[lo:hi].astype("i8"), at[lo:hi]
+                f, r, n, k, own = fp[lo:hi], root[lo:hi], size[lo:hi].astype("i8"), at[lo:hi], block[lo:hi]
+                two = own.min() < own.max()
                 for i in range(0, hi - lo, 512):
                     j = slice(i, i + 512)
                     both = n[j, None] + n[None]
                     ok = (r[j, None] != r[None]) & (np.minimum(n[j, None] - k[j, None], n - k) * (top + of) >= top * both)
                     ok &= np.minimum(n[j, None], n) * of >= np.maximum(n[j, None], n) * top
+                    if two:
+                        ok &= own[j, None] != own[None]
                     if ok.any():
                         yield found(f[j], f, ok)
 
-    return rows.select("fp", "root", "size", "at", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
+    return rows.select("fp", "root", "size", "at", "key", "block").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def active_sets(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
     """(fp): names of all sets of (text) that may be similar to one that ``roots`` (node, root) does not join them to.
 
-    All sets are ordered alike, by their shingles' counters. Similar sets share one of each one's first n - needed(n) + 1.
+    All sets are ordered alike, by their shingles' counters. Similar sets share one of each one's first n - needed(n) + 1. Where very many sets
+    share such a shingle they are all taken, without being compared here.
     """
     shared = texts.sparkSession.sparkContext.broadcast(rarity(texts, shingle))
 
@@ -571,34 +586,54 @@ def active_sets(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
         order = np.argsort(shared.value[(h % np.uint64(RARITY)).astype("i8")], kind="stable")  # equal counts stay in the order of hashes
         return h[order[: len(h) - needed(len(h)) + 1]]
 
-    rows = with_roots(sets_of(texts, shingle, first_words), roots).select("fp", "root", "size", F.posexplode("words").alias("at", "word"))
-    return _meetings(rows, "fp long", lambda own, _, ok: pa.RecordBatch.from_arrays([pa.array(own[ok.any(1)])], names=["fp"])).distinct()
+    rows = written(with_roots(sets_of(texts, shingle, first_words), roots).select("fp", "root", "size", F.posexplode("words").alias("at", "word")), "prefixes")
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart"))
+    hot = checked_broadcast(counts.where(F.col("apart") & (F.col("n") > BLOCK_SETS)).select("word"))
+    cold = rows.join(hot, "word", "left_anti").withColumn("key", F.col("word")).withColumn("block", F.lit(0))
+    met = _meetings(cold, "fp long", lambda own, _, ok: pa.RecordBatch.from_arrays([pa.array(own[ok.any(1)])], names=["fp"]))
+    return met.unionByName(rows.join(hot, "word", "left_semi").select("fp")).distinct()
 
 
-def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): names of all sets of (text) that may be similar and that ``roots`` (node, root) does not yet join.
+def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): names of sets of (text) that may be similar and that ``roots`` (node, root) does not yet join; and (fp, first), the class of each set.
 
-    An exact prefix join as in ``active_sets``, with shingles ordered by the exact number of these sets that hold them. Shingles of one set
-    alone come first and meet nothing, so of sets that share a passage, or are like each other but not enough, few meet.
+    Shingles of one set alone meet nothing. Sets that are equal but for these, and have as many of them, are a class: each is as similar to any other
+    set as the class's first is, so classes meet by their firsts, and within a class all are similar or none. An exact prefix join as in
+    ``active_sets``, with shingles ordered by the exact number of these sets that hold them, finds the others: of sets that share a passage, or are
+    like each other but not enough, few meet.
     """
     named = with_roots(sets_of(texts, shingle), roots)
     rows = written(named.select("fp", "root", "size", F.explode("words").alias("word")), "shingles")
     counts = written(rows.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     repeated = rows.join(counts, "word").groupBy("fp", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("repeated"))
+    keyed = repeated.withColumn("class", F.xxhash64(F.transform("repeated", lambda x: x["word"])))
+    # a class of several roots has one of its own
+    mixed = F.xxhash64(F.min("fp"), F.lit("several"))
+    classes = written(keyed.groupBy("class", "size").agg(F.min("fp").alias("fp"), F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(mixed).alias("root"), F.first("repeated").alias("repeated")), "classes")
+    members = written(keyed.select(F.col("fp").alias("own"), "class", "size").join(classes.select("class", "size", "fp"), ["class", "size"]).select(F.col("own").alias("fp"), F.col("fp").alias("first"), "size"), "members")
     top, of = SIMILAR
     alone = F.col("size") - F.size("repeated")
     left = F.col("size") - F.expr(f"(size * {top} + {of - 1}) div {of}") + 1 - alone  # of the prefix, behind the shingles of this set alone
-    firsts = repeated.select("fp", "root", "size", alone.alias("alone"), F.slice("repeated", F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("firsts"))
-    meeting = firsts.select("fp", "root", "size", "alone", F.posexplode("firsts").alias("at", "x")).select("fp", "root", "size", (F.col("alone") + F.col("at")).cast("int").alias("at"), "x.word")
+    firsts = classes.select("fp", "root", "size", alone.alias("alone"), F.size("repeated").alias("shared"), F.slice("repeated", F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("firsts"))
+    within = members.where("fp <> first").join(firsts.where(F.col("shared") * of >= (F.col("shared") + 2 * F.col("alone")) * top).select(F.col("fp").alias("first")), "first", "left_semi")
+    meeting = written(firsts.select("fp", "root", "size", "alone", F.posexplode("firsts").alias("at", "x")).select("fp", "root", "size", (F.col("alone") + F.col("at")).cast("int").alias("at"), "x.word"), "meetings")
 
     def pairs(own: np.ndarray, every: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
         x, y = np.nonzero(ok & (own[:, None] < every[None]))
         return pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(every[y])], names=["a", "b"])
 
-    out = written(_meetings(meeting, "a long, b long", pairs).distinct(), "pairs")
-    remove(rows)
-    remove(counts)
-    return out
+    met = _meetings(_in_blocks(meeting, meeting.groupBy("word").agg(F.count("*").alias("n"))), "a long, b long", pairs)
+    out = written(met.distinct().unionByName(within.select(F.col("first").alias("a"), F.col("fp").alias("b"))), "pairs")
+    for used in (rows, counts, classes, meeting):
+        remove(used)
+    return out, members.select("fp", "first")
+
+
+def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links of sets to what their class's first is linked to, one for each set: with the links themselves they join what all links of all sets would."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partner = both.groupBy(F.col("a").alias("first")).agg(F.min("b").alias("b"))
+    return members.where("fp <> first").join(partner, "first").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -659,8 +694,10 @@ def first_of_each_group(documents: DataFrame, text: str = "text", shingle: int =
     dense = similar_pairs(near, texts_of(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()), shingle)
     roots = written(components(dense), "roots")
     active = texts_of(active_sets(narrow.select("text"), roots, shingle))
-    others = similar_pairs(prefix_pairs(active, roots, shingle), active, shingle)
-    components_ = named_components(docs.select("doc_id", "fp"), lambda _: dense.unionByName(others))
+    candidates, members = prefix_pairs(active, roots, shingle)
+    others = similar_pairs(candidates, active, shingle)
+    links = dense.unionByName(others).unionByName(class_links(others, members))
+    components_ = named_components(docs.select("doc_id", "fp"), lambda _: links)
     named = docs.join(components_, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one row for a component or, where ids repeat, several: counted down to one
     firsts = named.groupBy("root", "component_id", "fp", "hash_").agg(F.count("*").alias("rows_"))
