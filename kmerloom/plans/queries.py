@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, sequence, vectors
-from ..operators import assembly, clusters, counting, genes, hits, intervals, kmers, trees
+from ..operators import assembly, clusters, counting, genecalls, genes, hits, intervals, kmers, trees
 from ..operators import vectors as vec
 from ..sources import fastx, tabular
 from .tables import checked_broadcast, table, written
@@ -671,8 +671,16 @@ g AS (SELECT *, count(*) FILTER (codon IN ('TAA', 'TAG', 'TGA')) OVER (PARTITION
 o AS (SELECT contig, n, strand, min(i) FILTER (codon IN ('ATG', 'GTG', 'TTG')) AS a, max(i) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS z FROM g GROUP BY contig, n, strand, frame, stops)
 SELECT contig, CASE WHEN strand = '+' THEN a ELSE n - z - 1 END::BIGINT AS start, CASE WHEN strand = '+' THEN z + 2 ELSE n - a + 1 END::BIGINT AS "end", strand FROM o WHERE z + 3 - a >= 90""")
 def open_reading_frames(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), F.regexp_replace(F.translate(F.lower("text"), *_DNA), "[^ACGT]", "").alias("seq"))
-    return genes.open_reading_frames(genes.long_contigs(d))
+    return genes.open_reading_frames(genes.long_contigs(_dna(spark, sf_dir)))
+
+
+def _dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), F.regexp_replace(F.translate(F.lower("text"), *_DNA), "[^ACGT]", "").alias("seq"))
+
+
+@query()
+def gene_calls(spark, sf_dir):
+    return genecalls.call_genes(_dna(spark, sf_dir))
 
 
 @query(f"""WITH u AS (SELECT DISTINCT kmer, item_id AS unit_id FROM ({_kmers_sql('benchmark', 'item_id', 23)})), t AS (SELECT unit_id, count(*) AS total FROM u GROUP BY 1), q AS (SELECT DISTINCT doc_id, kmer FROM ({_kmers_sql('documents', 'doc_id', 23)}))
