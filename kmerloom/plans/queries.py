@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, sequence, vectors
-from ..operators import assembly, clusters, counting, genecalls, genes, hits, intervals, kmers, trees
+from ..operators import assembly, clusters, counting, genecalls, genes, hits, intervals, kmers, layout, trees
 from ..operators import vectors as vec
 from ..sources import fastx, tabular
 from .tables import checked_broadcast, table, written
@@ -650,6 +650,31 @@ def mlp_project(spark, sf_dir):
     return p.select("id", F.col("projected")[0].alias("umap_1"), F.col("projected")[1].alias("umap_2"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of the usual length without nulls."""
+    return _embeddings(spark, sf_dir).where(F.size("embedding") == 64).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+
+
+@query()
+def umap_graph(spark, sf_dir):
+    near = vec.knn(_vectors(spark, sf_dir), "vec_id", "embedding", 15).select("id", "neighbour", (1 - F.col("score")).alias("distance"))
+    return layout.fuzzy_graph(near).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def umap_layout(spark, sf_dir):
+    return layout.embed(_vectors(spark, sf_dir), "vec_id", "embedding")
+
+
+@query()
+def umap_projection(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    places = layout.embed(v, "vec_id", "embedding", rounds=20)
+    rows = v.select("vec_id", "embedding").join(places, F.col("vec_id") == F.col("id")).select("embedding", F.array("x", "y").alias("place"))
+    layers, _ = layout.train_projection(rows, "embedding", "place", steps=40)
+    return vec.mlp_project(v, "vec_id", "embedding", layers).select("id", F.col("projected")[0].alias("umap_1"), F.col("projected")[1].alias("umap_2"))
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def manifest_resume(spark, sf_dir):
     return vec.remaining(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id")
