@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, sequence, vectors
 from ..operators import assembly, clusters, counting, genecalls, genes, hits, intervals, kmers, layout, trees
 from ..operators import vectors as vec
-from ..sources import fastx, tabular
+from ..sources import fastx, regions, tabular
 from .tables import checked_broadcast, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,20 @@ def linear_index(spark, sf_dir):
     return intervals.linear_index(_features(spark, sf_dir))
 
 
+_WINDOW = "CASE " + " ".join(f"WHEN bin >= {bins.bin_first(level)} THEN (bin - {bins.bin_first(level)}) << {3 * (bins.LEVELS - level)}" for level in range(bins.LEVELS, 0, -1)) + " ELSE 0 END"
+
+
+@query(f"""WITH f AS ({_FEATURES}), b AS (SELECT seq, {_BIN} AS bin, "offset" AS o FROM f), r AS (SELECT seq, bin, o, CASE WHEN o > max(o + 1) OVER (PARTITION BY seq, bin ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 65536 THEN 1 ELSE 0 END AS n FROM b),
+c AS (SELECT seq, bin, count(*) AS n_features, sum(n) + 1 AS n_chunks, min(o) AS first_begin, max(o) + 1 AS last_end, {_WINDOW} AS win FROM r GROUP BY seq, bin),
+t AS (SELECT seq, "offset" AS o, unnest(range(beg >> 14, (("end" - 1) >> 14) + 1)) AS win FROM f), x AS (SELECT seq, win, min(o) AS o FROM t GROUP BY ALL), e AS (SELECT seq, unnest(range(0, max(win) + 1)) AS win FROM x GROUP BY seq),
+l AS (SELECT seq, win, first_value(o IGNORE NULLS) OVER (PARTITION BY seq ORDER BY win ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS o FROM e LEFT JOIN x USING (seq, win)), z AS (SELECT seq, arg_max(o, win) AS o FROM l GROUP BY seq)
+SELECT c.seq AS seq, bin, coalesce(l.o, z.o) AS loff, n_chunks::BIGINT AS n_chunks, first_begin, last_end FROM c LEFT JOIN l ON c.seq = l.seq AND c.win = l.win JOIN z ON c.seq = z.seq""")
+def interval_index(spark, sf_dir):
+    f = _features(spark, sf_dir).select("seq", "beg", "end", F.col("offset").alias("voffset"), (F.col("offset") + 1).alias("end_voffset"))
+    chunk = lambda i, c: F.element_at("chunks", i)[c]
+    return regions.index_rows(f).select("seq", "bin", "loff", F.size("chunks").cast("long").alias("n_chunks"), chunk(1, "begin").alias("first_begin"), chunk(-1, "end").alias("last_end"))
+
+
 # --- aligned sequences and clusters ------------------------------------------------------------------------------------
 
 _PAIR = "SELECT a.item_id AS item_id, a.text AS reference, replace(b.text, 'e', '-') AS mapped FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
@@ -738,6 +752,14 @@ def stream_filter(spark, sf_dir):
     return depleted_stream_counts(spark, f"{sf_dir}/documents.parquet", index, "doc_id", "text", "source", K, W)
 
 
+@query(f"WITH {_COUNTS} SELECT kmer, n FROM counts WHERE n >= 5")
+def stream_kmer_counts(spark, sf_dir):
+    """k-mers of documents counted chunk of files after chunk, once the stream is read."""
+    from ..streaming.reads import chunked_kmer_counts
+
+    return kmers.min_count(chunked_kmer_counts(spark, f"{sf_dir}/documents.parquet", "text", K, files_a_chunk=4))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_depletion(spark, sf_dir)
 

@@ -68,14 +68,38 @@ def depleted_stream_counts(spark: SparkSession, path: str, index: DataFrame, id_
         joined = rows.select(id_col, group, F.length(seq).cast("long").alias("bases")).join(verdicts.select(id_col, "kept"), id_col)
         running_counts(joined, group=group).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/{name[:-1]}[{name[-1]}]")
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    parquet_stream(spark, path, files_a_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     sums = spark.read.parquet(out)
     return sums.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("reads_in", "reads_out", "bases_in", "bases_out")))
 
 
+def parquet_stream(spark: SparkSession, path: str, files_a_batch: int) -> DataFrame:
+    """All parquet files of a folder, or one file, as a stream."""
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    return stream.parquet(path if _is_folder(spark, path) else f"{folder}/{name[:-1]}[{name[-1]}]")
+
+
+def chunked_kmer_counts(spark: SparkSession, path: str, seq: str, k: int, qual: str | None = None, least_quality: int = 20, mode: int = 2, files_a_chunk: int = 1000) -> DataFrame:
+    """(kmer, n) of all reads in the parquet files of a folder (or in one file), taken in as a stream, chunk of files after chunk.
+
+    Each chunk's k-mers, of enough quality if there are qualities, are counted on their own and appended as a part; parts are added up at the end.
+    A chunk that is repeated after a failure takes the place of its part.
+    """
+    from ..operators.kmers import counts, quality_kmers
+    from ..plans.tables import new_path
+    from ..sources.appended import append_part, read_parts
+
+    folder, checkpoint = new_path(spark, "kmer-parts"), new_path(spark, "stream-state")
+
+    def chunk(rows: DataFrame, number: int) -> None:
+        counted = counts(rows, seq, k) if qual is None else quality_kmers(rows.select(seq, qual), seq, qual, k, least_quality, mode).groupBy("kmer").agg(F.count("*").alias("n"))
+        append_part(counted, folder, number)
+
+    parquet_stream(spark, path, files_a_chunk).writeStream.foreachBatch(chunk).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_parts(spark, folder, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
