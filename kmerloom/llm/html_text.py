@@ -9,7 +9,8 @@ The page's structure only changes weights, before the search. Lines of elements
 sidebar, notice, advert, form or reader comments, by tag, role or the words of their names, weigh nothing, unless such an
 element alone holds the page's main element, or holds the larger part of the page's text and is a form, has a name that does not end in what
 it looks like, or alone holds the page's article element. Where article and main elements hold at least half of the weight, lines
-outside weigh nothing. What a reader does not see (scripts, styles, hidden elements, parts of controls) is no text at all.
+outside weigh nothing. A class that names the article itself outweighs single words beside it. Outside article and main elements, short
+lines of copyright and of cookie notices weigh nothing, whatever the names around them. What a reader does not see (scripts, styles, hidden elements, parts of controls) is no text at all.
 
 A page is parsed in one pass whose time is in proportion to its length.
 
@@ -47,7 +48,7 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dia
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "header masthead topbar footer foot colophon copyright sidebar side aside widget widgets related recommended recommendations share sharing social comment comments disqus respond replies reply discussion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search toolbar pagination pager paywall skip tags legal disclaimer".split()
+    "feedback opinions guestbook bottom cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search toolbar pagination pager paywall skip tags legal disclaimer".split()
 )
 # Words after which a name says what a page has, not what an element is; words that end names without saying what
 # they name; words of article parts, whose own headers are not the page's; what an article element is if it is not the page's
@@ -57,12 +58,17 @@ ENDINGS = frozenset("area bar block box container group inner item list outer pa
 ARTICLE_WORDS = frozenset("article post entry story content main text headline".split())
 OTHER_ARTICLES = frozenset("comment comments reply replies related recommended teaser ad ads advert advertisement sponsored promo promotion".split())
 QUOTES = frozenset("pullquote pull quote".split())
+# Class names of the page's article itself, beside which single words of chrome only say what it is about or has; and what short
+# lines of notices and of copyright hold, by which they are known whatever the names around them.
+ARTICLE_NAMES, POST_NAMES = frozenset({"article"}), frozenset("post entry story hentry".split())
+NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|allow|preferences|policy)\b|\b(?:accept|agree|consent|allow)\b.*\bcookies?\b", re.I | re.S)
+RIGHTS = re.compile(r"^(?:©|\(c\)|copyright)|\ball rights reserved\b|©\s*\d{4}", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Lines of a window, and the weight at which a window's sum is a surge.
-WINDOW, SURGE = 3, 80
+#: Lines of a window, the weight at which a window's sum is a surge, and characters of a line that may be a notice.
+WINDOW, SURGE, NOTICE_CHARS = 3, 80, 300
 
 
 def attributes_of(raw: str) -> list[tuple[str, str]]:
@@ -81,8 +87,13 @@ def looks_like_chrome(tag: str, attributes: list[tuple[str, str]], in_main: bool
         return "yes"
     if tag in HEADINGS or tag in ("html", "body"):
         return ""
+    # a class of the article's own: words that stand alone beside it do not make it something else
+    own = {token.lower() for name, value in attributes if name == "class" for token in value.split()} if tag in BLOCKS else set()
+    soft = frozenset() if not own & (ARTICLE_NAMES | POST_NAMES) else CHROME_WORDS if own & ARTICLE_NAMES else CHROME_WORDS - OTHER_ARTICLES
     found = ""
     for parts in parts_of:
+        if len(parts) == 1 and parts[0] in soft:
+            continue
         state = next((i for i, x in enumerate(parts) if x in STATE_WORDS), len(parts))
         parts = parts[:state]
         if tag in MAIN_TAGS:
@@ -269,16 +280,23 @@ def weights_of(page: Page) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(change, [s.start for s in page.suspects], 1)
     np.add.at(change, [s.end for s in page.suspects], -1)
     before, at = np.concatenate(([0], np.cumsum(own))), np.array([k for k, _ in page.mains if k < len(own)], "i8")
-    whole = np.array([w for k, w in page.mains if k < len(own)], bool)
-    for s in page.suspects:  # outer ones come first
+    # sums over the article and main elements in page order, so that a suspect is judged without looking at each of them
+    whole = np.concatenate(([0], np.cumsum([w for k, w in page.mains if k < len(own)], dtype="i8")))
+    bare = np.concatenate(([0], np.cumsum(np.cumsum(change)[at] == 0)))  # those in no suspect
+    spans = np.searchsorted(at, [[s.start for s in page.suspects], [s.end for s in page.suspects]])
+    freed = -1  # where the suspect ends that was freed first: others beyond it do not alone hold the article
+    for s, lo, hi in zip(page.suspects, *spans.tolist(), strict=True):  # outer ones come first
         larger = 2 * (before[s.end] - before[s.start]) > total
-        lo, hi = np.searchsorted(at, (s.start, s.end))
-        alone = lo < hi and s.looks != "other" and (larger or whole[lo:hi].any()) and (np.cumsum(change)[np.delete(at, np.s_[lo:hi])] > 0).all()
+        outside = bare[-1] - (bare[hi] - bare[lo])
+        alone = lo < hi and s.looks != "other" and (larger or whole[hi] > whole[lo]) and outside == 0 and (freed < 0 or s.start < freed)
         if (larger and s.looks == "name") or alone:
             change[s.start] -= 1
             change[s.end] += 1
+            freed = s.end if freed < 0 else freed
     pending = np.cumsum(change[:-1])
     free, main = pending == 0, np.array(page.main, bool)
+    notice = np.array([not m and len(t) <= NOTICE_CHARS and (RIGHTS.search(t) or NOTICE.search(t)) is not None for t, m in zip(page.texts, page.main, strict=True)], bool)
+    free &= ~notice
     # links are part of the text in the page's article
     weight = np.where(free, np.where(main, [len(t) for t in page.texts], own), 0)
     if 2 * weight[main].sum() >= weight.sum() > 0:
