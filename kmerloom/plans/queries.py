@@ -403,11 +403,42 @@ def best_hit_annotated(spark, sf_dir):
     return hits.annotated_gff(_gff(spark, sf_dir), best)
 
 
-@query("SELECT l_orderkey || ':' || l_linenumber AS hit, coalesce(o_orderstatus, '') AS contig, coalesce((o_orderkey * 10)::VARCHAR, '') AS gene_start, coalesce((o_orderkey * 10 + 9)::VARCHAR, '') AS gene_end, CASE WHEN o_orderkey IS NULL THEN '' WHEN o_orderpriority LIKE '1%' THEN '+' WHEN o_orderpriority LIKE '2%' THEN '-' ELSE '.' END AS strand FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
-def hit_metadata_tsv(spark, sf_dir):
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     strand = F.when(F.col("o_orderpriority").startswith("1"), "+").when(F.col("o_orderpriority").startswith("2"), "-").otherwise("?")
-    g = o.select(F.col("o_orderkey").alias("gene_id"), F.col("o_orderstatus").alias("contig"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 9).alias("end"), strand.alias("strand"))
+    return o.select(F.col("o_orderkey").alias("gene_id"), F.col("o_orderstatus").alias("contig"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 9).alias("end"), strand.alias("strand"))
+
+
+_STRAND = "CASE WHEN o_orderkey IS NULL THEN '' WHEN o_orderpriority LIKE '1%' THEN '+' WHEN o_orderpriority LIKE '2%' THEN '-' ELSE '.' END"
+_SHOWN = {"sample": "l_suppkey::VARCHAR", "index_k": "'23'", "query_id": "l_orderkey::VARCHAR", "unit_id": "p_brand", "unit_label": "p_name", "call_type": "CASE WHEN l_returnflag = 'N' THEN 'gene' ELSE 'gene_group' END", "gene_group": "p_type", "call_fraction": "printf('%.4f', l_discount)", "first_pass_distinct": "l_quantity::BIGINT::VARCHAR", "first_pass_diagnostic_total": "'50'", "start": "l_linenumber::VARCHAR", "end": "(l_linenumber + 30)::VARCHAR"}
+_GENE = {"contig": "coalesce(o_orderstatus, '')", "gene_start": "coalesce((o_orderkey * 10)::VARCHAR, '')", "gene_end": "coalesce((o_orderkey * 10 + 9)::VARCHAR, '')", "strand": _STRAND}
+
+
+def _report_sql(places: dict[str, str]) -> str:
+    shown = ", ".join(f"{(_SHOWN | _GENE).get(c, chr(39) * 2)} AS \"{heading}\"" for c, heading in (tabular.REPORT | places).items())
+    return f"SELECT {shown} FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey"
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("unit_id"), F.col("p_name").alias("unit_label"), F.col("p_type").alias("gene_group"))
+    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    call = F.when(F.col("l_returnflag") == "N", "gene").otherwise("gene_group")
+    return rows.select(F.col("l_suppkey").alias("sample"), F.lit(23).alias("index_k"), F.col("l_orderkey").alias("query_id"), "unit_id", "unit_label", call.alias("call_type"), F.lit(None).cast("string").alias("subtype"), "gene_group", F.col("l_discount").alias("call_fraction"), F.col("l_quantity").cast("long").alias("first_pass_distinct"), F.lit(50).alias("first_pass_diagnostic_total"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 30).alias("end"))
+
+
+@query(_report_sql(tabular.PLACES))
+def resistance_report(spark, sf_dir):
+    return tabular.hit_report(_shown(spark, sf_dir))
+
+
+@query(_report_sql(tabular.GENE_PLACES))
+def gene_resistance_report(spark, sf_dir):
+    return tabular.gene_report(_shown(spark, sf_dir), _genes(spark, sf_dir))
+
+
+@query("SELECT l_orderkey || ':' || l_linenumber AS hit, coalesce(o_orderstatus, '') AS contig, coalesce((o_orderkey * 10)::VARCHAR, '') AS gene_start, coalesce((o_orderkey * 10 + 9)::VARCHAR, '') AS gene_end, CASE WHEN o_orderkey IS NULL THEN '' WHEN o_orderpriority LIKE '1%' THEN '+' WHEN o_orderpriority LIKE '2%' THEN '-' ELSE '.' END AS strand FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
+def hit_metadata_tsv(spark, sf_dir):
+    g = _genes(spark, sf_dir)
     h = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("hit"))
     return hits.hits_with_genes(h, g).drop("query_id")
 

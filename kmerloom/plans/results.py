@@ -122,7 +122,7 @@ def cluster_report(spark, sf_dir):
     return tabular.cluster_report(core._samples(spark, sf_dir))
 
 
-_DIMS = 8
+_DIMS = 64
 _SEVEN = "printf('%.6e', {}::DOUBLE)::DOUBLE AS {}"
 
 

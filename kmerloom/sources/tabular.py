@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import to_precision
-from ..operators.hits import metadata_parts
+from ..operators.hits import hits_with_genes, metadata_parts
 from ..plans.tables import ranked
 
-# Report columns.
-REPORT = ("sample", "database_version", "index_alphabet", "index_k", "query_id", "unit_id", "unit_label", "call_type", "type_name", "subtype", "element_symbol", "gene_symbol", "allele_symbol", "gene_group", "hierarchy_node", "class_name", "subclass", "call_fraction", "first_pass_distinct", "first_pass_diagnostic_total")
+# Headings of the report of hits, by the field they show, in their order; behind them, of hits in contigs or of hits in genes.
+REPORT = {
+    "sample": "Sample", "database_version": "Database version", "index_alphabet": "Index alphabet", "index_k": "Index k", "query_id": "Query", "unit_id": "Unit ID", "unit_label": "Unit label",
+    "call_type": "Call", "type_name": "Category", "subtype": "Subtype", "element_symbol": "Element symbol", "gene_symbol": "Gene symbol", "allele_symbol": "Allele symbol",
+    "gene_group": "Gene group", "hierarchy_node": "Hierarchy node", "class_name": "Class", "subclass": "Subclass", "call_fraction": "Call fraction",
+    "first_pass_distinct": "Diagnostic k-mers matched", "first_pass_diagnostic_total": "Diagnostic k-mers total",
+}
+PLACES = {"start": "Start", "end": "End", "member_count": "Member count"}
+GENE_PLACES = {"contig": "Contig", "gene_start": "Gene start", "gene_end": "Gene end", "strand": "Strand", "start": "Match start in query", "end": "Match end in query", "member_count": "Member count"}
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -43,15 +50,15 @@ def read_corpus_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("path") != "").select(F.when(F.col("path").rlike(r"^(?:/|\w+:)"), F.trim("path")).otherwise(F.concat(F.lit(f"{folder}/"), F.trim("path"))).alias("path"), F.coalesce(F.trim("label"), F.lit("")).alias("label"))
 
 
-def report_columns(hits: DataFrame, extra: tuple[str, ...] = ("start", "end", "member_count")) -> list[Column]:
-    """A report's columns as text: fractions with four decimals, nothing for null; columns that the hits lack are ''."""
+def hit_report(hits: DataFrame, places: dict[str, str] = PLACES) -> DataFrame:
+    """A report of hits as text under its headings: fractions with four decimals, nothing for null; fields that the hits lack are ''."""
     text = lambda c: F.format_string("%.4f", F.col(c)) if c == "call_fraction" else F.col(c).cast("string")
-    return [(F.coalesce(text(c), F.lit("")) if c in hits.columns else F.lit("")).alias(c) for c in (*REPORT, *extra)]
+    return hits.select(*((F.coalesce(F.when(F.col(c).isNotNull(), text(c)), F.lit("")) if c in hits.columns else F.lit("")).alias(heading) for c, heading in (REPORT | places).items()))
 
 
-def gene_report(hits: DataFrame) -> DataFrame:
-    """The report of hits joined with their genes."""
-    return hits.select(*report_columns(hits, ("contig", "gene_start", "gene_end", "strand", "start", "end", "member_count")))
+def gene_report(hits: DataFrame, genes: DataFrame) -> DataFrame:
+    """The report of hits in genes, with each gene's contig, start, end and strand (see ``hits.hits_with_genes``)."""
+    return hit_report(hits_with_genes(hits, genes), GENE_PLACES)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
