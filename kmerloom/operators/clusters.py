@@ -122,9 +122,11 @@ def match_runs(pairs: DataFrame, key: str, reference: str, mapped: str) -> DataF
     Columns beyond the shorter sequence are unmapped. Runs are cut within each row, so nothing is shuffled.
     """
     n = F.length(reference)
-    states = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.substring(F.col(mapped), i, F.lit(1)).isin("-", ""), "u").when(F.substring(F.col(mapped), i, F.lit(1)) == F.substring(F.col(reference), i, F.lit(1)), "m").otherwise("x"))
-    coded = pairs.where(n > 0).select(key, F.array_join(states, "").alias("s_"))
-    cut = coded.select(key, F.posexplode(F.regexp_extract_all("s_", F.lit("(m+|x+|u+)"), 1)).alias("run", "piece"), "s_")
+    # both are taken apart once; what the mapped sequence lacks is null
+    state = lambda r, m: F.when(m.isNull() | m.isin("-", ""), "u").when(m == r, "m").otherwise("x")
+    states = F.zip_with(F.split(reference, ""), F.split(F.substring(F.col(mapped), F.lit(1), n), ""), state)
+    coded = pairs.where(n > 0).select(key, F.array_join(F.when(F.col(mapped).isNull(), F.array_repeat(F.lit("u"), n)).otherwise(states), "").alias("s_"))
+    cut = coded.select(key, F.posexplode(F.regexp_extract_all("s_", F.lit("(m+|x+|u+)"), 1)).alias("run", "piece"))
     w = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     named = F.when(F.col("piece").startswith("m"), "match").when(F.col("piece").startswith("x"), "mismatch").otherwise("unmapped")
     return cut.select(key, F.col("run").cast("long").alias("run"), F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long").alias("start"), F.length("piece").cast("long").alias("length"), named.alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Name endings of sequence files.
@@ -116,9 +116,11 @@ def fai_index(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     Lengths and offsets are in bytes; line widths are those of a record's first line of letters.
     """
     split = F.split(F.concat(F.lit("\n"), F.col(text)), "\n>")
-    # bytes before a record: all earlier pieces with their separators, less the line feed put before the text
-    before = F.aggregate(F.slice(split, F.lit(1), F.col("ord")), F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p) + 2) - 1
-    records = texts.select(key, text, F.posexplode(split).alias("ord", "record")).select(key, "ord", "record", before.alias("start_")).where("ord > 0")
+    # bytes before a record: all earlier pieces of its text with their separators, less the line feed put before the text
+    pieces = texts.withColumn("text_", F.monotonically_increasing_id()).select(key, "text_", F.posexplode(split).alias("ord", "record"))
+    before = Window.partitionBy("text_").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start_", F.sum((F.octet_length("record") + 2).cast("long")).over(before) - 1)
+    records = placed.select(key, "ord", "record", "start_").where("ord > 0")
     header = F.element_at(F.split("record", "\n"), 1)
     body = F.when(F.instr("record", "\n") > 0, F.substring("record", F.instr("record", "\n") + 1, F.length("record"))).otherwise("")
     first = F.element_at(F.split(F.concat(body, F.lit("\n")), "\n"), 1)
