@@ -419,6 +419,8 @@ WIDE_WORDS, WIDE_REACH, WIDE_BUDGET = 4, 47, 600
 RARITY = 1 << 16
 #: Sets that meet over one shingle in one task; beyond it a shingle's sets are dealt into blocks of about as many, and pairs of blocks meet.
 BLOCK_SETS = 4096
+#: Rows of one shingle that a task of the coarse step holds; of a shingle with more they go through as they come.
+HELD_ROWS = 1 << 20
 #: Words whose hashes a worker remembers, and their bytes at most.
 MEMO_WORDS, MEMO_BYTES = 1 << 20, 48
 
@@ -548,18 +550,60 @@ def _in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return met.withColumn("key", F.when(F.col("blocks_").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.least("block", "other_"), F.greatest("block", "other_"))))
 
 
-def _meetings(rows: DataFrame, schema: str, found) -> DataFrame:
+def _cold(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """(True, rows) of sorted batches cut anew, so that equal values of a column are never in two of them; but (False, rows), as they come, of a value
+    that more than ``HELD_ROWS`` rows have."""
+    held: list[pa.RecordBatch] = []
+    hot, n = None, 0
+    for b in nonempty(batches):
+        values = b.column(column).to_numpy()
+        at = 0
+        if hot is not None:
+            at = int(np.searchsorted(values, hot, "right"))
+            if at:
+                yield False, b.slice(0, at)
+            if at == len(values):
+                continue
+            hot = None
+        start = max(at, int(np.searchsorted(values, values[-1])))
+        if held and (start > at or held[-1].column(column)[0].as_py() != values[at]):
+            same = max(at, int(np.searchsorted(values, held[-1].column(column)[0].as_py(), "right")))
+            yield True, pa.concat_batches([*held, b.slice(at, same - at)])
+            held, n = [], 0
+            if same < start:
+                yield True, b.slice(same, start - same)
+        elif start > at:
+            yield True, b.slice(at, start - at)
+        held.append(b.slice(start))
+        n += len(values) - start
+        if n > HELD_ROWS:
+            hot = values[-1]
+            for x in held:
+                yield False, x
+            held, n = [], 0
+    if held:
+        yield True, pa.concat_batches(held)
+
+
+def _meetings(rows: DataFrame, schema: str, found, hot=None) -> DataFrame:
     """``found(fp, ok matrix of some rows against all)`` wherever rows (fp, root, size, at, key, block) of one key may be similar: of different roots,
-    by the lengths of their sets and by what is left of these behind the word. Of two blocks only rows of different ones meet."""
+    by the lengths of their sets and by what is left of these behind the word. Of two blocks only rows of different ones meet. With ``hot`` a key of more
+    than BLOCK_SETS rows is not compared: all its rows are given as ``hot(fp)``, unless they are held and all of one root."""
     top, of = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches, 4):
+        for whole, b in _cold(batches, 4) if hot else ((True, b) for b in runs(batches, 4)):
+            if not whole:
+                yield hot(b.column(0).to_numpy())
+                continue
             fp, root, size, at, key, block = (c.to_numpy() for c in b.columns)
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             mixed = np.minimum.reduceat(root, cuts[:-1]) < np.maximum.reduceat(root, cuts[:-1])
             for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist(), strict=True):
                 f, r, n, k, own = fp[lo:hi], root[lo:hi], size[lo:hi].astype("i8"), at[lo:hi], block[lo:hi]
+                if hot and hi - lo > BLOCK_SETS:
+                    yield hot(f)
+                    continue
                 two = own.min() < own.max()
                 for i in range(0, hi - lo, 512):
                     j = slice(i, i + 512)
@@ -586,12 +630,8 @@ def active_sets(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
         order = np.argsort(shared.value[(h % np.uint64(RARITY)).astype("i8")], kind="stable")  # equal counts stay in the order of hashes
         return h[order[: len(h) - needed(len(h)) + 1]]
 
-    rows = written(with_roots(sets_of(texts, shingle, first_words), roots).select("fp", "root", "size", F.posexplode("words").alias("at", "word")), "prefixes")
-    counts = rows.groupBy("word").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart"))
-    hot = checked_broadcast(counts.where(F.col("apart") & (F.col("n") > BLOCK_SETS)).select("word"))
-    cold = rows.join(hot, "word", "left_anti").withColumn("key", F.col("word")).withColumn("block", F.lit(0))
-    met = _meetings(cold, "fp long", lambda own, _, ok: pa.RecordBatch.from_arrays([pa.array(own[ok.any(1)])], names=["fp"]))
-    return met.unionByName(rows.join(hot, "word", "left_semi").select("fp")).distinct()
+    rows = with_roots(sets_of(texts, shingle, first_words), roots).select("fp", "root", "size", F.posexplode("words").alias("at", "key")).withColumn("block", F.lit(0))
+    return _meetings(rows, "fp long", lambda own, _, ok: pa.RecordBatch.from_arrays([pa.array(own[ok.any(1)])], names=["fp"]), lambda own: pa.RecordBatch.from_arrays([pa.array(own)], names=["fp"])).distinct()
 
 
 def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -606,11 +646,15 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> tuple[Data
     rows = written(named.select("fp", "root", "size", F.explode("words").alias("word")), "shingles")
     counts = written(rows.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     repeated = rows.join(counts, "word").groupBy("fp", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("repeated"))
-    keyed = repeated.withColumn("class", F.xxhash64(F.transform("repeated", lambda x: x["word"])))
+    keyed = written(repeated.withColumn("class", F.xxhash64(F.transform("repeated", lambda x: x["word"]))), "repeated")
+    remove(rows)
+    remove(counts)
     # a class of several roots has one of its own
     mixed = F.xxhash64(F.min("fp"), F.lit("several"))
-    classes = written(keyed.groupBy("class", "size").agg(F.min("fp").alias("fp"), F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(mixed).alias("root"), F.first("repeated").alias("repeated")), "classes")
-    members = written(keyed.select(F.col("fp").alias("own"), "class", "size").join(classes.select("class", "size", "fp"), ["class", "size"]).select(F.col("own").alias("fp"), F.col("fp").alias("first"), "size"), "members")
+    heads = keyed.groupBy("class", "size").agg(F.min("fp").alias("first"), F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(mixed).alias("class_root"))
+    heads = written(heads, "classes")
+    members = written(keyed.select("fp", "class", "size").join(heads, ["class", "size"]).select("fp", "first", "size"), "members")
+    classes = keyed.drop("root").join(checked_broadcast(heads.select(F.col("first").alias("fp"), F.col("class_root").alias("root"))), "fp")
     top, of = SIMILAR
     alone = F.col("size") - F.size("repeated")
     left = F.col("size") - F.expr(f"(size * {top} + {of - 1}) div {of}") + 1 - alone  # of the prefix, behind the shingles of this set alone
@@ -624,7 +668,7 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, shingle: int) -> tuple[Data
 
     met = _meetings(_in_blocks(meeting, meeting.groupBy("word").agg(F.count("*").alias("n"))), "a long, b long", pairs)
     out = written(met.distinct().unionByName(within.select(F.col("first").alias("a"), F.col("fp").alias("b"))), "pairs")
-    for used in (rows, counts, classes, meeting):
+    for used in (keyed, heads, meeting):
         remove(used)
     return out, members.select("fp", "first")
 
