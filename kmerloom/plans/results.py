@@ -10,7 +10,7 @@ from ..operators import vectors as vec
 from ..sources import fastq_splits, fastx, tabular
 from . import queries as core
 from .queries import query
-from .tables import new_path, table
+from .tables import new_path, ranked, table
 
 # --- reads and k-mers --------------------------------------------------------------------------------------------------
 
@@ -174,6 +174,6 @@ def seeded_shuffle(spark, sf_dir):
     return vec.seeded_shuffle(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
 
 
-@query(f"WITH c AS ({core.ORACLES['cluster_timeline']}) SELECT * FROM c ORDER BY cluster, date")
+@query(f"WITH c AS ({core.ORACLES['cluster_timeline']}) SELECT *, row_number() OVER (ORDER BY cluster, date) AS place FROM c")
 def sorted_timeline(spark, sf_dir):
-    return clusters.timeline(core._samples(spark, sf_dir)).orderBy("cluster", "date")
+    return ranked(clusters.timeline(core._samples(spark, sf_dir)), "place", "cluster", "date")

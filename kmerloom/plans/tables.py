@@ -107,6 +107,12 @@ def ranked(df: DataFrame, name: str, *order: str, within: str | None = None) ->
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Rows dealt out evenly before they are expanded, where a table has fewer input partitions than the cluster has cores."""
-    wanted = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """Rows dealt out evenly before they are expanded, where a table is read in fewer pieces than the cluster has cores.
+
+    Told from what is known without running anything: the number of files, and the bytes of the plan against those of a piece.
+    """
+    spark = df.sparkSession
+    wanted = least or spark.sparkContext.defaultParallelism
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    pieces = max(len(df.inputFiles()), known // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(wanted) if pieces < wanted else df
