@@ -113,6 +113,6 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     wanted = least or spark.sparkContext.defaultParallelism
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     pieces = max(len(df.inputFiles()), known // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(wanted) if pieces < wanted else df
