@@ -173,9 +173,10 @@ class Tokens:
         self.order, self.starts = order, ends - lengths - (order - 1)
         place = np.arange(len(seq)) - np.repeat(self.starts, lengths + order)
         #: places of tokens, end included
-        self.real = np.flatnonzero(place >= order - 1)
+        self.real = np.flatnonzero(place >= order - 1).astype("i4" if len(seq) < 1 << 31 else "i8")
         #: for each order the places that count as its events; the last mark does so for all but the highest
-        self.events = [np.flatnonzero(place >= max(order - 2, 0)) if m < order else self.real for m in range(1, order + 1)]
+        marked = np.flatnonzero(place >= max(order - 2, 0)).astype(self.real.dtype) if order > 1 else self.real
+        self.events = [marked if m < order else self.real for m in range(1, order + 1)]
         keys = [seq]
         for _ in range(1, order):
             k = np.zeros_like(seq)
@@ -184,14 +185,18 @@ class Tokens:
         self.keys = [k[e] for k, e in zip(keys, self.events, strict=True)]
         self.length = len(seq)
 
-    def counted(self, counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Of each token, by order: its count, and its context's, from those of each order's sorted distinct keys. The lowest order has no context."""
-        full = []
-        for keys, events, c in zip(self.keys, self.events, counts, strict=True):
-            a = np.zeros(self.length, "i8")
-            a[events] = c[np.unique(keys, return_inverse=True)[1]]
-            full.append(a)
-        return [a[self.real] for a in full], [a[self.real - 1] for a in full[:-1]]
+    def counted(self, counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Order by order, each token's count and its context's (none at the lowest), from the counts of the order's sorted distinct keys.
+
+        Keys are given up on the way, so a chunk's arrays are held for one order at a time.
+        """
+        before = None
+        for m, c in enumerate(counts):
+            full = np.zeros(self.length, "i8")
+            full[self.events[m]] = c[np.unique(self.keys[m], return_inverse=True)[1]]
+            self.keys[m] = self.events[m] = None
+            yield full[self.real], None if before is None else before[self.real - 1]
+            before = full
 
 
 def _tokens(b: pa.RecordBatch | pa.Table, k: int, order: int) -> Tokens:
@@ -265,9 +270,13 @@ class Model:
     words: int  # distinct ones
     weights: list[np.ndarray]  # from the second order on, by bucket; first the lowest order's one weight
 
-    def probability(self, counts: list[np.ndarray], contexts: list[np.ndarray], tokens: int) -> np.ndarray:
-        estimates = [counts[0] / max(tokens, 1), *(c / np.maximum(x, 1) for c, x in zip(counts[1:], contexts, strict=True))]
-        return mixture(estimates, [np.zeros(1, "i8"), *map(level, contexts)], self.weights, 1 / (self.words + 1))[-1]
+    def probability(self, found: Iterator[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Order by order, each token's count and its probability so far, from what ``Tokens.counted`` gives."""
+        p = 1 / (self.words + 1)
+        for w, (count, context) in zip(self.weights, found, strict=True):
+            own = w[0] if context is None else w[level(context)]
+            p = own * (count / (max(self.tokens, 1) if context is None else np.maximum(context, 1))) + (1 - own) * p
+            yield count, p
 
 
 def mixture(estimates: list[np.ndarray], levels: list[np.ndarray], weights: list[np.ndarray], floor: float) -> list[np.ndarray]:
@@ -322,9 +331,9 @@ def _fit(chunk_rows: DataFrame, answers: DataFrame, order: int) -> Model:
     left = tokens - deleted
 
     def gather(key, own: pa.Table, theirs: pa.Table) -> pa.Table:
-        t = _tokens(own, 0, order)
-        total, gone = (t.counted(_answered(theirs, c, order)) for c in ("totals", "deleted"))
-        return _cells(*([a - b for a, b in zip(x, y, strict=True)] for x, y in zip(total, gone, strict=True)), left)
+        rest = [a - b for a, b in zip(*(_answered(theirs, c, order) for c in ("totals", "deleted")), strict=True)]
+        counts, contexts = zip(*_tokens(own, 0, order).counted(rest), strict=True)
+        return _cells(list(counts), list(contexts[1:]), left)
 
     pairs = chunk_rows.where(F.col("side") == DELETE).select("chunk", "lengths", "words", "planes").groupBy("chunk").cogroup(answers.where(F.col("side") == DELETE).select("chunk", "order_", "bucket", "n", "totals", "deleted").groupBy("chunk"))
     cells = pairs.applyInArrow(gather, "cell long, n long, sums array<double>")
@@ -361,13 +370,13 @@ def score_documents(documents: DataFrame, order: int = ORDER, doc_id: str = "doc
         from pyspark.sql.pandas.types import to_arrow_type
 
         lengths = np.array(own.column("lengths")[0].as_py(), "i8") + 1
-        counts, contexts = _tokens(own, 0, order).counted(_answered(theirs, "totals", order))
-        firsts = np.cumsum(lengths) - lengths
-        base = np.log10((counts[0] + 1) / (model.tokens + model.words + 1))
-        scores = np.log10(model.probability(counts, contexts, model.tokens))
-        n = len(lengths)
+        firsts, n, sums = np.cumsum(lengths) - lengths, len(lengths), []
+        for count, p in model.probability(_tokens(own, 0, order).counted(_answered(theirs, "totals", order))):
+            if not sums:
+                sums = [np.add.reduceat(x, firsts) for x in ((count > 0).astype("i8"), np.log10((count + 1) / (model.tokens + model.words + 1)))]
+        known, base, scores = *sums, np.add.reduceat(np.log10(p), firsts)
         return pa.table(
-            [pa.array(own.column("doc_ids")[0].as_py(), to_arrow_type(id_type)), pa.array([own.column("side")[0].as_py() == TEST] * n), pa.array(lengths), pa.array(np.add.reduceat((counts[0] > 0).astype("i8"), firsts)), pa.array([model.tokens] * n, pa.int64()), pa.array(np.add.reduceat(base, firsts)), pa.array(np.add.reduceat(scores, firsts))],
+            [pa.array(own.column("doc_ids")[0].as_py(), to_arrow_type(id_type)), pa.array([own.column("side")[0].as_py() == TEST] * n), pa.array(lengths), pa.array(known), pa.array([model.tokens] * n, pa.int64()), pa.array(base), pa.array(scores)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     pairs = chunk_rows.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "order_", "bucket", "n", "totals").groupBy("chunk"))
