@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical, reverse_complement
 from ..plans.tables import remove, written
-from .kmers import counts, fitted_min_count, min_count, quality_kmers, spectrum
+from .kmers import counts, fitted_min_count, min_count, quality_kmers, spectrum, spectrum_of
 
 #: Rounds of correction before giving up, and segments of a path whose texts are put together in one row at first.
 MAX_ROUNDS, STRETCH = 200, 4096
@@ -161,6 +161,13 @@ def assemble(reads: DataFrame, seq: str, k: int = 21, least: int | None = None,
 
     Null and short reads have no k-mers; without k-mers there are no contigs. Other columns are not read.
     """
-    counted = written(counted_kmers(reads, seq, k, qual, least_quality, mode), "kmers")
-    return contigs(corrected(written(segments_of(solid_kmers(counted, least)), "segments"), k, longest))
+    if qual is None:
+        # the spectrum first, so that no k-mer below the minimum is written or leaves its task
+        plain = reads.select(F.translate(F.upper(seq), "U", "T").alias("seq"))
+        if least is None:
+            least = fitted_min_count(spectrum_of(plain, "seq", k, both_strands=True)).first()[0]
+        solid = written(counts(plain, "seq", k, both_strands=True, least=least), "kmers")
+    else:
+        solid = solid_kmers(written(counted_kmers(reads, seq, k, qual, least_quality, mode), "kmers"), least)
+    return contigs(corrected(written(segments_of(solid), "segments"), k, longest))
 

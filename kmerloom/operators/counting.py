@@ -2,9 +2,9 @@
 
 Every task counts its k-mers in an array of small counters; a k-mer has two of them, both in one block. The arrays are added up
 page by page by Spark. A k-mer whose smaller counter is below the minimum cannot reach it, as counters are shared but never too
-small, so only the others are shuffled and counted exactly. The sketch's size follows the letters up to ``MOST_BITS``; what is sent to
-the tasks is one bit a counter, 8 MB at most. With far more distinct k-mers than counters it lets most k-mers through: then it saves nothing,
-and the counts are still exact.
+small, so only the others are shuffled, as runs, and counted exactly. The sketch's size follows the letters up to ``MOST_BITS``; what is sent to
+the tasks is one bit a counter, 8 MB at most. With so many more letters than counters that it would let nearly all k-mers through no sketch is made:
+the counts are those of ``runs``, exact as well.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import blocks, min_count
+from ..functions.letters import groups
+from ..plans.tables import spread
+from . import runs
+from .kmers import blocks
 
 #: Counters as a power of two, at least and at most; counters of a block and of a page.
 LEAST_BITS, MOST_BITS, BLOCK_BITS, PAGE_BITS = 16, 26, 9, 16
@@ -92,15 +95,23 @@ def sketch(cut: DataFrame, k: int, least: int, bits: int) -> DataFrame:
     return pages.repartition("page").sortWithinPartitions("page").mapInArrow(add, "page int, open binary")
 
 
+def counter_bits(letters: int, least: int) -> int | None:
+    """The sketch's size for so many letters; None where k-mers would fill it up to ``least`` on average, so that it let nearly all of them through."""
+    bits = min(max(letters.bit_length() + 1, LEAST_BITS), MOST_BITS)
+    return None if 2 * letters >= least << bits else bits
+
+
 def prefiltered_counts(seqs: DataFrame, seq: str, k: int = 31, least: int = 5, bits: int | None = None) -> DataFrame:
     """(kmer, n) of the k-mers that stand ``least`` times or more in all sequences; equal to ``min_count(counts(...))``.
 
     Null and short sequences have no k-mers.
     """
-    cut = blocks(seqs.select(F.col(seq).alias("seq")), "seq", k).select("block")
+    letters = int(seqs.agg(F.coalesce(F.sum(F.length(seq)), F.lit(0))).first()[0])
+    bits = counter_bits(letters, least) if bits is None else bits
+    texts = spread(seqs.select(F.col(seq).alias("seq")))
     if bits is None:
-        letters = seqs.agg(F.coalesce(F.sum(F.length(seq)), F.lit(0))).first()[0]
-        bits = min(max(int(letters).bit_length() + 1, LEAST_BITS), MOST_BITS)
+        return runs.counts(texts, "seq", k, least=least, letters=letters)
+    cut = blocks(seqs.select(F.col(seq).alias("seq")), "seq", k).select("block")
     size = (1 << PAGE_BITS) >> 3
     reached = np.zeros((1 << bits) >> 3, "u1")
     for p, open_ in sketch(cut, k, least, bits).toLocalIterator():  # 8 MB at most
@@ -111,10 +122,15 @@ def prefiltered_counts(seqs: DataFrame, seq: str, k: int = 31, least: int = 5, b
         held = np.frombuffer(shared.value, "u1")
         is_open = lambda at: (held[at >> 3] >> (7 - (at & 7)).astype("u1")) & 1
         for b in batches:
-            texts = b.column(0).to_pylist()
-            h, starts = kmer_hashes(texts, k)
-            one, two = _counters(h, bits)
-            text = "".join(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([text[i : i + k] for i in starts[(is_open(one) & is_open(two)) == 1].tolist()], pa.string())], names=["kmer"])
-
-    return min_count(cut.mapInArrow(keep, "kmer string").groupBy("kmer").agg(F.count("*").alias("n")), least)
+            for _, _, texts in groups(b.column(0).to_pylist(), k - 1):
+                h, starts = kmer_hashes(texts, k)
+                one, two = _counters(h, bits)
+                at = starts[(is_open(one) & is_open(two)) == 1]
+                if len(at):
+                    # stretches of k-mers in a row; with one letter a k-mer, texts begin anew
+                    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | np.isin(at[1:], np.cumsum([len(t) for t in texts])))))
+                    text, last = "".join(texts), np.append(first[1:], len(at)) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([text[i : j + k] for i, j in zip(at[first].tolist(), at[last].tolist(), strict=True)], pa.string())], names=["seq"])
+
+    # k-mers that are left go on as runs, like all k-mers of ``runs.counts``
+    return runs.counts(texts.mapInArrow(keep, "seq string"), "seq", k, least=least, letters=letters)
