@@ -83,3 +83,20 @@ def test_no_sketch_where_it_would_let_all_through():
 
     assert counting.counter_bits(25_000_000, 5) == 26
     assert counting.counter_bits(1_500_000_000, 5) is None
+
+
+def test_flanks_around_different_letters(spark):
+    """Flanks meet in one place whatever stands between them; before, all split k-mers of all samples were shuffled."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("ACGTé") for _ in range(600))
+    texts = [text, text[:200] + "x" + text[201:], text[:400] + "y" + text[401:] + text, None, "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(3)
+    for flank in (1, 2, 4, 15):
+        middles = {}
+        for t in texts:
+            for i in range(len(t or "") - 2 * flank):
+                middles.setdefault(t[i : i + flank] + t[i + flank + 1 : i + 2 * flank + 1], []).append(t[i + flank])
+        want = sorted(x for x, own in middles.items() if len(own) >= 3 and len(set(own)) > 1)
+        assert sorted(r[0] for r in runs.varied_flanks(df, "s", flank, 3).collect()) == want and want
+    own = list(runs._cut([text], 31, 7, False, 15))
+    assert sum(len(r) - 30 for _, r in own) == 570
