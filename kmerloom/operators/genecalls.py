@@ -74,21 +74,11 @@ def pieces(contigs: DataFrame, contig: str, seq: str, core: int = CORE, margin:
     return contigs.where(n >= MIN_CONTIG).select(F.col(contig).alias("contig"), n.alias("n"), cuts.alias("p_")).select("contig", "n", "p_.*")
 
 
-_CODE = np.full(256, 4, "i8")
+_CODE = np.full(256, 4, "u1")
 for _i, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu")):
     _CODE[list(_letters)] = _i
 
 
-def _windows(s: np.ndarray, k: int) -> np.ndarray:
-    """The number of the k letters that begin at each place, or -1 where they hold other letters or do not fit."""
-    out, bad = np.zeros(max(len(s) - k + 1, 0), "i8"), np.zeros(max(len(s) - k + 1, 0), bool)
-    for j in range(k):
-        part = s[j : len(s) - k + 1 + j]
-        out = out * 4 + part
-        bad |= part > 3
-    return np.where(bad, -1, out)
-
-
 def _number(letters: str) -> int:
     out = 0
     for c in letters:
@@ -96,90 +86,179 @@ def _number(letters: str) -> int:
     return out
 
 
+def _table(k: int, values: dict[str, int], otherwise: int = 0) -> np.ndarray:
+    """A value for each window of k letters, and for windows that hold other letters at the end."""
+    out = np.full(4**k + 1, otherwise, "i1")
+    for letters, v in values.items():
+        out[_number(letters)] = v
+    return out
+
+
+#: Letters of other code behind each piece, so many that no window and no look in front of a start reaches the piece before; letters of pieces that are looked at together.
+GAP, TOGETHER = FARTHEST + len(MOTIF), 1 << 20
+_MOTIFS = {k: _table(k, {MOTIF[i : i + k]: k - 2 for i in range(len(MOTIF) - k + 1)}) for k in range(3, len(MOTIF) + 1)}
+
+
+@dataclass
+class Found:
+    """Candidates of a strand of several pieces, in order of frame and place: arrays of equal length."""
+
+    piece: np.ndarray
+    start: np.ndarray  # on the strand's own text, from 0
+    end: np.ndarray
+    score: np.ndarray
+    codon: np.ndarray
+    motif: np.ndarray
+    no_stop: np.ndarray
+
+    def take(self, which: np.ndarray) -> Found:
+        return Found(*(v[which] for v in vars(self).values()))
+
+
 class Strand:
-    """One strand of a piece: codons, hexamers, starts, stops and motifs by place."""
-
-    def __init__(self, s: np.ndarray, settings: Settings):
-        self.s, self.n, self.settings = s, len(s), settings
-        three = _windows(s, 3)
-        table_starts = [c for c in START_CODONS if c in codons.starts(settings.table)]
-        self.start = np.full(len(three), -1)
-        for c in table_starts:
-            self.start[three == _number(c)] = START_CODONS.index(c)
-        self.stop = np.isin(three, [_number(c) for c in codons.stops(settings.table)])
-        self.hexamer = _windows(s, 6)
-        self.motif = np.zeros(len(three), "i8")
-        for k in range(3, len(MOTIF) + 1):
-            parts = {_number(MOTIF[i : i + k]) for i in range(len(MOTIF) - k + 1)}
-            found = np.concatenate(([0], np.cumsum(np.isin(_windows(s, k), list(parts)))))
-            at = np.arange(len(three))
-            # the motif ends five to ten letters before the start
-            hi, lo = np.clip(at - NEAREST - k + 1, 0, len(found) - 1), np.clip(at - FARTHEST - k, 0, len(found) - 1)
-            self.motif[found[hi] > found[lo]] = k - 2
-
-    def frames(self, at_left: bool, at_right: bool) -> Iterator[tuple[int, int, np.ndarray, bool, bool]]:
-        """(first codon, stop, starts, open in front, open behind) of every stretch of codons between stops; ``stop`` is the stop's place, or behind the last codon."""
-        breaks = np.zeros(len(self.stop), bool)
-        if self.settings.mask_n_runs and self.n:
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], (self.s > 3).view("i1"), [0])))).reshape(-1, 2)
+    """One strand of pieces that lie one behind the other at places that three divides: codons, hexamers, starts, stops and motifs by place."""
+
+    def __init__(self, s: np.ndarray, begins: np.ndarray, lengths: np.ndarray, settings: Settings):
+        self.begins, self.lengths, self.settings = begins, lengths, settings
+        n = len(s)
+        window, bad = np.zeros(n, "i2"), np.zeros(n, bool)
+        ahead = np.concatenate((s, np.full(len(MOTIF), 5, "u1")))
+        ends_in = np.zeros(n + len(MOTIF), "i1")  # by the place behind it: the longest part of the motif
+        for k in range(1, 7):
+            part = ahead[k - 1 : k - 1 + n]
+            window, bad = window * 4 + (part & 3), bad | (part > 3)
+            known = np.where(bad, 4**k, window)
+            if k == 3:
+                starts = {c: i for i, c in enumerate(START_CODONS) if c in codons.starts(settings.table)}
+                self.start = _table(3, starts, -1)[known]
+                self.stop = _table(3, dict.fromkeys(codons.stops(settings.table), 1))[known].view(bool)
+            if k in _MOTIFS:
+                behind = ends_in[k : k + n]
+                np.maximum(behind, _MOTIFS[k][known], out=behind)
+        self.ends_in = ends_in
+        self.hexamer = np.where(bad, -1, window)
+        self.ends = self.stop
+        if settings.mask_n_runs:
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], (s == 4).view("i1"), [0])))).reshape(-1, 2)
+            self.ends = self.stop.copy()
             for lo, hi in edges[edges[:, 1] - edges[:, 0] >= N_RUN].tolist():
-                breaks[max(lo - 2, 0) : hi] = True
+                self.ends[max(lo - 2, 0) : hi] = True
+
+    def motifs(self, at: np.ndarray) -> np.ndarray:
+        """Of starts the longest part of the motif that ends five to ten letters before them, in letters less two."""
+        out = np.zeros(len(at), "i1")
+        for ahead in range(NEAREST, FARTHEST + 1):
+            np.maximum(out, np.where(at >= ahead, self.ends_in[np.maximum(at - ahead, 0)], 0), out=out)
+        return out
+
+    def sums(self, model: Model) -> np.ndarray:
+        """Of each place the sum of the hexamers before it in its frame, from its piece's begin."""
+        odds = np.append(model.hexamers, 0.0)[self.hexamer]
+        out = np.zeros(len(odds))
+        for lo, hi in zip(self.begins.tolist(), [*self.begins[1:].tolist(), len(odds)], strict=True):
+            np.cumsum(odds[lo : hi - 3].reshape(-1, 3), 0, out=out[lo + 3 : hi].reshape(-1, 3))
+        return out
+
+    def genes(self, model: Model | None, at_left: np.ndarray, at_right: np.ndarray) -> Found:
+        """Every candidate. ``at_left`` and ``at_right``: whether pieces begin and end with their contigs. Without a model the score is the length."""
+        partial, sums = not self.settings.closed_ends, None if model is None else self.sums(model)
+        found = []
         for f in range(3):
-            places = np.arange(f, len(self.stop), 3)
-            if not len(places):
-                continue
-            ends = self.stop[places] | breaks[places]
-            is_start = self.start[places] >= 0
-            before = 0
-            for e in [*np.flatnonzero(ends).tolist(), len(places)]:
-                if e > before:
-                    behind = e == len(places)
-                    real = behind or bool(self.stop[places[e]])
-                    if real and (not behind or at_right):
-                        open_front = at_left and before == 0
-                        yield int(places[before]), int(places[e]) if not behind else int(places[-1]) + 3, places[before:e][is_start[before:e] & ~breaks[places[before:e]]], open_front, behind
-                before = e + 1
-
-    def genes(self, model: Model | None, at_left: bool, at_right: bool) -> Iterator[tuple[int, int, float, int, int, bool]]:
-        """(start, end, score, codon, motif, no stop) of every candidate. Without a model the score is the length."""
-        partial = not self.settings.closed_ends
-        if model is not None:
-            lo = np.where(self.hexamer >= 0, model.hexamers[np.maximum(self.hexamer, 0)], 0.0)
-            sums = np.zeros(self.n + 3)
-            for f in range(3):
-                own = lo[f::3]
-                sums[f + 3 : f + 3 + 3 * len(own) : 3] = np.cumsum(own)
-                if len(own):
-                    sums[f + 3 * len(own) : self.n + 3 : 3] = sums[f + 3 * len(own)]
-        for first, stop, starts, front, behind in self.frames(at_left and partial, at_right and partial):
-            end = stop if behind else stop + 3
-            options = [(int(p), int(self.start[p])) for p in starts.tolist()]
-            if front:
-                options = [(first, -1), *(o for o in options if o[0] != first)]
-            for p, codon in options:
-                short = LEAST_PARTIAL if codon < 0 or behind else self.settings.least
-                if end - p < short:
-                    continue
-                motif = int(self.motif[p]) if codon >= 0 else 0
-                if model is None:
-                    score = float(end - p)
-                else:
-                    # hexamers of two codons before the stop
-                    inside = sums[max(stop - 3, p)] - sums[p]
-                    score = float(inside + (model.starts[codon] if codon >= 0 else 0.0) + (model.motifs[motif] if self.settings.motif and codon >= 0 else 0.0))
-                yield p, end, score, codon, motif, behind
+            # places of codons in this frame, and the place behind each piece's last
+            last = self.begins + f + (self.lengths - f).clip(0) // 3 * 3
+            own = np.zeros(len(self.ends[f::3]), bool)
+            first_of, last_of = self.begins // 3, last // 3
+            for lo, hi in zip(first_of.tolist(), last_of.tolist(), strict=True):
+                own[lo:hi] = True
+            closed = self.ends[f::3] & own
+            marks = closed.copy()
+            marks[last_of] = True
+            ends = np.flatnonzero(marks)
+            at = np.flatnonzero(own & ~closed & (self.start[f::3] >= 0))
+            piece, edge = np.searchsorted(first_of, at, "right") - 1, np.zeros(len(at), bool)
+            if partial:
+                # frames that are open in front: their first codon counts, whatever it is
+                front = np.flatnonzero(at_left & (last_of > first_of))
+                front = front[~closed[first_of[front]]]
+                inner = ~np.isin(at, first_of[front])
+                at, piece = np.concatenate((at[inner], first_of[front])), np.concatenate((piece[inner], front))
+                edge = np.arange(len(at)) >= inner.sum()
+                order = np.argsort(at, kind="stable")
+                at, piece, edge = at[order], piece[order], edge[order]
+            stop = ends[np.searchsorted(ends, at)]
+            behind = stop == last_of[piece]
+            kept = np.where(behind, at_right[piece] if partial else False, self.stop[f::3][stop])
+            at, stop = at * 3 + f, stop * 3 + f
+            end = np.where(behind, stop, stop + 3)
+            kept &= end - at >= np.where(edge | behind, LEAST_PARTIAL, self.settings.least)
+            at, stop, end, piece, edge, behind = (v[kept] for v in (at, stop, end, piece, edge, behind))
+            codon = np.where(edge, -1, self.start[at])
+            motif = np.where(edge, 0, self.motifs(at))
+            if model is None:
+                score = (end - at).astype("f8")
+            else:
+                # hexamers of two codons before the stop
+                inside = sums[np.maximum(stop - 3, at)] - sums[at]
+                score = inside + np.where(edge, 0.0, model.starts[codon]) + (np.where(edge, 0.0, model.motifs[motif]) if self.settings.motif else 0.0)
+            found.append(Found(piece, at - self.begins[piece], end - self.begins[piece], score, codon, motif, behind))
+        return Found(*(np.concatenate([getattr(x, name) for x in found]) for name in vars(found[0])))
+
+
+class Pieces:
+    """Texts that are looked at together. ``at_left`` and ``at_right``: whether each begins and ends with its contig."""
+
+    def __init__(self, texts: list[str], at_left: list[bool], at_right: list[bool], settings: Settings):
+        self.settings, self.at_left, self.at_right = settings, np.array(at_left, bool), np.array(at_right, bool)
+        self.lengths = np.array([len(t) for t in texts], "i8")
+        room = (self.lengths + GAP + 2) // 3 * 3
+        self.begins = np.cumsum(room) - room
+        within = np.arange(self.lengths.sum()) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        first = np.repeat(self.begins, self.lengths)
+        s, mirror = np.full(int(room.sum()), 5, "u1"), np.full(int(room.sum()), 5, "u1")
+        own = _CODE[np.frombuffer("".join(texts).encode("latin-1", "replace"), "u1")]
+        s[first + within] = own
+        mirror[first + np.repeat(self.lengths, self.lengths) - 1 - within] = np.where(own < 4, 3 - own, 4)
+        self.strands = {"+": Strand(s, self.begins, self.lengths, settings), "-": Strand(mirror, self.begins, self.lengths, settings)}
+
+    def found(self, model: Model | None) -> dict[str, Found]:
+        return {"+": self.strands["+"].genes(model, self.at_left, self.at_right), "-": self.strands["-"].genes(model, self.at_right, self.at_left)}
+
+    def genes(self, found: dict[str, Found]) -> list[list[Gene]]:
+        """The candidates of each piece."""
+        out: list[list[Gene]] = [[] for _ in self.lengths]
+        for strand, x in found.items():
+            n = self.lengths[x.piece]
+            start, end = (x.start, x.end) if strand == "+" else (n - x.end, n - x.start)
+            for p, *values, codon, motif, open_ in zip(*(v.tolist() for v in (x.piece, start, end, x.score, x.codon, x.motif, x.no_stop)), strict=True):
+                out[p].append(Gene(values[0], values[1], strand, values[2], codon, motif, open_))
+        return out
+
+    def chains(self, model: Model) -> list[list[Gene]]:
+        """Each piece's best chain; what scores 0 or less is in none."""
+        return [best_chain(own) for own in self.genes({k: x.take(x.score > 0) for k, x in self.found(model).items()})]
+
+
+def together(rows: Iterator[tuple], settings: Settings) -> Iterator[tuple[Pieces, list[tuple]]]:
+    """Pieces (n, at, first, last, text, ...) some at a time."""
+
+    def made(held: list[tuple]) -> tuple[Pieces, list[tuple]]:
+        return Pieces([r[4] for r in held], [r[1] == 0 for r in held], [r[1] + len(r[4]) == r[0] for r in held], settings), held
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4])
+        if size >= TOGETHER:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
 
 
 def candidates(text: str, model: Model | None, settings: Settings, at_left: bool, at_right: bool) -> list[Gene]:
     """All candidate genes of a piece's text. ``at_left`` and ``at_right``: whether it begins and ends with the contig."""
-    s = _CODE[np.frombuffer(text.encode("latin-1", "replace"), "u1")]
-    n, out = len(s), []
-    for p, e, score, codon, motif, open_ in Strand(s, settings).genes(model, at_left, at_right):
-        out.append(Gene(p, e, "+", score, codon, motif, open_))
-    mirror = np.where(s < 4, 3 - s, 4)[::-1]
-    for p, e, score, codon, motif, open_ in Strand(mirror, settings).genes(model, at_right, at_left):
-        out.append(Gene(n - e, n - p, "-", score, codon, motif, open_))
-    return out
+    own = Pieces([text], [at_left], [at_right], settings)
+    return own.genes(own.found(model))[0]
 
 
 def best_chain(genes: list[Gene]) -> list[Gene]:
@@ -209,15 +288,10 @@ def best_chain(genes: list[Gene]) -> list[Gene]:
     return out[::-1]
 
 
-def _long_frames(text: str, settings: Settings) -> list[Gene]:
-    """Frames to learn from: the longest first, as long as they overlap none that was taken."""
-    whole = {}
-    for g in candidates(text, None, replace(settings, closed_ends=True, least=LONG), False, False):
-        key = (g.strand, g.end if g.strand == "+" else g.start)
-        if key not in whole or g.score > whole[key].score:
-            whole[key] = g
+def _longest_first(frames: list[Gene]) -> list[Gene]:
+    """The longest first, as long as they overlap none that was taken."""
     taken, starts, ends = [], [], []
-    for g in sorted(whole.values(), key=lambda g: (-g.score, g.start, g.strand)):
+    for g in sorted(frames, key=lambda g: (-g.score, g.start, g.strand)):
         k = bisect_left(starts, g.start)
         if (k == 0 or ends[k - 1] <= g.start) and (k == len(starts) or starts[k] >= g.end):
             starts.insert(k, g.start)
@@ -226,34 +300,49 @@ def _long_frames(text: str, settings: Settings) -> list[Gene]:
     return taken
 
 
+def _long_frames(pieces_: Pieces) -> list[list[Gene]]:
+    """Frames to learn from in each piece: of those with one stop the longest."""
+    own = replace(pieces_.settings, closed_ends=True, least=LONG)
+    longest = {}
+    for strand, s in pieces_.strands.items():
+        s.settings, none = own, np.zeros(len(s.lengths), bool)
+        x = s.genes(None, none, none)
+        s.settings = pieces_.settings
+        # in order of place, so the first of equal stops is the longest
+        longest[strand] = x.take(np.sort(np.unique(np.stack((x.piece, x.end)), axis=1, return_index=True)[1]))
+    return [_longest_first(frames) for frames in pieces_.genes(longest)]
+
+
 _SIZE = 2 * HEXAMERS + 2 * len(START_CODONS) + 2 * (len(MOTIF) - 1)
 
 
-def _evidence(text: str, core: tuple[int, int], ends: tuple[bool, bool], model: Model | None, settings: Settings) -> np.ndarray:
-    """What a piece's core tells: hexamers in the frames of genes and of the core as a whole, start codons and motifs of genes and of all candidates."""
-    genes = _long_frames(text, settings) if model is None else best_chain(candidates(text, model, settings, *ends))
-    s = _CODE[np.frombuffer(text.encode("latin-1", "replace"), "u1")]
-    mirror, n = np.where(s < 4, 3 - s, 4)[::-1], len(s)
-    both = {"+": Strand(s, settings), "-": Strand(mirror, settings)}
+def _evidence(pieces_: Pieces, first: np.ndarray, last: np.ndarray, model: Model | None) -> np.ndarray:
+    """What the pieces' cores tell: hexamers in the frames of genes and of the cores as a whole, start codons and motifs of genes and of all candidates."""
     inside, outside = np.zeros(HEXAMERS), np.zeros(HEXAMERS)
     starts, motifs = np.zeros((2, len(START_CODONS))), np.zeros((2, len(MOTIF) - 1))
-    for g in genes:
-        if not core[0] <= g.start < core[1]:
-            continue
-        strand = both[g.strand]
-        lo, hi = (g.start, g.end) if g.strand == "+" else (n - g.end, n - g.start)
-        own = strand.hexamer[lo : hi - (3 if g.no_stop else 6) : 3]
+    read: dict[str, list[np.ndarray]] = {"+": [], "-": []}
+    for p, genes in enumerate(_long_frames(pieces_) if model is None else pieces_.chains(model)):
+        n, begin = int(pieces_.lengths[p]), int(pieces_.begins[p])
+        for g in genes:
+            if not first[p] <= g.start < last[p]:
+                continue
+            lo, hi = (g.start, g.end) if g.strand == "+" else (n - g.end, n - g.start)
+            read[g.strand].append(pieces_.strands[g.strand].hexamer[begin + lo : begin + hi - (3 if g.no_stop else 6) : 3])
+            if g.codon >= 0:
+                starts[0, g.codon] += 1
+                motifs[0, g.motif] += 1
+    for name, strand in pieces_.strands.items():
+        own = np.concatenate([*read[name], np.zeros(0, "i2")])
         inside += np.bincount(own[own >= 0], minlength=HEXAMERS)
-        if g.codon >= 0:
-            starts[0, g.codon] += 1
-            motifs[0, g.motif] += 1
-    for name, strand in both.items():
-        lo, hi = core if name == "+" else (n - core[1], n - core[0])
-        own = strand.hexamer[lo:hi]
+        los, his = (first, last) if name == "+" else (pieces_.lengths - last, pieces_.lengths - first)
+        core = np.zeros(len(strand.hexamer), bool)
+        for lo, hi in zip((strand.begins + los).tolist(), (strand.begins + his).tolist(), strict=True):
+            core[lo:hi] = True
+        own = strand.hexamer[core]
         outside += np.bincount(own[own >= 0], minlength=HEXAMERS)
-        held = strand.start[lo:hi]
-        starts[1] += np.bincount(held[held >= 0], minlength=len(START_CODONS))
-        motifs[1] += np.bincount(strand.motif[lo:hi][held >= 0], minlength=len(MOTIF) - 1)
+        at = np.flatnonzero(core & (strand.start >= 0))
+        starts[1] += np.bincount(strand.start[at], minlength=len(START_CODONS))
+        motifs[1] += np.bincount(strand.motifs(at), minlength=len(MOTIF) - 1)
     return np.concatenate([inside, outside, starts.ravel(), motifs.ravel()])
 
 
@@ -276,9 +365,9 @@ def train(cut: DataFrame, settings: Settings = Settings(), rounds: int = 2) -> M
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = np.zeros(_SIZE)
-            for b in batches:
-                for n, at, first, last, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                    total += _evidence(text, (first - at, last - at), (at == 0, at + len(text) == n), now, settings)
+            for own, rows in together((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)), settings):
+                at, first, last = (np.array([r[i] for r in rows], "i8") for i in (1, 2, 3))
+                total += _evidence(own, first - at, last - at, now)
             if total.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SIZE)), pa.array(total)], names=["k", "v"])
 
@@ -307,12 +396,13 @@ def call_genes(contigs: DataFrame, contig: str = "contig", seq: str = "seq", set
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, rows = [], []
-            for k, (n, at, first, last, text) in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 6)), strict=True)):
-                for g in best_chain(candidates(text, model, settings, at == 0, at + len(text) == n)):
-                    if first <= g.start + at < last:
-                        edges = (g.codon < 0, g.no_stop) if g.strand == "+" else (g.no_stop, g.codon < 0)
-                        which.append(k)
-                        rows.append((g.start + at + 1, g.end + at, g.strand, "".join("01"[e] for e in edges), START_CODONS[g.codon] if g.codon >= 0 else None, g.motif + 2 if g.motif else 0, g.score))
+            for own, held in together(((*r, k) for k, r in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 6)), strict=True))), settings):
+                for (_, at, first, last, _, k), genes in zip(held, own.chains(model), strict=True):
+                    for g in genes:
+                        if first <= g.start + at < last:
+                            edges = (g.codon < 0, g.no_stop) if g.strand == "+" else (g.no_stop, g.codon < 0)
+                            which.append(k)
+                            rows.append((g.start + at + 1, g.end + at, g.strand, "".join("01"[e] for e in edges), START_CODONS[g.codon] if g.codon >= 0 else None, g.motif + 2 if g.motif else 0, g.score))
             if rows:
                 start, end, strand, partial, codon, motif, score = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(

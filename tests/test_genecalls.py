@@ -146,3 +146,18 @@ def test_genetic_codes(spark):
 
     assert [r[0] for r in df.select(codons.protein(F.col("cds"), 11)).collect()] == ["MKW", "MX", "M*", "", None]
     assert df.select(codons.protein(F.col("cds"), 4)).collect()[2][0] == "MW"
+
+
+def test_pieces_together_are_pieces_alone():
+    """Texts looked at together have the candidates and chains that each has alone."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ACGTN", [9, 9, 9, 9, 0.3], k=n)) for n in (0, 1, 2, 4, 95, 96, 97, 400, 3001, 700)]
+    left, right = [[rng.random() < 0.5 for _ in texts] for _ in range(2)]
+    model = genecalls.Model(*(np.random.default_rng(1).normal(size=n) for n in (4096, 3, 5)))
+    settings = Settings(mask_n_runs=True)
+    both = genecalls.Pieces(texts, left, right, settings)
+    alone = [candidates(t, model, settings, a, b) for t, a, b in zip(texts, left, right, strict=True)]
+    assert both.genes(both.found(model)) == alone and sum(map(len, alone)) > 20
+    assert both.chains(model) == [best_chain(own) for own in alone]
+    held = [sum(len(p.lengths) for p, _ in genecalls.together(iter([(300, 0, 0, 300, "ACG" * 100)] * n), settings)) for n in (0, 1, 5000)]
+    assert held == [0, 1, 5000]
