@@ -296,3 +296,34 @@ def test_upsert_and_call_totals(spark):
     genes_, contigs = spark.createDataFrame([("x",), ("x",), ("gone",)], "contig string"), spark.createDataFrame([("x",), ("y",)], "contig string")
     assert tuple(hits.call_totals(genes_, contigs).first()) == (2, 2)
     assert tuple(hits.call_totals(genes_.limit(0), contigs.limit(0)).first()) == (0, 0)
+
+
+def test_orfs_of_long_and_many_contigs(spark):
+    """Equal to walking every frame, with other letters and short contigs; a contig of 600,000 letters and some thousand frames in time that follows its length."""
+    import time
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ACGTNé", [9, 9, 9, 9, 0.2, 0.1], k=n)) for n in (0, 1, 2, 3, 4, 12, 13, 95, 300, 301, 302, 2000)]
+
+    def walked(s, strand, n, least):
+        for f in range(3):
+            first = None
+            for p in range(f, len(s) - 2, 3):
+                codon = s[p : p + 3]
+                if codon in ("TAA", "TAG", "TGA"):
+                    if first is not None and p + 3 - first >= least:
+                        a, b = (first + 1, p + 3) if strand == "+" else (n - p - 2, n - first)
+                        yield a, b, strand
+                    first = None
+                elif first is None and codon in ("ATG", "GTG", "TTG"):
+                    first = p
+
+    mirror = lambda s: s.upper().translate(str.maketrans("ACGTU", "TGCAA"))[::-1]
+    want = {(i, *x) for i, t in enumerate(texts) for strand, s in (("+", t.upper()), ("-", mirror(t))) for x in walked(s, strand, len(t), 30)}
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "contig int, seq string")
+    got = genes.open_reading_frames(df, least=30).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+    long = spark.createDataFrame([("long", ("ATG" + "AAA" * 30 + "TAAC") * 6000)], "contig string, seq string")
+    began = time.time()
+    assert genes.open_reading_frames(long).where("strand = '+'").count() == 6000
+    assert time.time() - began < 20
