@@ -90,3 +90,33 @@ def test_gradient_and_training(spark):
     got = vectors.mlp_project(df.where("v is not null"), "vec_id", "v", layers)
     fit = vectors.fit_measures(got.join(df, F.col("id") == F.col("vec_id")).select("projected", "t"), "projected", "t").first()
     assert fit["mse"] <= errors[-1] * 1.2
+
+
+def test_nearest_of_odd_and_equal_vectors(spark, monkeypatch):
+    """Equal to all cosines in double precision: copies, zeros, huge, tiny, infinite and missing components, blocks of several sizes; few pairs are computed one by one."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(260, 8)), r.normal(size=(3, 8)).repeat(30, 0), r.normal(size=(40, 8)) * 1e-7 + 1, np.zeros((4, 8)), r.normal(size=(3, 8)) * 1e200, r.normal(size=(3, 8)) * 1e-200])
+    x = np.concatenate([x, [[np.inf, *x[0, 1:]], [np.nan, *x[1, 1:]]]])[r.permutation(len(x) + 2)]
+    ids = r.permutation(len(x)) * 3
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((x * x).sum(1))
+        n = np.outer(norm, norm)
+        score = np.round(np.where(n > 0, np.einsum("ik,jk->ij", x, x) / np.where(n > 0, n, 1), 0.0), 9)
+    want = {}
+    for i, own in zip(ids, score, strict=True):
+        others = sorted((-np.inf if np.isnan(s) else -s, j) for s, j in zip(own, ids, strict=True) if i != j)[:7]
+        want[int(i)] = [(int(j), s) for s, j in others]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+    for how in ({}, {"block_rows": 50}):
+        got = {}
+        for row in vectors.knn(df, "vec_id", "v", 7, **how).orderBy("id", "rank").collect():
+            got.setdefault(row["id"], []).append((row["neighbour"], -np.inf if np.isnan(row["score"]) else -row["score"]))
+        assert {i: [j for j, _ in own] for i, own in got.items()} == {i: [j for j, _ in own] for i, own in want.items()}
+        assert all(s == pytest.approx(t, abs=2e-9) for i, own in got.items() for (_, s), (_, t) in zip(own, want[i], strict=True))
+    computed, exact = [], vectors.Nearest._exact
+    monkeypatch.setattr(vectors.Nearest, "_exact", lambda self, at, column, other: (computed.append(len(at)), exact(self, at, column, other))[1])
+    plain = r.normal(size=(4000, 16))
+    nearest = vectors.Nearest(np.arange(1000).tobytes(), plain[:1000].tobytes(), 15)
+    for lo in range(0, 4000, 1000):
+        nearest.meet(np.arange(lo, lo + 1000).tobytes(), plain[lo : lo + 1000].tobytes())
+    assert len(nearest.found()[0]) == 15_000 and sum(computed) < 0.02 * 4_000_000
