@@ -38,10 +38,18 @@ def merged(intervals: DataFrame, key: str, beg: str = "beg", end: str = "end", g
     return marked.withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "run_").agg(F.min(beg).alias(beg), F.max(end).alias(end), F.count("*").alias("n")).drop("run_")
 
 
-def linear_index(features: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", offset: str = "offset") -> DataFrame:
+#: Features of a task. Spark joins small shuffled pieces up to as many tasks as there are cores, so what a task sorts would grow with the table.
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(features: DataFrame) -> int:
+    return max(1, -(-features.count() // TASK_ROWS))
+
+
+def linear_index(features: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", offset: str = "offset", tasks: int | None = None) -> DataFrame:
     """(seq, window, offset): for each 2^14 window up to the last one touched the first offset of a feature that touches it, or of the next window that has one."""
     touched = features.where(F.col(end) > 0).select(seq, offset, F.explode(F.sequence(F.shiftright(beg, MIN_SHIFT), F.shiftright(F.greatest(F.col(end) - 1, F.col(beg)), MIN_SHIFT))).alias("window"))
-    firsts = touched.groupBy(seq, "window").agg(F.min(offset).alias(offset))
-    every = firsts.groupBy(seq).agg(F.max("window").alias("m_")).select(seq, F.explode(F.sequence(F.lit(0).cast("long"), "m_")).alias("window"))
-    w = Window.partitionBy(seq).orderBy("window").rowsBetween(0, Window.unboundedFollowing)
-    return every.join(firsts, [seq, "window"], "left").select(seq, "window", F.first(offset, ignorenulls=True).over(w).alias(offset))
+    firsts = touched.where("window >= 0").groupBy(seq, "window").agg(F.min(offset).alias(offset)).repartition(tasks or tasks_for(features), seq)
+    w = Window.partitionBy(seq).orderBy("window")
+    known = firsts.select(seq, "window", F.first(offset, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(offset), F.lag("window", 1, -1).over(w).alias("before_"))
+    return known.select(seq, F.explode(F.sequence(F.col("before_") + 1, F.col("window"))).alias("window"), offset)

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import LEVELS, MIN_SHIFT, bin_first, bin_level, bin_of
-from ..operators.intervals import linear_index
+from ..operators.intervals import linear_index, tasks_for
+from ..plans.tables import checked_broadcast, written
 from .binary import bgzf_blocks, bgzf_compress
 
 #: Chunks of a bin with no more than a block between them are one.
@@ -37,21 +38,23 @@ def index_rows(features: DataFrame) -> DataFrame:
     """(seq, first, n, bin, loff, chunks) of (seq, beg, end, voffset, end_voffset): first is the sequence's first offset, by which sequences are ordered, n its features.
 
     chunks are [begin, end) virtual offsets in order; loff is the first offset of a feature that touches the bin's first window, or of the next window that has one, or
-    the last of all.
+    the last of all. Tasks follow the number of features, so what one of them sorts does not grow.
     """
-    binned = features.select("seq", bin_of(F.col("beg"), F.col("end")).alias("bin"), "voffset", "end_voffset")
+    tasks = tasks_for(features)
+    binned = features.select("seq", bin_of(F.col("beg"), F.col("end")).alias("bin"), "voffset", "end_voffset").repartition(tasks, "seq", "bin")
     w = Window.partitionBy("seq", "bin").orderBy("voffset", "end_voffset")
     before = F.max("end_voffset").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = binned.withColumn("new_", F.when(before.isNull() | (F.col("voffset") > before + NEAR), 1).otherwise(0)).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     chunks = runs.groupBy("seq", "bin", "run_").agg(F.min("voffset").alias("begin"), F.max("end_voffset").alias("end"))
     bins = chunks.groupBy("seq", "bin").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("chunks"))
-    linear = linear_index(features, offset="voffset")
+    linear = written(linear_index(features, offset="voffset", tasks=tasks), "linear")
     sequences = features.groupBy("seq").agg(F.min("voffset").alias("first"), F.max("end_voffset").alias("behind"), F.count("*").alias("n"))
     last = linear.groupBy("seq").agg(F.max_by("voffset", "window").alias("last_"))
     window = F.lit(0).cast("long")
     for level in range(LEVELS + 1):
         window = F.when(bin_level(F.col("bin")) == level, F.shiftleft((F.col("bin") - bin_first(level)).cast("long"), 3 * (LEVELS - level))).otherwise(window)
-    placed = bins.withColumn("window", window).join(linear.withColumnRenamed("voffset", "loff"), ["seq", "window"], "left").join(last, "seq").join(sequences, "seq")
+    at = ["seq", "window"]
+    placed = bins.withColumn("window", window).repartition(tasks, *at).join(linear.withColumnRenamed("voffset", "loff").repartition(tasks, *at), at, "left").join(checked_broadcast(last.join(sequences, "seq")), "seq")
     return placed.select("seq", "first", "behind", "n", "bin", F.coalesce("loff", "last_").alias("loff"), "chunks")
 
 

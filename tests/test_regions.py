@@ -73,3 +73,27 @@ def test_bad_and_empty_indexes(spark):
         regions.parse_csi(binary.bgzf_compress(b"BAI\x01" + bytes(40)))
     empty = spark.createDataFrame([], "seq string, beg long, end long, voffset long, end_voffset long")
     assert regions.parse_csi(regions.csi_bytes(regions.index_rows(empty))) == {}
+
+
+def test_tasks_follow_the_features(spark, monkeypatch):
+    """Tasks grow with the features, and rows are those of a plain form whatever their number; windows without a feature or an offset take the next one's."""
+    from kmerloom.operators import intervals
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), beg, beg + rng.choice([1, 20_000, 90_000]), rng.choice([None, i]) if i % 5 == 0 else i, i + 1) for i, beg in enumerate(rng.randrange(3_000_000) for _ in range(300))]
+    df = spark.createDataFrame([*rows, ("d", -5, 0, 7, 8)], "seq string, beg long, end long, voffset long, end_voffset long")
+    want = {}
+    for name in "abc":
+        first = {}
+        for seq, beg, end, at, _ in rows:
+            for w in range(beg >> 14, (end - 1 >> 14) + 1) if seq == name else ():
+                first[w] = min((x for x in (first.get(w), at) if x is not None), default=None)
+        for w in range(max(first) + 1):
+            want[name, w] = next((first[x] for x in range(w, max(first) + 1) if first.get(x) is not None), None)
+    before = sorted(map(str, regions.index_rows(df.where("voffset is not null")).collect()))
+    assert intervals.tasks_for(df) == 1
+    monkeypatch.setattr(intervals, "TASK_ROWS", 40)
+    linear = intervals.linear_index(df, offset="voffset")
+    assert intervals.tasks_for(df) == linear.rdd.getNumPartitions() == 8
+    assert {(r["seq"], r["window"]): r["voffset"] for r in linear.collect()} == want
+    assert sorted(map(str, regions.index_rows(df.where("voffset is not null")).collect())) == before
