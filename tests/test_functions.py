@@ -327,3 +327,27 @@ def test_orfs_of_long_and_many_contigs(spark):
     began = time.time()
     assert genes.open_reading_frames(long).where("strand = '+'").count() == 6000
     assert time.time() - began < 20
+
+
+def test_unitigs_by_numbers(spark, monkeypatch):
+    """Long paths, branches, rings and self loops are those of a walk, whether what is looked for is broadcast or not."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ACGT", k=90)), "AAAAAAAA", "ACGTTGCATGGACTTTTGCATGGCA"] + [(ring := "".join(rng.choices("CG", k=17))) + ring[:6]]
+    held = {t[i : i + 7] for t in texts for i in range(len(t) - 6)}
+    after = {x: [x[1:] + c for c in "ACGT" if x[1:] + c in held] for x in held}
+    before = {x: [c + x[:-1] for c in "ACGT" if c + x[:-1] in held] for x in held}
+    link = {x: after[x][0] for x in held if len(after[x]) == 1 and len(before[after[x][0]]) == 1 and after[x][0] != x}
+    want, seen = [], set()
+    for x in [*sorted(held - set(link.values())), *sorted(held)]:
+        if x not in seen:
+            text = x
+            seen.add(x)
+            while x in link and link[x] not in seen:
+                x = link[x]
+                seen.add(x)
+                text += x[-1]
+            want.append(text)
+    counted = spark.createDataFrame([(x,) for x in held], "kmer string")
+    for few in (kmers.FEW_STEPS, 0):
+        monkeypatch.setattr(kmers, "FEW_STEPS", few)
+        assert sorted(r[0] for r in kmers.unitigs(counted).collect()) == sorted(want)
