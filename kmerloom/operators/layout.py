@@ -1,6 +1,6 @@
 """Layouts of vectors in the plane: the fuzzy graph of neighbours, its layout in rounds, and a network that learns to place new vectors.
 
-The graph and every round are joins and sums of DataFrames, so a node with very many neighbours is summed up in parts. What the driver gets has the
+The graph is joins and sums of DataFrames, a round of the layout joins blocks of nodes; a node with very many neighbours is summed up in parts. What the driver gets has the
 size of one vector squared (principal axes) or of the network, whatever the number of rows.
 """
 
@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import checked_broadcast, ranked, remove, written
+from ..plans.tables import BROADCAST_BYTES, checked_broadcast, importable, ranked, remove, written
 from .vectors import knn
 
 #: Steps of the search for a neighbourhood's width, its smallest width as a share of the mean distance; other nodes that push a node in a round, how hard, and the largest move.
 WIDTH_STEPS, LEAST_WIDTH, PUSHES, PUSH, MOST = 64, 1e-3, 10, 5.0, 4.0
+#: Nodes of a block of a layout, at least, and its blocks, at most; links in a row, and bytes of moves that a task holds.
+LEAST_NODES, MOST_BLOCKS, LINKS, HELD_BYTES = 1 << 15, 32, 1 << 20, 64 << 20
 
 
 # --- the graph ---------------------------------------------------------------------------------------------------------
@@ -143,38 +146,165 @@ def principal_places(vectors: DataFrame, id_col: str, vec: str, width: float = 5
     return rows.mapInArrow(place, "id long, x double, y double")
 
 
-def layout(graph: DataFrame, places: DataFrame, rounds: int = 40, min_dist: float = 0.1) -> DataFrame:
+def _block_links(links: DataFrame, size: int, tasks: int) -> DataFrame:
+    """(p, q, i, j, w, v): links (i, j, w, v) of nodes of block p to nodes of block q, at most ``LINKS`` to a row; i and j count within their blocks.
+
+    Links are sorted by ranges, so those of two blocks that have very many are dealt out like others.
+    """
+    names = ["p", "q", "i", "j", "w", "v"]
+    at = links.select(F.floor(F.col("i") / size).cast("int").alias("p"), F.floor(F.col("j") / size).cast("int").alias("q"), (F.col("i") % size).cast("int").alias("i"), (F.col("j") % size).cast("int").alias("j"), "w", "v")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        of, n = None, 0
+        for b in batches:
+            c = [x.to_numpy() for x in b.columns]
+            cuts = [0, *(np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if n and (of != (c[0][lo], c[1][lo]) or n + hi - lo > LINKS):
+                    yield packed(of, held)
+                    held, n = [], 0
+                of, n = (c[0][lo], c[1][lo]), n + hi - lo
+                held.append([x[lo:hi] for x in c[2:]])
+        if n:
+            yield packed(of, held)
+
+    def packed(of: tuple[int, int], held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [pa.array([np.concatenate(x).astype(kind).tobytes()]) for x, kind in zip(zip(*held, strict=True), ("<i4", "<i4", "<f8", "<f8"), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in of), *columns], names=names)
+
+    return at.repartitionByRange(tasks, *names[:4]).sortWithinPartitions(*names[:4]).mapInArrow(pack, "p int, q int, i binary, j binary, w binary, v binary")
+
+
+def _block_places(numbered: DataFrame, size: int, parts: int) -> DataFrame:
+    """(block, ids, at): ids and places of (no, id, x, y), ``size`` nodes to a block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            block, ids, x, y = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(block[:1], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([np.stack([x, y]).astype("<f8").tobytes()])], names=["block", "ids", "at"])
+
+    # one block to a partition
+    blocks = numbered.select(F.floor(F.col("no") / size).cast("int").alias("block"), "id", "x", "y", "no").repartitionById(parts, "block").sortWithinPartitions("no").drop("no")
+    return blocks.mapInArrow(pack, "block int, ids binary, at binary")
+
+
+def forces(p: int, q: int, own: np.ndarray, other: np.ndarray, links: tuple[np.ndarray, ...] | None, n: int, size: int, offsets: list[int], a: float, b: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, moves) of the nodes of blocks ``p`` and ``q``, of places (2, nodes): by their ``links`` (i, j, w, v), or if None by the pushes of nodes ``offsets`` further, of ``n``."""
+    if links is not None:
+        i, j, w, v = links
+        d = own[:, i] - other[:, j]
+        d2 = (d * d).sum(0)
+        d2 = np.where(d2 > 0, d2, 1.0)  # equal places: d is 0
+        power = d2**b
+        pull = np.clip(-2 * a * b * power / (d2 * (1 + a * power)) * d, -MOST, MOST)
+        yield p, np.stack([np.bincount(i, w * c, own.shape[1]) for c in pull])
+        yield q, np.stack([np.bincount(j, -v * c, other.shape[1]) for c in pull])
+        return
+    for mine, theirs, x, y in ((p, q, own, other), (q, p, other, own))[: 1 + (p != q)]:
+        moves = None
+        for shift in (s for o in offsets for s in (o, o - n)):
+            # node k of mine meets node k + ahead of theirs
+            ahead = (mine - theirs) * size + shift
+            lo, hi = max(0, -ahead), min(x.shape[1], y.shape[1] - ahead)
+            if lo < hi:
+                d = x[:, lo:hi] - y[:, lo + ahead : hi + ahead]
+                d2 = (d * d).sum(0)
+                moves = np.zeros(x.shape) if moves is None else moves
+                moves[:, lo:hi] += np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * d, -MOST, MOST) * (PUSH / PUSHES**2)
+        if moves is not None:
+            yield mine, moves
+
+
+def layout(graph: DataFrame, places: DataFrame, rounds: int = 40, min_dist: float = 0.1, block_nodes: int | None = None) -> DataFrame:
     """(id, x, y): nodes moved so that linked ones (a, b, weight) come together and others stay apart, from ``places`` (id, x, y).
 
     In a round each node moves by the weighted mean of its links' pull, and is pushed by ``PUSHES`` other nodes, whose distance in number changes
     from round to round, so every node is met and nothing is drawn at random. Moves get smaller from round to round. Nodes without links are only pushed.
+
+    Nodes are dealt in at most ``MOST_BLOCKS`` blocks, unless they are few; links are grouped by two blocks once. A round joins blocks, not nodes: what it
+    shuffles grows as the nodes, and a task holds two blocks, their links in pieces, and the moves of some blocks.
     """
     a, b = curve(min_dist)
-    now = written(ranked(places, "no", "id").select((F.col("no") - 1).alias("no"), "id", "x", "y"), "places")
-    n = now.count()
+    spark = places.sparkSession
+    importable(spark)
+    numbered = written(ranked(places, "no", "id").select((F.col("no") - 1).alias("no"), "id", "x", "y"), "places")
+    n = numbered.count()
     if n < 2:
-        return now.select("id", "x", "y")
-    number = checked_broadcast(now.select("id", "no"))
-    links = graph.join(number.select(F.col("id").alias("a"), F.col("no").alias("i")), "a").join(number.select(F.col("id").alias("b"), F.col("no").alias("j")), "b").select("i", "j", "weight")
-    links = written(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight")), "links")
-    most = lambda c: F.greatest(F.least(c, F.lit(MOST)), F.lit(-MOST))
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    d2 = dx * dx + dy * dy
-    pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, b))).otherwise(0.0)
-    push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, b)))
+        return numbered.select("id", "x", "y")
+    size = block_nodes or max(LEAST_NODES, -(-n // MOST_BLOCKS))
+    parts, tasks = -(-n // size), spark.sparkContext.defaultParallelism
+    # a row is of megabytes, so only few go into an Arrow batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    number = checked_broadcast(numbered.select("id", "no"))
+    links = graph.join(number.select(F.col("id").alias("a"), F.col("no").alias("i")), "a").join(number.select(F.col("id").alias("b"), F.col("no").alias("j")), "b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "weight")
+    links = written(links, "links")
+    sums = checked_broadcast(links.select(F.explode(F.array("i", "j")).alias("no"), "weight").groupBy("no").agg(F.sum("weight").alias("w_")))
+    for c, w in (("i", "w"), ("j", "v")):
+        links = links.join(sums.select(F.col("no").alias(c), F.col("w_").alias(w)), c)
+    links = links.select("i", "j", (F.col("weight") / F.col("w")).alias("w"), (F.col("weight") / F.col("v")).alias("v"))
+    none = F.lit(None).cast("binary")
+    pairs = spark.range(parts).select(F.col("id").cast("int").alias("p")).join(spark.range(parts).select(F.col("id").cast("int").alias("q"))).where("p <= q").select("p", "q", *(none.alias(c) for c in "ijwv"))
+    pairs = written(_block_links(links, size, tasks).union(pairs).repartition(tasks), "pairs")
+    now = written(_block_places(numbered, size, parts), "blocks")
+    ids = now.select("block", "ids")
+    now = now.select("block", "at")
+    small = n * 16 <= BROADCAST_BYTES
     for r in range(rounds):
         step = 1.0 - r / rounds
-        own = checked_broadcast(now.select("no", "x", "y"))
-        one, two = (own.select(F.col("no").alias(k), F.col("x").alias(x), F.col("y").alias(y)) for k, x, y in (("i", "x", "y"), ("j", "x2", "y2")))
-        pulled = links.join(one, "i").join(two, "j").groupBy("i").agg(*(F.sum(F.col("weight") * most(pull * c)).alias(name) for c, name in ((dx, "px"), (dy, "py"))), F.sum("weight").alias("w"))
         offsets = [1 + (r * PUSHES + s) * 7919 % (n - 1) for s in range(PUSHES)]
-        met = now.select(F.col("no").alias("i"), "x", "y", F.explode(F.array(*map(F.lit, offsets))).alias("o_")).withColumn("j", (F.col("i") + F.col("o_")) % n)
-        pushed = met.join(two, "j").groupBy("i").agg(*(F.avg(most(push * c)).alias(name) for c, name in ((dx, "qx"), (dy, "qy"))))
-        moved = now.join(pulled, now["no"] == pulled["i"], "left").drop("i").join(pushed.withColumnRenamed("i", "k"), F.col("no") == F.col("k"), "left")
-        at = lambda c, p, q: (F.col(c) + step * (F.coalesce(F.col(p) / F.col("w"), F.lit(0.0)) + PUSH * F.coalesce(q, F.lit(0.0)) / PUSHES)).alias(c)
-        then, now = now, written(moved.select("no", "id", at("x", "px", "qx"), at("y", "py", "qy")), "places")
-        remove(then)
-    return now.select("id", "x", "y")
+
+        def moved(batches: Iterator[pa.RecordBatch], offsets: list[int] = offsets) -> Iterator[pa.RecordBatch]:
+            part, held = TaskContext.get().partitionId() << 32, {}
+            for rows in batches:
+                for p, q, *links, own, other in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    at = (np.frombuffer(c, "<f8").reshape(2, -1) for c in (own, other))
+                    for block, moves in forces(p, q, *at, None if links[0] is None else tuple(map(np.frombuffer, links, ("<i4", "<i4", "<f8", "<f8"))), n, size, offsets, a, b):
+                        held[block] = held[block] + moves if block in held else moves
+                    if sum(m.nbytes for m in held.values()) > HELD_BYTES:
+                        yield from given(held, part)
+                        part, held = part + 1, {}
+            yield from given(held, part)
+
+        def given(held: dict[int, np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+            for block, moves in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part]), pa.array([moves.tobytes()])], names=["block", "part", "at"])
+
+        def summed(batches: Iterator[pa.RecordBatch], step: float = step) -> Iterator[pa.RecordBatch]:
+            block, at, moves = None, None, 0.0
+            for rows in batches:
+                for of, part, raw in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    if part < 0:  # a block's places come first
+                        if block is not None:
+                            yield blocked(block, at + step * moves)
+                        block, at, moves = of, np.frombuffer(raw, "<f8"), 0.0
+                    else:
+                        moves = moves + np.frombuffer(raw, "<f8")
+            if block is not None:
+                yield blocked(block, at + step * moves)
+
+        def blocked(block: int, at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.tobytes()])], names=["block", "at"])
+
+        side = F.broadcast(now) if small else now
+        both = pairs.join(side.select(F.col("block").alias("p"), F.col("at").alias("own")), "p").join(side.select(F.col("block").alias("q"), F.col("at").alias("other")), "q")
+        moves = both.select("p", "q", "i", "j", "w", "v", "own", "other").mapInArrow(moved, "block int, part long, at binary")
+        # sums in one order, so a layout can be repeated
+        rows = now.select("block", F.lit(-1).cast("long").alias("part"), "at").union(moves).repartitionById(parts, "block").sortWithinPartitions("block", "part")
+        then, now = now, written(rows.mapInArrow(summed, "block int, at binary"), "blocks")
+        if r:
+            remove(then)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for raw, at in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                own = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, np.frombuffer(at, "<f8").reshape(2, -1))], names=["id", "x", "y"])
+
+    return ids.join(now, "block").select("ids", "at").mapInArrow(unpack, "id long, x double, y double")
 
 
 def embed(vectors: DataFrame, id_col: str, vec: str, k: int = 15, rounds: int = 40, min_dist: float = 0.1) -> DataFrame:

@@ -65,6 +65,80 @@ def test_layout_keeps_neighbours(spark):
     assert places.count() == len(ids) and r["preservation"] > 4 * r["baseline"]
 
 
+def plain_layout(links, places, rounds):
+    """The rounds over numpy arrays, nodes in the order of their ids."""
+    a, b = layout.curve()
+    ids = sorted(places)
+    x, n = np.array([places[i] for i in ids]), len(ids)
+    at = {v: k for k, v in enumerate(ids)}
+    i, j = (np.array([at[e[k]] for e in links for k in ends], int) for ends in ((0, 1), (1, 0)))
+    w = np.repeat([e[2] for e in links], 2)
+    total = np.maximum(np.bincount(i, w, n), 1e-300)[:, None]
+    most = lambda m: np.clip(m, -layout.MOST, layout.MOST)
+    for r in range(rounds):
+        d = x[i] - x[j]
+        d2 = (d * d).sum(1, keepdims=True)
+        with np.errstate(all="ignore"):
+            pull = np.where(d2 > 0, -2 * a * b * d2 ** (b - 1) / (1 + a * d2**b), 0.0)
+        moves = np.zeros((n, 2))
+        np.add.at(moves, i, w[:, None] * most(pull * d))
+        pushes = np.zeros((n, 2))
+        for s in range(layout.PUSHES):
+            d = x - x[(np.arange(n) + 1 + (r * layout.PUSHES + s) * 7919 % (n - 1)) % n]
+            d2 = (d * d).sum(1, keepdims=True)
+            pushes += most(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * d) / layout.PUSHES
+        x = x + (1 - r / rounds) * (moves / total + layout.PUSH * pushes / layout.PUSHES)
+    return dict(zip(ids, x, strict=True))
+
+
+def test_layout_equals_plain_rounds(spark, monkeypatch):
+    """Blocks of all sizes, a node that all are linked to, nodes without links, equal places; in pieces, and without broadcasts."""
+    r = np.random.default_rng(3)
+    places = {i * 3: tuple(r.normal(size=2).tolist()) for i in range(90)} | {1000: (1.0, 2.0), 1001: (1.0, 2.0)}
+    ids = sorted(places)[:-5] + [1000, 1001]
+    links = {(x, y): float(r.random()) for x, y in (sorted(map(int, r.choice(ids, 2, replace=False))) for _ in range(300))} | {(0, i): 0.5 for i in ids[1:]} | {(1000, 1001): 1.0}
+    graph = spark.createDataFrame([(*e, w) for e, w in links.items()], "a long, b long, weight double").repartition(3)
+    df = spark.createDataFrame([(i, *p) for i, p in places.items()], "id long, x double, y double").repartition(3)
+    want = plain_layout([(*e, w) for e, w in links.items()], places, 5)
+    for nodes, pieces in ((None, False), (7, False), (40, True), (91, True)):
+        if pieces:
+            for name, value in (("LINKS", 10), ("HELD_BYTES", 500), ("BROADCAST_BYTES", 0)):
+                monkeypatch.setattr(layout, name, value)
+        rows = layout.layout(graph, df, 5, block_nodes=nodes).collect()
+        assert len(rows) == len(places)
+        assert {i: (x, y) for i, x, y in rows} == {i: pytest.approx(tuple(p), abs=1e-9) for i, p in want.items()}
+    two = spark.createDataFrame([(5, 0.0, 0.0), (9, 1.0, 0.0)], "id long, x double, y double")
+    want = plain_layout([], {5: (0.0, 0.0), 9: (1.0, 0.0)}, 3)
+    assert {i: (x, y) for i, x, y in layout.layout(graph.limit(0), two, 3).collect()} == {i: pytest.approx(tuple(p), abs=1e-12) for i, p in want.items()}
+
+
+def test_rounds_shuffle_blocks(spark):
+    """A round shuffles some rows for each block, not one for each node or link."""
+    n = 5000
+    graph = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") * 7 + 1) % n).alias("b"), F.lit(0.5).alias("weight")).where("a < b")
+    places = spark.range(n).select("id", F.sin("id").alias("x"), F.cos("id").alias("y"))
+
+    def shuffled(rounds):
+        sc = spark.sparkContext
+        sc.setJobGroup(f"rounds-{rounds}", "")
+        layout.layout(graph, places, rounds).write.format("noop").mode("overwrite").save()
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        store, jobs = sc._jsc.sc().statusStore(), sc.statusTracker()
+        stages = {s for j in jobs.getJobIdsForGroup(f"rounds-{rounds}") for s in jobs.getJobInfo(j).stageIds}
+        rows = 0
+        for s in stages:
+            try:
+                rows += store.lastStageAttempt(s).shuffleWriteRecords()
+            except Exception:  # a stage that was never run
+                pass
+        return rows
+
+    few, more = shuffled(1), shuffled(5)
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert few >= n and more - few < n
+
+
 def test_odd_layouts(spark):
     ids, x = clusters(1)
     assert layout.layout(spark.createDataFrame([], "a long, b long, weight double"), layout.principal_places(table(spark, ids, x), "vec_id", "v")).count() == 1
