@@ -194,3 +194,23 @@ def test_nearest_of_odd_and_equal_vectors(spark, monkeypatch):
     for lo in range(0, 4000, 1000):
         nearest.meet(np.arange(lo, lo + 1000).tobytes(), plain[lo : lo + 1000].tobytes())
     assert len(nearest.found()[0]) == 15_000 and sum(computed) < 0.02 * 4_000_000
+
+
+def test_floats_travel_as_they_are(spark):
+    """Vectors of floats have the neighbours that they have as doubles, in blocks that are half as large, whose queries go along once."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(700, 10)).astype("f4")
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    for metric in ("cosine", "euclidean"):
+        one, two = (sorted(map(tuple, vectors.knn(df.withColumn("v", F.col("v").cast(kind)), "vec_id", "v", 5, metric, block_rows=150).collect())) for kind in ("array<float>", "array<double>"))
+        assert len(one) == 3500 and one == two
+    assert len(vectors._packed(df.select(F.col("vec_id").alias("id"), "v").repartition(1), 700, "<f4").first()["x"]) == 700 * 10 * 4
+
+
+def test_scores_that_reach_their_floor():
+    r = np.random.default_rng(1)
+    for columns in (1, 18, 256, 512, 530):
+        score, floor = r.normal(size=(40, columns)).astype("f4"), r.normal(size=40).astype("f4") + 1
+        floor[:3] = -np.inf
+        at, column = vectors._at_least(score, floor)
+        assert set(zip(at.tolist(), column.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(score >= floor[:, None])), strict=True))
