@@ -19,8 +19,8 @@ from .vectors import knn
 
 #: Steps of the search for a neighbourhood's width, its smallest width as a share of the mean distance; other nodes that push a node in a round, how hard, and the largest move.
 WIDTH_STEPS, LEAST_WIDTH, PUSHES, PUSH, MOST = 64, 1e-3, 10, 5.0, 4.0
-#: Nodes of a block of a layout, at least, and its blocks, at most; links in a row, and bytes of moves that a task holds.
-LEAST_NODES, MOST_BLOCKS, LINKS, HELD_BYTES = 1 << 15, 32, 1 << 20, 64 << 20
+#: Nodes of a block of a layout, at least, and its blocks, at most; links in a row, and bytes of moves that a task holds; rows that are trained on together.
+LEAST_NODES, MOST_BLOCKS, LINKS, HELD_BYTES, PACKED = 1 << 15, 32, 1 << 20, 64 << 20, 2048
 
 
 # --- the graph ---------------------------------------------------------------------------------------------------------
@@ -346,17 +346,34 @@ def train_projection(rows: DataFrame, vec: str, target: str, hidden: tuple[int,
 
     Every step sums the gradients of all rows by task; the driver holds the network alone. Steps are Adam's.
     """
-    held = written(rows.select(F.col(vec).cast("array<double>").alias("v"), F.col(target).cast("array<double>").alias("t")).where("v is not null and t is not null"), "training")
-    one = held.select(F.size("v"), F.size("t"), F.lit(1)).first()
+    spark = rows.sparkSession
+    importable(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, PACKED):
+                part = b.slice(lo, PACKED)
+                yield pa.RecordBatch.from_arrays([*(pa.array([_rows(c).astype("<f8").tobytes()]) for c in part.columns), pa.array([part.num_rows])], names=["v", "t", "n"])
+
+    # a row is of megabytes, so only few go into an Arrow batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    whole = rows.select(F.col(vec).cast("array<double>").alias("v"), F.col(target).cast("array<double>").alias("t")).where("v is not null and t is not null")
+    # packed once, as each step reads all of them; one task to a core
+    held = written(whole.mapInArrow(pack, "v binary, t binary, n long").repartition(spark.sparkContext.defaultParallelism), "training")
+    one = held.select((F.octet_length("v") / 8 / F.col("n")).cast("int"), (F.octet_length("t") / 8 / F.col("n")).cast("int")).first()
     if one is None:
         raise ValueError("there is nothing to learn from")
-    sizes, n = (one[0], *hidden, one[1]), held.count() * one[1]
+    sizes, n = (one[0], *hidden, one[1]), held.agg(F.sum("n")).first()[0] * one[1]
     rng = np.random.default_rng(seed)
     flat = np.concatenate([x for a, b in zip(sizes[:-1], sizes[1:], strict=True) for x in (rng.normal(0, (2 / a) ** 0.5, a * b), np.zeros(b))])
     mean, spread, errors = np.zeros(len(flat)), np.zeros(len(flat)), []
     for step in range(1, steps + 1):
         layers = _unpacked(flat, sizes)
-        total = _sums(held, lambda b, layers=layers: gradient(layers, _rows(b.column(0)), _rows(b.column(1))), len(flat) + 1, parts=4)
+
+        def summed(b: pa.RecordBatch, layers: list[tuple[np.ndarray, np.ndarray]] = layers) -> np.ndarray:
+            return sum(gradient(layers, *(np.frombuffer(x, "<f8").reshape(k, -1) for x in (v, t))) for v, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+        total = _sums(held, summed, len(flat) + 1, parts=4)
         g = total[:-1] / n
         errors.append(total[-1] / n)
         mean, spread = 0.9 * mean + 0.1 * g, 0.999 * spread + 0.001 * g * g
