@@ -165,3 +165,45 @@ def test_quality_and_fitted_count(spark):
     longest = max(got, key=lambda r: r["n_kmers"])["contig"]
     assert len(longest) > 150 and (longest in text or rc(longest) in text)
     assert not any("ACGTACGTACGTTGCAACGTA" in r["contig"] for r in got)
+
+
+@pytest.mark.parametrize("share,few", [(8, 500_000), (8, 0), (1 << 18, 0)])
+def test_any_number_of_places_and_links(spark, monkeypatch, share, few):
+    """Stretches of one or many places, joined up in arrays or by joins, are the same; rings, also across places, begin at their smallest k-mer."""
+    monkeypatch.setattr(assembly, "SHARE", share)
+    monkeypatch.setattr(assembly, "FEW_LINKS", few)
+    rng = random.Random(12)
+    rings = [genome(rng, n) for n in (23, 60, 200)]
+    texts = [genome(rng, 300), *(r + r[:12] for r in rings), "Q" * 30, "XYXY" * 8, "LEVELNOON" * 3, "Straße \U0001f600 漢字 " * 4]
+    texts += [texts[0][:150] + "C" + texts[0][151:170], genome(rng, 20) + texts[0][200:230], rc(texts[0])[40:90]]
+    both(spark, texts, 9, 1)
+    both(spark, [r + r[:8] for r in rings], 7, 1, longest=2)
+
+
+def test_kmers_are_joined_where_they_are(spark):
+    """Most of a path is joined in its place, so far fewer stretches than k-mers meet; before, each strand of a k-mer was a row in every step."""
+    rng = random.Random(13)
+    own = sorted(counted([genome(rng, 3000)], 21, 1))
+    texts = assembly.pa.array(own + [rc(x) for x in own])
+    begins, ends = assembly._overlap_places(texts, 50)
+    rows = sum(assembly._stretches(texts, assembly.np.ones(len(texts), "i8"), begins == p, ends == p).num_rows for p in range(50) if (ends == p).any())
+    assert 2 < rows < len(texts) / 5
+
+
+def test_counted_once_or_again(spark, monkeypatch):
+    """The k-mers above the first valley: in one pass; again, where a task kept too few."""
+    rng = random.Random(14)
+    often, odd = [genome(rng, 60) for _ in range(8)], ["ΐ" * 5 + genome(rng, 30)]
+    texts = often * 12 + odd * 12 + [genome(rng, 40) for _ in range(80)] + [genome(rng, 40) for _ in range(20)] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "seq string").repartition(4)
+    own = spark.createDataFrame(list(counted(texts, 15, 1).items()), "kmer string, n long")
+    least = kmers.fitted_min_count(kmers.spectrum(own)).first()[0]
+    want = sorted((x, n) for x, n in kmers.runs.counts(df, "seq", 15, True).collect() if n >= least)
+    assert least > 2 and want
+    passes, counts = [], kmers.runs.counts
+    monkeypatch.setattr(kmers.runs, "counts", lambda *a, **b: passes.append(1) or counts(*a, **b))
+    assert sorted(map(tuple, kmers.valley_counts(df, "seq", 15, True).collect())) == want and not passes
+    likely = kmers.runs.likely_counts
+    monkeypatch.setattr(kmers.runs, "likely_counts", lambda *a, **b: likely(*a, **b).where(f"kmer is null or n > {least}").withColumn("bound", assembly.F.lit(least + 1)))
+    assert sorted(map(tuple, kmers.valley_counts(df, "seq", 15, True).collect())) == want and passes
+    assert kmers.valley_counts(df.where("false"), "seq", 15, True).count() == 0
