@@ -100,3 +100,30 @@ def test_flanks_around_different_letters(spark):
         assert sorted(r[0] for r in runs.varied_flanks(df, "s", flank, 3).collect()) == want and want
     own = list(runs._cut([text], 31, 7, False, 15))
     assert sum(len(r) - 30 for _, r in own) == 570
+
+
+@pytest.mark.parametrize("at_once,compared", [(1 << 22, 1 << 20), (700, 1 << 20), (300, 5)])
+def test_a_place_of_any_size_is_taken_in_parts(monkeypatch, at_once, compared):
+    """However many flanks meet in a place, no more than some are held; before, the letters of all its k-mers were. Rows that are spilled to a file are the same."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGTé漢") for _ in range(900))
+    texts = [text, "".join(x if rng.random() < 0.9 else "\U0001f600" for x in text), "abcab" * 60, text[:300], "ab"]
+    for flank in (2, 15):
+        k = 2 * flank + 1
+        middles = {}
+        for t in texts:
+            for i in range(len(t) - k + 1):
+                middles.setdefault(t[i : i + flank] + t[i + flank + 1 : i + k], []).append(t[i + flank])
+        want = sorted(x for x, own in middles.items() if len(own) >= 2 and len(set(own)) > 1)
+        for name, value in (("AT_ONCE", at_once), ("COMPARED", compared), ("STEP", 400), ("SPOOLED", 1000)):
+            monkeypatch.setattr(runs, name, value)
+        rows = runs._Spooled(k, flank)
+        for t in texts:
+            for row in runs._packed(Counter(runs._cut([t], k, 1, False, flank)), None):
+                rows.add(row["runs"], row["size"], runs.pa.py_buffer(row["data"]))
+        most, sort = [], runs.np.argsort
+        monkeypatch.setattr(runs.np, "argsort", lambda a, *b, **c: most.append(len(a)) or sort(a, *b, **c))
+        got = [x for found in runs.varied_in(rows, 2) for x in found]
+        monkeypatch.setattr(runs.np, "argsort", sort)
+        assert sorted(got) == want and want and len(set(got)) == len(got)
+        assert len(most) > 1 and (at_once > 1000 or max(most) < 2 * at_once < rows.kmers)
