@@ -127,3 +127,23 @@ def test_a_place_of_any_size_is_taken_in_parts(monkeypatch, at_once, compared):
         monkeypatch.setattr(runs.np, "argsort", sort)
         assert sorted(got) == want and want and len(set(got)) == len(got)
         assert len(most) > 1 and (at_once > 1000 or max(most) < 2 * at_once < rows.kmers)
+
+
+@pytest.mark.parametrize("k,both,flank", [(8, False, None), (21, True, None), (31, False, 15), (1, False, None), (3, False, 1)])
+def test_runs_in_arrays_are_the_runs_of_texts(k, both, flank):
+    """Packed in arrays, equal runs once, with their number; before, each run was a text in a dictionary, some 270 bytes each."""
+    texts = [t for t in reads() if t] * 2
+    n = 5
+    want = Counter(x for t in texts for x in runs._cut([t], k, n, both, flank))
+    held, got = runs._Held(k, n, both, flank), {}
+    for part in (texts[:50], texts[50:51], texts[51:]):
+        held.add(part)
+    for row in held.packed():
+        letters, lengths, numbers = runs._unpacked(row["runs"], row["size"], row["data"])
+        text = letters.astype("<u4").tobytes().decode("utf-32-le")
+        for i, (size, times) in enumerate(zip(lengths.tolist(), numbers.tolist())):
+            at = int(lengths[:i].sum())
+            assert (row["place"], text[at : at + size]) not in got
+            got[row["place"], text[at : at + size]] = times
+    assert got == want and max(want.values()) > 1
+    assert not list(held.packed())
