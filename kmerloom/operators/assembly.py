@@ -29,8 +29,8 @@ from .kmers import counts, fitted_min_count, min_count, quality_kmers, spectrum,
 
 #: Rounds of correction before giving up, and segments of a path whose texts are put together in one row at first.
 MAX_ROUNDS, STRETCH = 200, 4096
-#: Links that one task follows in arrays (some 100 MB); k-mers for each place.
-FEW_LINKS, SHARE = 500_000, 1 << 18
+#: Links that one task follows in arrays (515 MB, measured); k-mers for each place.
+FEW_LINKS, SHARE = 1_500_000, 1 << 18
 _PAIRS = str.maketrans("ACGTU", "TGCAA")
 
 
